@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality, token_files, toxicity
+from . import bpe, chat, decontaminate, html, licenses, neardup, quality, secrets, token_files, toxicity
 from .shared import table
 
 BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -19,10 +19,26 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.extracted(pages, html.fit(pages))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_VOCABULARY))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.formatted_rows(rows.unionByName(added)))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER))
 
@@ -31,6 +47,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,13 +66,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_neardup": op1_neardup,
+        "op2_html": op2_html,
         "op3_bpe": op3_bpe,
+        "op4_chat": op4_chat,
         "op5_token_files": op5_token_files,
         "op6_toxicity": op6_toxicity,
+        "op7_licenses": op7_licenses,
+        "op8_secrets": op8_secrets,
         "op9_decontaminate": op9_decontaminate,
         "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_licenses": licenses.oracle_sql()}
