@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrays import END, SPACE, Runs, chunks, mix
 
@@ -226,7 +227,7 @@ def encoded(docs: DataFrame, vocab_path: str, text: str = "text", ids: str = "id
     """
     keep = [c for c in docs.columns if c != ids]
     out = docs.select(*keep)
-    schema = out.schema.add(ids, "array<int>")
+    schema = T.StructType([*out.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_path)
