@@ -116,5 +116,69 @@ def orbit_features(occupations: DataFrame, orbits: DataFrame) -> DataFrame:
     cluster_id, site), a static table of the lattice. Numeric agreement with any
     other library's basis isn't claimed.
     """
-    per_cluster = occupations.join(F.broadcast(orbits), "site").groupBy("structure_id", "orbit_id", "cluster_id").agg(F.product("value").alias("phi"))
+    per_cluster = occupations.join(orbits, "site").groupBy("structure_id", "orbit_id", "cluster_id").agg(F.product("value").alias("phi"))
     return per_cluster.groupBy("structure_id", "orbit_id").agg(F.avg("phi").alias("phi"))
+
+
+def composition_of(sites: DataFrame, role: str | None = None) -> DataFrame:
+    """(structure_id, sublattice, species, n): what each sublattice holds, of sites of the role alone if one is given."""
+    rows = sites if role is None else sites.where(F.col("role") == role)
+    return rows.groupBy("structure_id", "sublattice", "species").agg(F.count("*").alias("n"))
+
+
+def sublattice_index(sites: DataFrame) -> DataFrame:
+    """(structure_id, sublattice, site_list): the sites of each sublattice, ascending; a site twice fails."""
+    unique = F.count("*") == F.count_distinct("site_idx")
+    agg = sites.groupBy("structure_id", "sublattice").agg(F.array_sort(F.collect_list("site_idx")).alias("site_list"), unique.alias("ok"))
+    return agg.where(F.assert_true("ok", F.lit("a site is in a sublattice twice")).isNull()).drop("ok")
+
+
+def relabelled(label: Column, names: dict[str, str]) -> Column:
+    """A label's other name, itself if it has none."""
+    out = label
+    for old, new in names.items():
+        out = F.when(label == old, F.lit(new)).otherwise(out)
+    return out
+
+
+def replaced(sites: DataFrame, elements: DataFrame) -> DataFrame:
+    """Placeholder species as elements: ``elements`` is (structure_id, species, element); others stay."""
+    rows = sites.join(elements, ["structure_id", "species"], "left")
+    return rows.withColumn("species", F.coalesce("element", "species")).drop("element")
+
+
+def propagated(target: DataFrame, source: DataFrame, name: str, digits: int = 6) -> DataFrame:
+    """``target`` with a property of the ``source`` site at the same rounded coordinates.
+
+    A target site without a source site fails, as does a property that
+    both have with different values.
+    """
+    keys = [F.bround(F.col(x) - F.floor(x), digits).alias(f"__{x}") for x in ("fx", "fy", "fz")]
+    on = ["structure_id", "__fx", "__fy", "__fz"]
+    have = source.select("structure_id", *keys, F.col(name).alias("__new"), F.lit(True).alias("__found"))
+    rows = target.select("*", *keys).join(have, on, "left")
+    missing = F.assert_true(F.coalesce("__found", F.lit(False)), F.lit("a site has no counterpart")).isNull()
+    rows = rows.where(missing)
+    if name in target.columns:
+        same = F.col(name).isNull() | F.col("__new").isNull() | F.col(name).eqNullSafe(F.col("__new"))
+        rows = rows.where(F.assert_true(same, F.lit("a property differs")).isNull())
+        value = F.coalesce(F.col(name), F.col("__new"))
+    else:
+        value = F.col("__new")
+    return rows.withColumn(name, value).drop("__new", "__found", "__fx", "__fy", "__fz")
+
+
+def reduced_formula(counts: dict[str, int]) -> str:
+    """Element counts over their greatest common divisor, elements in alphabetical order."""
+    from math import gcd
+
+    divisor = gcd(*counts.values()) or 1
+    return "".join(f"{e}{n // divisor if n // divisor > 1 else ''}" for e, n in sorted(counts.items()) if n)
+
+
+def disordered_site(allowed: list[str], labels: list[str]) -> dict[str, float]:
+    """Uniform fractions of a site's allowed species and labels together."""
+    names = sorted({*allowed, *labels})
+    if not names:
+        raise ValueError("a site without species")
+    return dict.fromkeys(names, 1 / len(names))

@@ -301,3 +301,17 @@ def occupancy_counts(blocks: DataFrame) -> DataFrame:
     rows = blocks.select("wl_key", F.explode(F.from_json("cation_counts", "array<array<bigint>>")).alias("r"))
     names = ("bin", "sublattice", "element", "n_sites", "count")
     return rows.select("wl_key", *(F.col("r")[i].alias(n) for i, n in enumerate(names)))
+
+
+def sampled_occupancies(blocks: DataFrame) -> DataFrame:
+    """(wl_key, wl_block_key, bin, occ, occ_hash, place): samples of blocks in the order of bin and hash."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from ..functions.columns import occ_hash
+
+    pairs = F.from_json("samples", "array<string>")
+    rows = blocks.select("wl_key", "wl_block_key", F.explode(pairs).alias("p"))
+    rows = rows.select("wl_key", "wl_block_key", F.get_json_object("p", "$[0]").cast("long").alias("bin"), F.from_json(F.get_json_object("p", "$[1]"), "array<int>").alias("occ"))
+    rows = rows.withColumn("occ_hash", occ_hash(F.col("occ")))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("wl_block_key").orderBy("bin", "occ_hash")))

@@ -11,6 +11,7 @@ from ..operators import sampling
 from ..sources.catalogue import checkpoint_dir
 from ..streaming import chains
 from ..tables import table
+from . import workflows
 from .registered import query
 
 _SITES = [(0, "Es", "Fe", 0.0, 0.0, 0.0), (1, "Fm", "X", 0.5, 0.5, 0.5), (2, "Fm", "Cu", 0.25, 0.0, 0.75)]
@@ -49,6 +50,37 @@ def active_site_counts(spark, sf_dir):
     return rows.agg((F.count_if(F.col("l_linestatus") == "O") * 8).alias("active_sites"))
 
 
+@query("SELECT l_suppkey AS structure_id, l_returnflag AS sublattice, l_linestatus AS species, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2, 3")
+def composition_from_sites(spark, sf_dir):
+    sites = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("structure_id"), F.col("l_returnflag").alias("sublattice"), F.col("l_linestatus").alias("species"), F.col("l_linenumber").cast("string").alias("role"))
+    return geo.composition_of(sites, "1")
+
+
+@query("SELECT n_regionkey AS structure_id, CASE WHEN n_nationkey % 2 = 0 THEN 'Es' ELSE 'Fm' END AS sublattice, string_agg(CAST(n_nationkey AS VARCHAR), ',' ORDER BY n_nationkey) AS site_list FROM nation GROUP BY 1, 2")
+def sublattice_index(spark, sf_dir):
+    label = geo.relabelled(F.when(F.col("n_nationkey") % 2 == 0, "A").otherwise("B"), {"A": "Es", "B": "Fm"})
+    sites = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("structure_id"), label.alias("sublattice"), F.col("n_nationkey").alias("site_idx"))
+    return geo.sublattice_index(sites).select("structure_id", "sublattice", F.array_join("site_list", ",").alias("site_list"))
+
+
+@query("SELECT s.s_suppkey AS site_idx, coalesce(r.r_name, s.s_name) AS species FROM supplier s LEFT JOIN region r ON r.r_regionkey = s.s_nationkey")
+def placeholder_replacement(spark, sf_dir):
+    sites = table(spark, sf_dir, "supplier").select(F.lit(0).alias("structure_id"), F.col("s_suppkey").alias("site_idx"), F.col("s_nationkey").cast("string").alias("species"), "s_name")
+    elements = table(spark, sf_dir, "region").select(F.lit(0).alias("structure_id"), F.col("r_regionkey").cast("string").alias("species"), F.col("r_name").alias("element"))
+    known = elements.select("species")
+    named = sites.join(known, "species", "left_semi").unionByName(sites.join(known, "species", "left_anti").withColumn("species", F.col("s_name")))
+    return geo.replaced(named.drop("s_name"), elements).select("site_idx", "species")
+
+
+@query("SELECT vec_id AS site_idx, label AS sublattice FROM embeddings")
+def property_propagation(spark, sf_dir):
+    e = F.col("embedding")
+    where = [(e[i].cast("double") + shift).alias(x) for i, (x, shift) in enumerate((("fx", 0.0), ("fy", 0.0), ("fz", 0.0)))]
+    target = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("structure_id"), F.col("vec_id").alias("site_idx"), *where)
+    source = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("structure_id"), *[(e[i].cast("double") + 1.0).alias(x) for i, x in enumerate(("fx", "fy", "fz"))], F.col("label").alias("sublattice"))
+    return geo.propagated(target, source, "sublattice").select("site_idx", "sublattice")
+
+
 @query()
 def snapshots(spark, sf_dir):
     part = F.array(F.struct(F.lit("Es").alias("sublattice"), F.lit("Fe").alias("element"), F.lit(3).cast("long").alias("n")), F.struct(F.lit("Es").alias("sublattice"), F.lit("Mg").alias("element"), F.lit(5).cast("long").alias("n")))
@@ -88,3 +120,19 @@ def streaming_chain_state(spark, sf_dir):
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     # A file source reads folders and globs; the glob also fits a table of one file.
     return chains.final_states(spark, f"{path}*", schema, 50.0, 100, f"{base}/out", f"{base}/checkpoint").select("chain", "steps", "bins", "mod_factor")
+
+
+@query()
+def wl_samples(spark, sf_dir):
+    return sampling.sampled_occupancies(sampling.run_blocks(_chains(spark, sf_dir), _SPEC, _LATTICE, _COUNTS))
+
+
+@query()
+def refined_selection(spark, sf_dir):
+    """D-optimal choices among the occupancies that each nation's chain sampled, the first two as endpoints."""
+    samples = wl_samples(spark, sf_dir)
+    pool = F.pmod(F.xxhash64("wl_key"), F.lit(1_000_000))
+    rows = samples.select(pool.alias("pool"), F.col("place").cast("long").alias("id"), F.col("wl_key").alias("grp"), "bin", "occ_hash", "occ")
+    ends, rest = rows.where("id <= 2").withColumn("bin", F.lit(None).cast("long")), rows.where("id > 2")
+    signs = F.transform("occ", lambda o: o.cast("double") * 2 - 1)
+    return workflows.select_refined(ends, rest, lambda d: d.withColumn("x", signs), 6)

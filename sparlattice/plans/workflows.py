@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..operators import geometry, joins, training
+from ..operators import design, geometry, joins, training
 from ..sources.catalogue import Catalogue
 from .specs import EnsureModel, EnsureRefined
 
@@ -97,3 +97,19 @@ def resolve_refined(spark: SparkSession, store: Catalogue, spec: EnsureRefined):
 def kept_enough(n_kept: int, n_selected: int, least: float) -> bool:
     """Whether the converged part of a selection is as large as a partial model needs."""
     return n_kept >= least * n_selected
+
+
+def select_refined(endpoints: DataFrame, samples: DataFrame, featurise: Callable[[DataFrame], DataFrame], budget: int) -> DataFrame:
+    """(pool, place, id, is_seed): the D-optimal choice among endpoints and sampled occupancies of each pool.
+
+    Both tables: (pool, id, grp, bin, occ_hash, occ); endpoints come first
+    and all of them are taken. ``featurise`` adds the column x.
+    """
+    both = endpoints.withColumn("is_seed", F.lit(True)).unionByName(samples.withColumn("is_seed", F.lit(False)))
+    return design.select_d_optimal(featurise(both).select("pool", "id", "is_seed", "grp", "bin", "occ_hash", "x"), budget)
+
+
+def selected_references(selected: DataFrame, energies: DataFrame, least: float = 1.0) -> DataFrame:
+    """Selected configurations with their energies. Below a fraction of 1, those
+    without one are left out as long as enough stay; else they are an error."""
+    return joins.complete(selected, energies, ["occ_key"], least)
