@@ -27,8 +27,8 @@ BITS, BLOCKS = 128, 8
 #: PERCENT 75 at most one word in seven is another one, and then the mean
 #: difference is below 16 bits of 128, with a deviation below 4.
 RADIUS = 39
-#: Shingles of the items that one pass over the documents holds at once.
-PASS_SHINGLES = 1_000_000
+#: Words of the items that one pass over the documents holds at once: some 60 MB of tables.
+PASS_WORDS = 200_000
 _U = np.uint64
 
 
@@ -91,7 +91,7 @@ class Items:
         for b in range(BLOCKS):
             keys = (prints[:, b, None] ^ variants[None, :]).ravel()
             order = np.argsort(keys, kind="stable")
-            tables.append((keys[order], np.repeat(np.arange(len(ids)), len(variants))[order]))
+            tables.append((keys[order], np.repeat(np.arange(len(ids), dtype=np.int32), len(variants))[order]))
         sizes = np.array([len(w) for w in words])
         of_size = {n: np.unique(np.concatenate([shingles[i] for i in np.flatnonzero(sizes == n)])) for n in np.unique(sizes).tolist()}
         return cls(ids, sizes, prints, shingles, np.unique(np.concatenate(shingles)), tables, of_size)
@@ -156,7 +156,7 @@ class Items:
                         have.add(self.ids[item])
 
 
-def item_blocks(benchmark: DataFrame, limit: int = PASS_SHINGLES, percent: int = PERCENT) -> Iterator[Items]:
+def item_blocks(benchmark: DataFrame, limit: int = PASS_WORDS, percent: int = PERCENT) -> Iterator[Items]:
     """The items in blocks of about ``limit`` words, one block at a time; items
     without words or with a null id are left out, equal rows count once."""
     rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").orderBy("item_id")
@@ -180,25 +180,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Data
     """(doc_id, item_ids): the benchmark items that each text repeats, ascending.
 
     A window of as many words as the item has, in A-Z lower-cased words, with a
-    weighted Jaccard of 5-word shingles of 0.75 or more. Every row of ``docs``
-    has a row for each block of items (one block up to ``PASS_SHINGLES``
-    words); null and empty texts repeat nothing. One narrow pass a block.
+    weighted Jaccard of 5-word shingles of 0.75 or more. One row for every row
+    of ``docs``; null and empty texts repeat nothing. Blocks of ``PASS_WORDS``
+    words of items follow each other in one narrow stage.
     """
-    out = None
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for items in item_blocks(benchmark, percent=percent):
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast("array<long>").alias("item_ids"))
+    blocks = item_blocks(benchmark, percent=percent)
+    items = next(blocks, None)
+    while items is not None:
+        following = next(blocks, None)
         shared = docs.sparkSession.sparkContext.broadcast(items)
+        # The text goes on as long as a block follows.
+        names = ["doc_id", "item_ids"] if following is None else ["doc_id", "text", "item_ids"]
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, names=names) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [sorted(x) for _, part in chunks(batch.column(1).to_pylist()) for x in shared.value.hits(part, percent)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "item_ids"])
-
-        one = rows.mapInArrow(run, "doc_id long, item_ids array<long>")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return rows.select("doc_id", F.array().cast("array<long>").alias("item_ids"))
-    return out
+                found = [x for _, part in chunks(batch.column("text").to_pylist()) for x in shared.value.hits(part, percent)]
+                all_found = [sorted({*old, *new}) for old, new in zip(batch.column("item_ids").to_pylist(), found, strict=True)]
+                columns = {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "item_ids": pa.array(all_found, pa.list_(pa.int64()))}
+                yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
+        out = out.mapInArrow(run, out.select(*names).schema)
+        items = following
+    return out.select("doc_id", "item_ids")
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
