@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Words, chunks, mix, shingle_sets
-from .shared import checkpointed, having_ids, written
+from .shared import Scratch, checkpointed, having_ids
 
 #: Linked where 100 * shared >= PERCENT * both together.
 PERCENT = 75
@@ -35,6 +35,8 @@ GUARANTEED = CHUNKS * (ERRORS + 1) - 1
 SKETCH_RADIUS = 36
 #: Classes of a block; rows of a key that are compared in one piece.
 BLOCK, PART = 256, 4096
+#: Pairs of rows that are looked at in one piece.
+PAIRS = 1_000_000
 #: Shingle columns that a cell multiplies at once.
 COLUMNS = 8192
 _U = np.uint64
@@ -163,43 +165,70 @@ def _grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def _near_blocks(table: pa.Table, percent: int) -> np.ndarray:
-    """Distinct pairs of blocks of the rows of one key piece pair that may be linked."""
-    n, s, block, part = (table.column(c).to_numpy() for c in ("n", "sketch", "block", "part"))
-    s = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(n), 2)
-    left = np.flatnonzero(part == part.min())
-    right = np.flatnonzero(part == part.max())
-    found = []
-    for at in range(0, len(left), 512):
-        i = left[at : at + 512]
-        apart = np.bitwise_count(s[i, None, 0] ^ s[None, right, 0]) + np.bitwise_count(s[i, None, 1] ^ s[None, right, 1])
-        low, high = np.minimum(n[i, None], n[None, right]), np.maximum(n[i, None], n[None, right])
-        a, b = np.nonzero((apart <= SKETCH_RADIUS) & (100 * low >= percent * high))
-        a, b = i[a], right[b]
-        pairs = np.stack([block[a], block[b]], axis=1)[a != b]
-        found.append(np.unique(np.sort(pairs, axis=1), axis=0))
-    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), dtype=np.int64)
+def _may_link(left: np.ndarray, right: np.ndarray, rows: dict[str, np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of rows have near sketches and sizes that allow the similarity."""
+    # Unsigned, since the bits of negative numbers are counted after taking their size.
+    apart = sum(np.bitwise_count((rows[s][left] ^ rows[s][right]).view(np.uint64)) for s in ("s0", "s1"))
+    a, b = rows["n"][left], rows["n"][right]
+    return (apart <= SKETCH_RADIUS) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+
+
+def _near_pairs(rows: dict[str, np.ndarray], bounds: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(left, right) rows of the groups between ``bounds`` that may be linked, PAIRS or so at a time."""
+    ends = np.repeat(bounds[1:], np.diff(bounds))
+    partners = ends - np.arange(bounds[-1]) - 1
+    total = np.concatenate([[0], np.cumsum(partners)])
+    at = 0
+    while at < len(partners):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, side="right")) - 1)
+        n = partners[at:to]
+        left = np.repeat(np.arange(at, to), n)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+        # Of two pieces of a key, rows of one piece meet those of the other alone.
+        ok = (rows["low"][left] == rows["high"][left]) | (rows["part"][left] != rows["part"][right])
+        left, right = left[ok], right[ok]
+        ok = _may_link(left, right, rows, percent)
+        yield left[ok], right[ok]
+        at = to
 
 
 def near_blocks(met: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """(left, right): blocks with classes that meet in a key and may be linked."""
+    names = ("key", "low", "high", "part", "n", "s0", "s1", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for table in _grouped(batches, 3):
-            if table.num_rows > 1:
-                new = set(map(tuple, _near_blocks(table, percent).tolist())) - seen
-                if new:
-                    seen |= new
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*new, strict=True)], names=["left", "right"])
-                if len(seen) > 100_000:
-                    seen.clear()
+        seen = np.empty((0, 2), dtype=np.int64)
+        held: dict[str, np.ndarray] = {c: np.empty(0, dtype=np.int64) for c in names}
+
+        def found(rows: dict[str, np.ndarray], last: bool) -> Iterator[np.ndarray]:
+            new = (rows["key"][1:] != rows["key"][:-1]) | (rows["low"][1:] != rows["low"][:-1]) | (rows["high"][1:] != rows["high"][:-1])
+            bounds = np.concatenate([[0], np.flatnonzero(new) + 1, [len(rows["key"])] if last else np.empty(0, dtype=np.int64)]).astype(np.int64)
+            done = int(bounds[-1])
+            for left, right in _near_pairs({c: v[:done] for c, v in rows.items()}, bounds, percent):
+                yield np.sort(np.stack([rows["block"][left], rows["block"][right]], axis=1), axis=1)
+            for c in names:
+                held[c] = rows[c][done:]
+
+        def fresh(pairs: np.ndarray) -> pa.RecordBatch:
+            nonlocal seen
+            pairs = np.unique(pairs, axis=0)
+            both, first = np.unique(np.concatenate([seen, pairs]), axis=0, return_index=True)
+            pairs = both[first >= len(seen)]
+            seen = both if len(both) <= 100_000 else both[:0]
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["left", "right"])
+
+        for batch in batches:
+            if batch.num_rows:
+                rows = {c: np.concatenate([held[c], batch.column(i).to_numpy()]) for i, c in enumerate(names)}
+                yield from (fresh(p) for p in found(rows, False) if len(p))
+        if len(held["key"]):
+            yield from (fresh(p) for p in found(dict(held), True) if len(p))
 
     # Of a key in pieces every piece meets every other, in a task of their own.
     pieces = met.where("part > 0").groupBy("key").agg(F.max("part").alias("parts"))
     rows = met.select("key", "id", "part").join(pieces, "key", "left").join(members, "id")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(0)))))
-    rows = rows.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "n", "sketch", "block", "part")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(0).cast("long")))))
+    rows = rows.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "n", "s0", "s1", "block")
     rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     return rows.mapInArrow(run, "left long, right long").distinct()
 
@@ -274,33 +303,36 @@ def connected(edges: DataFrame) -> DataFrame:
         state = new
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``.
 
     ``component_id`` is the smallest doc_id that links reach, the row's own
     included; ``kept`` tells whether that is the row itself. Null, empty and
     blank texts have no shingles and are linked with nothing. Equal texts are
     one class, so repeated rows are kept or not together. A row without a
-    doc_id is kept, without a component. Other columns play no part.
+    doc_id is kept, without a component. Other columns play no part. Two
+    tables of ``scratch`` stay until the result has been read.
     """
-    rows = written(shingled(docs), "shingled")
+    scratch = scratch or Scratch(docs.sparkSession)
+    rows = scratch.write(shingled(docs), "shingled")
     full = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = full.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("r"))
-    classes = written(classes.select("c1", "c2", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.signature").alias("signature")), "classes")
-    met = written(meetings(classes), "met")
+    classes = scratch.write(classes.select("c1", "c2", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.signature").alias("signature")), "classes")
+    met = scratch.write(meetings(classes), "met")
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _binary(sketch(_components_of(batch.column(2))))], names=["id", "n", "sketch"])
+            bits = sketch(_components_of(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits[:, 0]), pa.array(bits[:, 1])], names=["id", "n", "s0", "s1"])
 
     # Classes that meet the same smallest class are likely to be near each other:
     # they share blocks of about BLOCK classes.
     family = met.groupBy("id").agg(F.min("lead").alias("family"))
     sizes = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    members = classes.select("id", "n", "signature").mapInArrow(sketched, "id long, n long, sketch binary").join(family, "id").join(sizes, "family")
-    members = written(members.select("id", "n", "sketch", F.xxhash64("family", F.pmod(F.xxhash64("id"), "blocks")).alias("block")), "members")
-    cells = written(near_blocks(met, members, percent), "cells")
-    groups = connected(written(links(cells, members, docs, percent), "links"))
+    members = classes.select("id", "n", "signature").mapInArrow(sketched, "id long, n long, s0 long, s1 long").join(family, "id").join(sizes, "family")
+    members = scratch.write(members.select("id", "n", "s0", "s1", F.xxhash64("family", F.pmod(F.xxhash64("id"), "blocks")).alias("block")), "members")
+    cells = scratch.write(near_blocks(met, members, percent), "cells")
+    groups = connected(scratch.write(links(cells, members, docs, percent), "links"))
     of_class = classes.select("c1", "c2", "id").join(groups, "id", "left").select("c1", "c2", F.coalesce("component", "id").alias("component"))
     # Rows without shingles have a class of their own, so that they don't meet in one task.
     own = F.col("n_shingles") == 0
@@ -312,5 +344,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns as they are."""
-    gone = near_duplicates(docs, percent).where("not kept").select("doc_id")
-    return having_ids(docs, gone, "doc_id", "left_anti")
+    scratch = Scratch(docs.sparkSession)
+    gone = near_duplicates(docs, percent, scratch).where("not kept").select("doc_id")
+    out = having_ids(docs, gone, "doc_id", "left_anti")
+    return out
