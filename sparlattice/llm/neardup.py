@@ -333,6 +333,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, scratch: Scratch |
     members = scratch.write(members.select("id", "n", "s0", "s1", F.xxhash64("family", F.pmod(F.xxhash64("id"), "blocks")).alias("block")), "members")
     cells = scratch.write(near_blocks(met, members, percent), "cells")
     groups = connected(scratch.write(links(cells, members, docs, percent), "links"))
+    scratch.drop("met", "members", "cells", "links")
     of_class = classes.select("c1", "c2", "id").join(groups, "id", "left").select("c1", "c2", F.coalesce("component", "id").alias("component"))
     # Rows without shingles have a class of their own, so that they don't meet in one task.
     own = F.col("n_shingles") == 0
@@ -347,4 +348,5 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     gone = near_duplicates(docs, percent, scratch).where("not kept").select("doc_id")
     out = having_ids(docs, gone, "doc_id", "left_anti")
+    scratch.drop()
     return out
