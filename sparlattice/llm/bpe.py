@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .arrays import END, SPACE, Runs, chunks, mix
 
 #: Remembered pre-tokens of one worker; at the bound the memory is emptied.
-MEMORY = 1_000_000
+MEMORY = 500_000
 _U = np.uint64
 
 
@@ -146,8 +146,8 @@ class Memory:
 
     def empty(self) -> None:
         self.keys = np.empty(0, dtype=np.uint64)
-        self.at = np.empty(0, dtype=np.int64)
-        self.n = np.empty(0, dtype=np.int64)
+        self.at = np.empty(0, dtype=np.uint32)
+        self.n = np.empty(0, dtype=np.uint32)
         self.ids = np.empty(0, dtype=np.int32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -163,8 +163,8 @@ class Memory:
         at = np.cumsum(n) - n + len(self.ids)
         order = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
         self.keys = np.concatenate([self.keys, keys])[order]
-        self.at = np.concatenate([self.at, at])[order]
-        self.n = np.concatenate([self.n, n])[order]
+        self.at = np.concatenate([self.at, at.astype(np.uint32)])[order]
+        self.n = np.concatenate([self.n, n.astype(np.uint32)])[order]
         self.ids = np.concatenate([self.ids, ids])
 
     def ids_of(self, hashes: np.ndarray, word_at, resolve) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +177,7 @@ class Memory:
         if len(new):
             self.add(distinct[new], resolve([word_at(i) for i in first[new].tolist()]))
         place = self.find(distinct)[inverse]
-        counts, at = self.n[place], self.at[place]
+        counts, at = self.n[place].astype(np.int64), self.at[place].astype(np.int64)
         total = np.cumsum(counts)
         index = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(at - (total - counts), counts)
         return self.ids[index], counts
