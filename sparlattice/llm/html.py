@@ -153,7 +153,10 @@ def main_text(page: str | None, weights: Weights) -> str:
 def fit(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Weights:
     """Weights from at most ``fit_pages`` pages that label their main text by an
     ``article`` or ``main`` element; the defaults if there are none."""
-    labelled = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id").limit(fit_pages)
+    labelled = pages.where(F.col("page_id").isNotNull() & F.col("html").rlike("(?i)<(article|main)[\\s>]"))
+    # The ids alone are ranked; the chosen pages' texts stay where they are.
+    chosen = labelled.select(F.col("page_id").alias("__page")).distinct().orderBy(F.xxhash64("__page"), "__page").limit(fit_pages)
+    labelled = labelled.join(F.broadcast(chosen), F.col("page_id") == F.col("__page"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -171,7 +174,7 @@ def fit(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Weights:
         keys = list(seen)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([seen[k] for k in keys], pa.int64())], names=["token", "inside", "n"])
 
-    counted = labelled.repartition("page_id").select("html").mapInArrow(run, "token string, inside boolean, n long").groupBy("token", "inside").agg(F.sum("n").alias("n"))
+    counted = labelled.select("html").mapInArrow(run, "token string, inside boolean, n long").groupBy("token", "inside").agg(F.sum("n").alias("n"))
     n = {(r["token"], r["inside"]): r["n"] for r in counted.collect()}
     if not n:
         return Weights()
