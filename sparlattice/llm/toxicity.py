@@ -2,7 +2,8 @@
 
 Two zstandard dictionaries are built from labelled rows: one of passages that
 toxic documents hold far more often than ordinary ones, one of ordinary words.
-Each word of a text is a window. It is compressed with both dictionaries
+Each word of a text is a window, a very long one several that overlap and
+together cover it. A window is compressed with both dictionaries
 between fixed carrier bytes that both dictionaries hold, so that a window of a
 few bytes isn't stored raw; the gain is how many bytes the toxic dictionary
 saves. The shares of windows by gain give the score through a logistic curve
@@ -32,13 +33,21 @@ MAX_PASSAGES = 2_000
 PREFIXES = range(4, 13)
 GAINS = range(3, 10)
 CARRIER = bytes([0, 1, 2, 3, 4, 5, 6, 7, 8, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 26, 27, 28])
-LONGEST_WORD = 2_000
+#: Characters of the longest window; longer words, as in scripts without spaces, are cut into several.
+#: In windows of some thousand characters the coding of the rest drowns a passage's gain.
+WINDOW_CHARS = 200
 
 
 def _words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+def windows(word: str) -> list[str]:
+    """The word, or windows of ``WINDOW_CHARS`` that cover it; any passage is whole in one of them."""
+    step = WINDOW_CHARS - PREFIXES[-1]
+    return [word[i : i + WINDOW_CHARS] for i in range(0, max(1, len(word) - PREFIXES[-1]), step)]
+
+
 def passage_contrast(toxic: int, toxic_docs: int, ordinary: int, ordinary_docs: int) -> float:
     """Log-likelihood ratio of a passage's document frequencies, 0 if it isn't far commoner in toxic documents."""
     if not toxic or toxic / toxic_docs < 6 * (ordinary + 0.5) / (ordinary_docs + 1):
@@ -53,7 +62,7 @@ def passage_contrast(toxic: int, toxic_docs: int, ordinary: int, ordinary_docs:
 
 @dataclass
 class Gauge:
-    """Bytes that the toxic dictionary saves on a word."""
+    """Bytes that the toxic dictionary saves on each window of a word."""
 
     toxic: bytes
     ordinary: bytes
@@ -84,21 +93,25 @@ class Gauge:
         toxic, ordinary = self.compressors
         out = []
         for word in words:
-            window = CARRIER + b" " + word[:LONGEST_WORD].lower().encode() + b" " + CARRIER
-            out.append([len(ordinary(window)) - len(toxic(window))])
+            framed = [CARRIER + b" " + w.lower().encode() + b" " + CARRIER for w in windows(word)]
+            out.append([len(ordinary(w)) - len(toxic(w)) for w in framed])
         return out
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """For each text: percentages of words by gain, then log(1 + words)."""
+        """For each text: percentages of windows by gain, then log(1 + windows)."""
         w = Words(texts, lower=False)
         joined, starts, stops = w.joined, w.starts, w.ends_of_words
-        gain, _ = self.memory.ids_of(w.hashes, lambda i: joined[starts[i] : stops[i]], self.gains)
+        if len(self.memory.ids) > self.memory.bound:  # words of many windows
+            self.memory.empty()
+        gain, cut = self.memory.ids_of(w.hashes, lambda i: joined[starts[i] : stops[i]], self.gains)
+        doc = np.repeat(w.doc, cut)
+        n = np.bincount(doc, minlength=w.n)
         k = len(GAINS)
         level = np.clip(gain - GAINS.start, -1, k - 1)
         hit = level >= 0
-        counts = np.bincount(w.doc[hit] * k + level[hit], minlength=w.n * k).reshape(w.n, k)
-        shares = np.minimum(100 * counts / np.maximum(1, w.counts)[:, None], 10)
-        return np.column_stack([shares, np.log1p(w.counts)])
+        counts = np.bincount(doc[hit] * k + level[hit], minlength=w.n * k).reshape(w.n, k)
+        shares = np.minimum(100 * counts / np.maximum(1, n)[:, None], 10)
+        return np.column_stack([shares, np.log1p(n)])
 
 
 def dictionaries(passages: dict[str, tuple[int, int]], ordinary: list[str], toxic_docs: int, ordinary_docs: int) -> Gauge:

@@ -202,6 +202,19 @@ def test_toxicity_edges(spark, edge_docs, no_docs):
     assert {r["predicted"] for r in toxicity.scored(edge_docs, model).collect()} == {0}
 
 
+def test_every_part_of_a_long_word_is_scored():
+    gauge = toxicity.Gauge(*(b" " + w + b" \x00" + toxicity.CARRIER + b"\x00" * 16 for w in (b"venomvenomus", b"harmlessword")))
+    odd = "".join(chr(0x4E00 + i * 7919 % 20_000) for i in range(9_000))
+    for at in (0, 1_990, 1_999, 5_000, len(odd)):
+        text = odd[:at] + "venomvenomus" + odd[at:]
+        assert any("venomvenomus" in w for w in toxicity.windows(text))
+        assert gauge.features([text])[0, :-1].sum() > gauge.features([odd])[0, :-1].sum()
+    for n in (0, 1, 199, 200, 201, 388, 389, 9_000):
+        cut = toxicity.windows(odd[:n])
+        assert cut[0] + "".join(w[12:] for w in cut[1:]) == odd[:n] and max(map(len, cut)) <= 200
+        assert n > 200 or len(cut) == 1
+
+
 def test_held_out_rows_never_reach_the_fit(spark):
     sf = "/root/testdata/sf0.001"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
