@@ -34,7 +34,8 @@ CHROME_WORDS = re.compile(
 )
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 _RAW_BODY = "|".join(RAW[:8])
-# Attributes are bounded in number and length, so that a page of stray quotes takes linear time.
+# Attributes are bounded in number and length here, so that a page of stray quotes takes linear time;
+# a tag beyond the bounds ends where ``_tag_end`` says.
 _ATTRIBUTES = r"""(?:[^<>"']++|"[^"]{0,1000}"|'[^']{0,1000}'){0,60}+"""
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_RAW_BODY})\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|</?([a-zA-Z][^\s/<>]*)({_ATTRIBUTES})>|<[!?][^>]*>|<(?:/?[a-zA-Z!?])[^<>]*(?:>|\Z)?",
@@ -42,6 +43,11 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 
+TAG = re.compile(r"</?([a-zA-Z][^\s/<>]*)")
+RAW_TAG = re.compile(rf"<({_RAW_BODY})\b", re.IGNORECASE)
+RAW_CLOSE = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in RAW[:8]}
+DELIMITER = re.compile(r"""[<>]|=\s*+["']""")
+
 
 @dataclass
 class Piece:
@@ -68,18 +74,65 @@ def _is_chrome(tag: str, attributes: str) -> bool:
     return False
 
 
+def _tag_end(page: str, at: int, known: dict[int, int]) -> int:
+    """Behind the > that ends a tag's attributes, -1 if a < or the end of the page comes first.
+
+    A quote opens a value behind = only and has no longest length. ``known``
+    holds the outcome by opening quote, so that none is followed twice.
+    """
+    passed = []
+    end = -1
+    while m := DELIMITER.search(page, at):
+        if m[0] in "<>":
+            end = m.end() if m[0] == ">" else -1
+            break
+        quote = m.end() - 1
+        if quote in known:
+            end = known[quote]
+            break
+        passed.append(quote)
+        at = page.find(page[quote], quote + 1) + 1
+        if not at:
+            break
+    known.update(dict.fromkeys(passed, end))
+    return end
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str | None, str | None]]:
+    """(start, end, tag, attributes); no tag for comments, declarations, whole raw elements and broken tags."""
+    known: dict[int, int] = {}
+    at: int | None = 0
+    while at is not None:
+        found, at = TOKEN.finditer(page, at), None
+        for m in found:
+            head = m[1] is None and m[2] is None and TAG.match(page, m.start())
+            raw = head and RAW_TAG.match(page, m.start())
+            end = _tag_end(page, (raw or head).end(), known) if head else -1
+            if end < 0:
+                yield m.start(), m.end(), m[2], m[3]
+            elif raw:
+                close = RAW_CLOSE[raw[1].lower()].search(page, end)
+                at = close.end() if close else len(page)
+                yield m.start(), at, None, None
+                break
+            else:
+                at = end
+                yield m.start(), end, head[1], page[head.end() : end - 1]
+                break
+
+
 def pieces(page: str) -> list[Piece]:
     out: list[Piece] = []
     open_tags: list[tuple[str, bool]] = []
     n_open: Counter = Counter()
     depth = at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            out.append(Piece("", page[at : m.start()], depth > 0))
-        at = m.end()
-        if m[2] is None:  # a comment, a declaration, a raw element as a whole, a broken tag
+    for start, end, name, attributes in tokens(page):
+        if start > at:
+            out.append(Piece("", page[at:start], depth > 0))
+        at = end
+        if name is None:  # a comment, a declaration, a raw element as a whole, a broken tag
             continue
-        tag, closing = m[2].lower(), m[0][1] == "/"
+        tag, closing = name.lower(), page[start + 1] == "/"
         if closing:
             if n_open[tag]:
                 while True:
@@ -93,8 +146,8 @@ def pieces(page: str) -> list[Piece]:
         if tag in ("body", "main", "article") and n_open["head"]:
             open_tags, depth = [], 0
             n_open.clear()
-        if tag in CONTAINERS and tag not in VOID and not m[0].endswith("/>"):
-            chrome = _is_chrome(tag, m[3])
+        if tag in CONTAINERS and tag not in VOID and not page.endswith("/>", start, end):
+            chrome = _is_chrome(tag, attributes)
             if tag == "p" and open_tags and open_tags[-1][0] == "p":
                 depth -= open_tags.pop()[1]
                 n_open["p"] -= 1

@@ -5,6 +5,7 @@ import hashlib
 import html as html_lib
 import json
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -312,6 +313,20 @@ def test_main_text_leaves_the_rest_out():
     assert [html.main_text(p, html.Weights()) for p in (None, "", "<p>", "<p>a<b", "plain 3 < 4")] == ["", "", "", "a", "plain 3 < 4"]
 
 
+@pytest.mark.parametrize("long", [f"data-x='{'ab> <i' * 300}'", 'data-x="' + "y" * 200_000 + '"', " ".join(f'a{i}="{i}>"' for i in range(100))])
+def test_long_attributes_belong_to_their_tag(long):
+    page = f"<body><main><p>one two</p><script {long}>var secret = 1;</script><div {long} class=sidebar>menu</div><SCRIPT {long}>x</script ><p {long}>three <a {long}>four</a></p></main></body>"
+    assert html.main_text(page, html.Weights()) == "one two three four"
+    assert html.main_text(f"one <p {long}", html.Weights()).startswith("one")
+
+
+@pytest.mark.parametrize("page", ["<a \"=\"" * 30_000, "<a x=\"" * 30_000, "<a b='\"=\"" * 30_000, "<a" + " b=''" * 60_000 + "<", "<div a=' " * 30_000 + "'>" * 30_000])
+def test_pages_of_stray_quotes_take_linear_time(page):
+    begun = time.process_time()
+    html.main_text(page, html.Weights())
+    assert time.process_time() - begun < 5
+
+
 def test_best_region_is_the_maximum():
     @settings(max_examples=300, deadline=None)
     @given(st.lists(st.integers(-5, 5), max_size=12))
