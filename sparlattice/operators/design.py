@@ -124,21 +124,89 @@ def d_optimal(x: np.ndarray, seeds: np.ndarray, groups: list[str], ties: list[tu
     return chosen
 
 
-def select_d_optimal(pools: DataFrame, budget: int, ridge: float = 1e-10) -> DataFrame:
-    """(pool, place, id, is_seed): the D-optimal rows of each pool.
+def _best(found: list[dict], tolerance: float) -> list[dict]:
+    """Those that may be the pick: each has a greater gain than all of lesser tie keys, and is near the greatest."""
+    most = max((r["gain"] for r in found), default=0.0)
+    out: list[dict] = []
+    for r in sorted((r for r in found if r["gain"] >= most - tolerance), key=lambda r: tie_key(r["bin"], r["occ_hash"])):
+        if not out or r["gain"] > out[-1]["gain"]:
+            out.append(r)
+    return out
 
-    ``pools``: (pool, id, is_seed, grp, bin, occ_hash, x). Of equal hashes the
-    first stays, seeds first. A pool is the candidate set of one design, which
-    its sampling quota bounds; pools run side by side.
-    """
-    import pandas as pd
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["is_seed", "id"], ascending=[False, True]).drop_duplicates("occ_hash").reset_index(drop=True)
-        x = np.stack(rows["x"].to_numpy()).astype(float)
-        ties = [tie_key(None if pd.isna(b) else b, h) for b, h in zip(rows["bin"], rows["occ_hash"], strict=True)]
-        order = d_optimal(x, rows["is_seed"].to_numpy(dtype=bool), rows["grp"].tolist(), ties, budget, ridge)
-        out = rows.loc[order, ["pool", "id", "is_seed"]].reset_index(drop=True)
-        return out.assign(place=np.arange(len(out)))[["pool", "place", "id", "is_seed"]]
+def select_d_optimal(pools: DataFrame, budget: int, ridge: float = 1e-10, tolerance: float = 1e-15) -> DataFrame:
+    """(pool, place, id, is_seed): the D-optimal rows of each pool, as ``d_optimal`` has them.
 
-    return pools.groupBy("pool").applyInPandas(pick, "pool long, place long, id long, is_seed boolean")
+    ``pools``: (pool, id, is_seed, grp, bin, occ_hash, x). Of equal hashes the
+    first stays, seeds first. The driver holds a p x p inverse and the picks of
+    each pool; each pick is one pass that scores all candidates where they are,
+    for all pools at once, so that no pool meets in one task.
+    """
+    spark = pools.sparkSession
+    if budget <= 0:
+        raise ValueError("the budget must be positive")
+    first = F.min_by(F.struct("id", "is_seed", "grp", "bin", "x"), F.struct(~F.col("is_seed"), "id")).alias("r")
+    rows = pools.withColumn("x", F.col("x").cast("array<double>")).groupBy("pool", "occ_hash").agg(first)
+    rows = rows.select("pool", "occ_hash", F.col("r.id").cast("long").alias("id"), "r.is_seed", "r.grp", F.col("r.bin").cast("long").alias("bin"), "r.x").persist()
+    groups: dict = {}
+    for r in rows.groupBy("pool", "grp").agg(F.count_if("is_seed").alias("seeds")).collect():
+        groups.setdefault(r["pool"], {})[r["grp"]] = r["seeds"]
+    if any(sum(g.values()) > budget for g in groups.values()):
+        raise ValueError("the budget is below the number of endpoints")
+    inverse: dict = {}
+    chosen: dict = {pool: [] for pool in groups}
+    taken: dict = {pool: set() for pool in groups}
+
+    def take(pool, r) -> None:
+        x = np.asarray(r["x"])
+        a = inverse.setdefault(pool, np.eye(len(x)) / ridge)
+        v = a @ x
+        inverse[pool] = a - np.outer(v, v) / (1 + x @ v)
+        chosen[pool].append((r["id"], r["is_seed"]))
+        taken[pool].add(r["occ_hash"])
+
+    for r in sorted(rows.where("is_seed").collect(), key=lambda r: r["id"]):
+        take(r["pool"], r)
+    turns = {pool: sorted(g) for pool, g in groups.items()}
+    place = dict.fromkeys(groups, 0)
+    names = ["pool", "occ_hash", "id", "is_seed", "grp", "bin", "x"]
+    schema = T.StructType([*(rows.schema[n] for n in names), T.StructField("gain", T.DoubleType())])
+
+    def scorer(wanted: dict, state: dict, gone: dict):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict = {pool: [] for pool in wanted}
+            kind = None
+            for batch in batches:
+                kind = batch.schema
+                pool_of, grp_of, hash_of = (batch.column(i).to_pylist() for i in (0, 4, 1))
+                of_pool: dict = {}
+                for i, (pool, grp, h) in enumerate(zip(pool_of, grp_of, hash_of, strict=True)):
+                    if pool in wanted and wanted[pool] == grp and h not in gone[pool]:
+                        of_pool.setdefault(pool, []).append(i)
+                for pool, own in of_pool.items():
+                    part = batch.take(pa.array(own))
+                    x = part.column(6).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+                    a = state.get(pool)
+                    gain = np.log1p(np.einsum("ij,ij->i", x @ a, x) if a is not None else np.einsum("ij,ij->i", x, x) / ridge)
+                    near = np.flatnonzero(gain >= gain.max() - tolerance)
+                    best[pool] = _best(best[pool] + [r | {"gain": float(g)} for r, g in zip(part.take(pa.array(near)).to_pylist(), gain[near], strict=True)], tolerance)
+            if kind is not None:
+                yield pa.RecordBatch.from_pylist([r for found in best.values() for r in found], schema=kind.append(pa.field("gain", pa.float64())))
+
+        return run
+
+    while wanted := {pool: turn[place[pool] % len(turn)] for pool, turn in turns.items() if turn and len(chosen[pool]) < budget}:
+        found: dict = {pool: [] for pool in wanted}
+        for r in rows.select(*names).mapInArrow(scorer(wanted, dict(inverse), taken), schema).collect():
+            found[r["pool"]].append(r.asDict())
+        for pool, candidates in found.items():
+            turn = turns[pool]
+            place[pool] %= len(turn)
+            if candidates:
+                take(pool, _best(candidates, tolerance)[0])
+                place[pool] += 1
+            else:
+                turn.pop(place[pool])
+    rows.unpersist()
+    out = [(pool, i, *row) for pool in chosen for i, row in enumerate(chosen[pool])]
+    return spark.createDataFrame(out, "pool long, place long, id long, is_seed boolean")

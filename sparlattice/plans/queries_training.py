@@ -129,13 +129,17 @@ def design_metrics(spark, sf_dir):
     return design.metrics_frame(spark, design.design_metrics(rows, "embedding", "w"))
 
 
+#: As many as the budget, so that no larger table has more endpoints than picks.
+_ENDPOINTS = list(range(0, 2000, 100))
+
+
 @query()
 def dopt_select(spark, sf_dir):
     x = F.transform("embedding", lambda v: v.cast("double"))
     codes = F.transform("embedding", lambda v: F.rint(v.cast("double") * 1000).cast("int"))
     pools = table(spark, sf_dir, "embeddings").select(
-        F.lit(0).cast("long").alias("pool"), F.col("vec_id").alias("id"), (F.col("vec_id") % 100 == 0).alias("is_seed"), F.col("label").cast("string").alias("grp"),
-        F.floor(F.col("embedding")[0] * 10).cast("long").alias("bin"), col.occ_hash(codes).alias("occ_hash"), F.slice(x, 1, 16).alias("x"),
+        F.lit(0).cast("long").alias("pool"), F.col("vec_id").alias("id"), F.col("vec_id").isin(_ENDPOINTS).alias("is_seed"), F.col("label").cast("string").alias("grp"),
+        F.floor(F.col("embedding")[0] * 10).cast("long").alias("bin"), col.occ_hash(codes).alias("occ_hash"), x.alias("x"),
     )
     # One design a label, as each composition's samples are one pool.
     return design.select_d_optimal(pools.withColumn("pool", F.col("grp").cast("long")), 20)

@@ -153,6 +153,36 @@ def test_d_optimal(spark):
     assert sorted(design.d_optimal(x, np.zeros(4, bool), list("abab"), ties, 99)) == [0, 1, 2, 3]
 
 
+def test_d_optimal_pools_are_chosen_as_by_the_local_rule(spark):
+    random = np.random.default_rng(3)
+    rows = [(i % 3, i, i < 6, "ab"[i % 7 > 2], None if i % 5 == 0 else i % 4 - 2, f"{i % 70:04d}", random.normal(size=4).round(1).tolist() if i % 9 else [1.0, 0.0, 0.0, 0.0]) for i in range(210)]
+    rows.append((7, 999, False, "a", 1, "h", [0.0, 1.0, 0.0, 0.0]))
+    df = spark.createDataFrame(rows, "pool long, id long, is_seed boolean, grp string, bin long, occ_hash string, x array<double>").repartition(5)
+    got = {}
+    for r in design.select_d_optimal(df, 12).orderBy("pool", "place").collect():
+        got.setdefault(r["pool"], []).append((r["id"], r["is_seed"]))
+    for pool in (0, 1, 2, 7):
+        own = list({r[5]: r for r in reversed([r for r in rows if r[0] == pool])}.values())[::-1]
+        order = design.d_optimal(np.array([r[6] for r in own]), np.array([r[2] for r in own]), [r[3] for r in own], [design.tie_key(r[4], r[5]) for r in own], 12)
+        assert got[pool] == [(own[i][1], own[i][2]) for i in order]
+    with pytest.raises(ValueError):
+        design.select_d_optimal(df, 1)
+    assert design.select_d_optimal(df.limit(0), 3).count() == 0
+
+
+def test_dopt_select_takes_any_number_of_rows_and_every_feature(spark, tmp_path):
+    from sparlattice.plans.queries_training import dopt_select
+
+    random = np.random.default_rng(5)
+    rows = [(i, 1 + (i >= 5_000), [1.0] * 16 + random.normal(size=48).astype(np.float32).tolist()) for i in range(6_000)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = dopt_select(spark, str(tmp_path))
+    assert got.where("pool = 1 AND is_seed").count() == 20 and got.where("pool = 1").count() == 20
+    x = np.array([r[2] for r in rows[5_000:]])
+    order = design.d_optimal(x, np.zeros(1_000, bool), ["2"] * 1_000, [("", "")] * 1_000, 20)
+    assert [r["id"] for r in got.where("pool = 2").orderBy("place").collect()] == [5_000 + i for i in order]
+
+
 def test_snapshots_fill_exactly_and_ignore_the_seed(spark):
     a = geometry.snapshot("set", 3, {"Es": (list(range(8)), {"Fe": 3, "Mg": 5})})
     assert sorted(a.values()) == ["Fe"] * 3 + ["Mg"] * 5 and a == geometry.snapshot("set", 3, {"Es": (list(range(8)), {"Mg": 5, "Fe": 3})})
