@@ -8,14 +8,14 @@ about ``CHUNK_CHARS`` characters (or one longer text) at a time.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
 CHUNK_CHARS = 1_000_000
 SHINGLE_WORDS = 5
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 
 
@@ -27,19 +27,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_powers_of: dict[str, np.ndarray] = {}
+def packed(points: np.ndarray) -> np.ndarray:
+    """Three code points from each place on, 21 bits each, in one integer."""
+    p = np.zeros(len(points) + 2, dtype=np.uint64)
+    p[: len(points)] = points
+    return p[:-2] | p[1:-1] << _U(21) | p[2:] << _U(42)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least ``n``."""
-    if len(_powers_of.get("up", ())) < n:
-        size = max(n, 2 * CHUNK_CHARS)
-        inverse = pow(int(_BASE), -1, 1 << 64)
-        for name, base in (("up", int(_BASE)), ("down", inverse)):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            _powers_of[name] = np.multiply.accumulate(p)
-    return _powers_of["up"], _powers_of["down"]
+#: Characters of the longest run that is hashed by whole-array steps.
+LONG_RUN = 96
+_LEFT = np.array([0, (1 << 21) - 1, (1 << 42) - 1, (1 << 63) - 1], dtype=np.uint64)
+_KINDS = ((_U(0x243F6A8885A308D3), _U(1)), (_U(0x13198A2E03707344), _U(0xD6E8FEB86659FD93)))
+
+
+def hash_runs(blocks: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run of code points, three characters a step.
+
+    Kinds 0 and 1 are independent of each other: both together identify a run
+    by 128 bits. A step is a finaliser of all bits, not a sum of powers, whose
+    low bits certain long words share. ``blocks``: ``packed(points)``.
+    """
+    seed, factor = _KINDS[kind]
+    n = ends - starts
+    h = mix(n.astype(np.uint64) + seed)
+    rows = np.flatnonzero((n > 0) & (n <= LONG_RUN))
+    at, left = starts[rows], n[rows]
+    while len(rows):
+        x = blocks[at] & _LEFT[np.minimum(left, 3)]
+        h[rows] = mix(h[rows] ^ (x * factor))
+        on = left > 3
+        rows, at, left = rows[on], at[on] + 3, left[on] - 3
+    for i in np.flatnonzero(n > LONG_RUN).tolist():
+        digest = hashlib.blake2b(points[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
+        h[i] = int.from_bytes(digest[8 * kind : 8 * kind + 8], "little")
+    return h
 
 
 def chunks(texts: Iterable[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
@@ -69,19 +90,6 @@ class Scan:
         self.begins = self.ends - lengths
         self.n = len(texts)
 
-    def prefix(self, points: np.ndarray) -> np.ndarray:
-        """Prefix sums of a polynomial hash; see ``hash_spans``."""
-        up, _ = _powers(len(points) + 1)
-        out = np.empty(len(points) + 1, dtype=np.uint64)
-        out[0] = 0
-        np.cumsum((points.astype(np.uint64) + _U(1)) * up[: len(points)], out=out[1:])
-        return out
-
-    @staticmethod
-    def hash_spans(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        _, down = _powers(len(prefix))
-        return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
 
 def lower_az(points: np.ndarray) -> np.ndarray:
     return np.where((points >= 65) & (points <= 90), points + np.uint32(32), points)
@@ -91,8 +99,8 @@ class Words(Scan):
     """Maximal runs of characters other than space and U+0009 to U+000D.
 
     ``starts``/``ends``: positions in ``points``; ``doc``: the text of each word;
-    ``hashes``: of the word with A-Z in lower case; ``first``: index of each
-    text's first word, with the total at the end.
+    ``hashes`` and ``second``: two of the word with A-Z in lower case; ``first``:
+    index of each text's first word, with the total at the end.
     """
 
     def __init__(self, texts: list[str], lower: bool = True):
@@ -103,11 +111,17 @@ class Words(Scan):
         edge = np.diff(inside.astype(np.int8), prepend=np.int8(0))
         self.starts = np.flatnonzero(edge == 1)
         self.ends_of_words = np.flatnonzero(edge == -1)
-        self.hashes = self.hash_spans(self.prefix(lower_az(p) if lower else p), self.starts, self.ends_of_words)
+        self.letters = lower_az(p) if lower else p
+        self.blocks = packed(self.letters)
+        self.hashes = hash_runs(self.blocks, self.letters, self.starts, self.ends_of_words)
         self.first = np.searchsorted(self.starts, np.append(self.begins, len(p)))
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(self.n), self.counts)
 
+    @cached_property
+    def second(self) -> np.ndarray:
+        return hash_runs(self.blocks, self.letters, self.starts, self.ends_of_words, 1)
+
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, hash) of each run of ``size`` words within a text."""
         return windows_of(self.hashes, self.first, size)
@@ -126,20 +140,26 @@ def windows_of(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.nda
     return at, mix(acc[at] + _U(size))
 
 
-def shingle_sets(words: Words, size: int = SHINGLE_WORDS) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text: runs of ``size`` words, the
-    whole sequence as one where there are fewer, nothing where there are none."""
-    at, hashes = words.windows(size)
+def shingle_sets(words: Words, size: int = SHINGLE_WORDS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct shingles of each text: runs of ``size`` words, the whole sequence
+    as one where there are fewer, nothing where there are none.
+
+    Two hashes of each, ascending by the first; both identify a shingle.
+    """
+    (at, one), (_, two) = (windows_of(h, words.first, size) for h in (words.hashes, words.second))
     bounds = np.searchsorted(at, words.first)
+    none = np.empty(0, dtype=np.uint64)
     out = []
     for i, n in enumerate(words.counts.tolist()):
         if n >= size:
-            out.append(np.unique(hashes[bounds[i] : bounds[i + 1]]))
+            a, b = bounds[i], bounds[i + 1]
+            distinct, first = np.unique(one[a:b], return_index=True)
+            out.append((distinct, two[a:b][first]))
         elif n:
-            w = words.hashes[words.first[i] : words.first[i + 1]]
-            out.append(windows_of(w, np.array([0, n]), n)[1])
+            a, b = words.first[i], words.first[i + 1]
+            out.append(tuple(windows_of(h[a:b], np.array([0, n]), n)[1] for h in (words.hashes, words.second)))
         else:
-            out.append(np.empty(0, dtype=np.uint64))
+            out.append((none, none))
     return out
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import END, SPACE, Runs, chunks, mix
+from .arrays import END, SPACE, Runs, chunks, hash_runs, mix, packed
 
 #: Remembered pre-tokens of one worker; at the bound the memory is emptied.
 MEMORY = 500_000
@@ -138,7 +138,12 @@ class Vocabulary:
 
 
 class Memory:
-    """Resolved words of one worker: sorted hashes with their ids end to end."""
+    """Resolved words of one worker: sorted hashes with their ids end to end.
+
+    A word is known by two independent hashes, 128 bits together. Words that
+    share the first alone are told apart by the second and resolved by
+    themselves.
+    """
 
     def __init__(self, bound: int = MEMORY):
         self.bound = bound
@@ -146,6 +151,7 @@ class Memory:
 
     def empty(self) -> None:
         self.keys = np.empty(0, dtype=np.uint64)
+        self.second = np.empty(0, dtype=np.uint64)
         self.at = np.empty(0, dtype=np.uint32)
         self.n = np.empty(0, dtype=np.uint32)
         self.ids = np.empty(0, dtype=np.int32)
@@ -157,30 +163,41 @@ class Memory:
     def known(self, keys: np.ndarray) -> np.ndarray:
         return self.keys[self.find(keys)] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
 
-    def add(self, keys: np.ndarray, found: list[list[int]]) -> None:
+    def add(self, keys: np.ndarray, second: np.ndarray, found: list[list[int]]) -> None:
         n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         ids = np.fromiter((i for x in found for i in x), dtype=np.int32, count=int(n.sum()))
         at = np.cumsum(n) - n + len(self.ids)
         order = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
         self.keys = np.concatenate([self.keys, keys])[order]
+        self.second = np.concatenate([self.second, second])[order]
         self.at = np.concatenate([self.at, at.astype(np.uint32)])[order]
         self.n = np.concatenate([self.n, n.astype(np.uint32)])[order]
         self.ids = np.concatenate([self.ids, ids])
 
-    def ids_of(self, hashes: np.ndarray, word_at, resolve) -> tuple[np.ndarray, np.ndarray]:
+    def ids_of(self, hashes: np.ndarray, second: np.ndarray, word_at, resolve) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, how many ids each word has). ``word_at(i)``: the i-th
         word; ``resolve(words)``: the ids of each."""
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) > self.bound:
             self.empty()
-        new = np.flatnonzero(~self.known(distinct))
+        known = self.known(distinct)
+        if (self.second[self.find(distinct[known])] != second[first[known]]).any():
+            self.empty()
+            known[:] = False
+        new = np.flatnonzero(~known)
         if len(new):
-            self.add(distinct[new], resolve([word_at(i) for i in first[new].tolist()]))
+            self.add(distinct[new], second[first[new]], resolve([word_at(i) for i in first[new].tolist()]))
         place = self.find(distinct)[inverse]
-        counts, at = self.n[place].astype(np.int64), self.at[place].astype(np.int64)
+        counts, at, pool = self.n[place].astype(np.int64), self.at[place].astype(np.int64), self.ids
+        others = np.flatnonzero(self.second[place] != second)
+        if len(others):  # another word has the same first hash
+            found = resolve([word_at(i) for i in others.tolist()])
+            n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            counts[others], at[others] = n, np.cumsum(n) - n + len(pool)
+            pool = np.concatenate([pool, np.fromiter((i for x in found for i in x), dtype=np.int32, count=int(n.sum()))])
         total = np.cumsum(counts)
         index = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(at - (total - counts), counts)
-        return self.ids[index], counts
+        return pool[index], counts
 
 
 @lru_cache(maxsize=2)
@@ -201,7 +218,8 @@ class PreTokens(Runs):
         bounds = np.flatnonzero(cut)
         keep = k[bounds[:-1]] != END
         self.starts, self.stops = bounds[:-1][keep], bounds[1:][keep]
-        self.hashes = self.hash_spans(self.prefix(p), self.starts, self.stops)
+        blocks = packed(p)
+        self.hashes, self.second = (hash_runs(blocks, p, self.starts, self.stops, kind) for kind in (0, 1))
         self.first = np.searchsorted(self.starts, np.append(self.begins, len(p)))
 
 
@@ -209,7 +227,7 @@ def encode(texts: list[str], vocab: Vocabulary) -> list[list[int]]:
     """The ids of each text, without special tokens."""
     t = PreTokens(texts)
     starts, stops, joined = t.starts, t.stops, t.joined
-    ids, counts = vocab.memory.ids_of(t.hashes, lambda i: joined[starts[i] : stops[i]], vocab.resolve)
+    ids, counts = vocab.memory.ids_of(t.hashes, t.second, lambda i: joined[starts[i] : stops[i]], vocab.resolve)
     bounds = np.concatenate([[0], np.cumsum(counts)])[t.first]
     ids = ids.tolist()
     return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Words, chunks, mix, shingle_sets
-from .shared import Scratch, checkpointed, having_ids
+from .shared import BROADCAST_IDS, Scratch, checkpointed, having_ids
 
 #: Linked where 100 * shared >= PERCENT * both together.
 PERCENT = 75
@@ -30,10 +30,11 @@ COMPONENTS, CHUNK, ERRORS = 126, 6, 1
 CHUNKS = COMPONENTS // CHUNK
 #: Largest signature distance at which a shared key is certain.
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1
-#: Sketches (one bit a component) of two sets at the threshold differ in 15.75
-#: bits of 126 on average, with a deviation of 3.7.
-SKETCH_RADIUS = 36
-#: Classes of a block; rows of a key that are compared in one piece.
+#: Sketches have one bit a component, so that signatures within the guaranteed
+#: distance have sketches within it. Those of two sets at the threshold differ
+#: in 15.75 bits of 126 on average, with a deviation of 3.7.
+SKETCH_RADIUS = GUARANTEED
+#: Classes of a block; rows of a key, or edges of a node, that meet in one piece.
 BLOCK, PART = 256, 4096
 #: Pairs of rows that are looked at in one piece.
 PAIRS = 1_000_000
@@ -44,12 +45,12 @@ _FACTORS = mix(np.arange(1, COMPONENTS + 1, dtype=np.uint64)) | _U(1)
 _KEPT = [(c, [c * CHUNK + i for i in kept]) for c in range(CHUNKS) for kept in combinations(range(CHUNK), CHUNK - ERRORS)]
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(two 64-bit class hashes, COMPONENTS 16-bit components) of non-empty sets."""
-    flat = np.concatenate(sets)
-    at = np.cumsum([0] + [len(s) for s in sets[:-1]])
+    flat, second = (np.concatenate(x) for x in zip(*sets, strict=True))
+    at = np.cumsum([0] + [len(s) for s, _ in sets[:-1]])
     a = np.add.reduceat(mix(flat ^ _U(0x1234567)), at)
-    b = np.add.reduceat(mix(flat + _U(0x89ABCDEF)), at)
+    b = np.add.reduceat(mix(second + _U(0x89ABCDEF)), at)
     out = np.empty((len(sets), COMPONENTS), dtype=np.uint16)
     scaled = np.empty_like(flat)
     for k in range(COMPONENTS):
@@ -88,13 +89,13 @@ def shingled(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at, part in chunks(batch.column(1).to_pylist()):
                 sets = shingle_sets(Words(part))
-                full = np.flatnonzero([len(s) > 0 for s in sets])
+                full = np.flatnonzero([len(s) > 0 for s, _ in sets])
                 a, b = np.zeros(len(sets), dtype=np.uint64), np.zeros(len(sets), dtype=np.uint64)
                 c = np.zeros((len(sets), COMPONENTS), dtype=np.uint16)
                 if len(full):
                     a[full], b[full], c[full] = signatures([sets[i] for i in full.tolist()])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(part)), pa.array([len(s) for s in sets], pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _binary(c)],
+                    [batch.column(0).slice(at, len(part)), pa.array([len(s) for s, _ in sets], pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _binary(c)],
                     names=["doc_id", "n_shingles", "c1", "c2", "signature"],
                 )
 
@@ -236,13 +237,15 @@ def near_blocks(met: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 def _spanning(table: pa.Table, percent: int) -> list[tuple[int, int]]:
     """(class, smallest class that it is linked with within the cell)."""
     ids, texts = table.column("id").to_pylist(), table.column("text").to_pylist()
-    sets: list[np.ndarray] = []
+    sets: list[tuple[np.ndarray, np.ndarray]] = []
     for _, part in chunks(texts):
         sets += shingle_sets(Words(part))
-    sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
+    sizes = np.array([len(s) for s, _ in sets])
+    flat, second = (np.concatenate(x) for x in zip(*sets, strict=True))
     row = np.repeat(np.arange(len(sets)), sizes)
-    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    _, first, column, count = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
+    if (second[first][column] != second).any():
+        _, column, count = np.unique(np.stack([flat, second], axis=1), axis=0, return_inverse=True, return_counts=True)
     shared = count > 1
     column, row = (np.cumsum(shared) - 1)[column[shared[column]]], row[shared[column]]
     both = np.zeros((len(sets), len(sets)), dtype=np.float64)
@@ -282,6 +285,23 @@ def links(cells: DataFrame, members: DataFrame, docs: DataFrame, percent: int) -
     return rows.repartition("left", "right").sortWithinPartitions("left", "right", "id").mapInArrow(run, "a long, b long").distinct()
 
 
+def _lowest(rows: DataFrame, node: str, low: DataFrame) -> DataFrame:
+    """``rows`` with the column m of ``low`` (a, m, n) for their ``node``.
+
+    A node with more than ``PART`` edges is cut into pieces, each with a copy of
+    its m, so that no task holds all edges of a hub.
+    """
+    pieces = F.ceil(F.col("n") / PART).cast("int")
+    hubs = low.where(F.col("n") > PART).select(F.col("a").alias("__hub"), pieces.alias("__pieces"))
+    if hubs.count() <= BROADCAST_IDS:
+        hubs = F.broadcast(hubs)
+    other = "b" if node == "a" else "a"
+    cut = rows.join(hubs, rows[node] == F.col("__hub"), "left")
+    cut = cut.withColumn("__piece", F.coalesce(F.pmod(F.xxhash64(other), F.col("__pieces")), F.lit(0)).cast("int")).drop("__hub", "__pieces")
+    copies = low.select(F.col("a").alias("__node"), "m", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("__at"))
+    return cut.join(copies, (cut[node] == F.col("__node")) & (cut["__piece"] == F.col("__at"))).drop("__node", "__at", "__piece")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each id of an edge reaches.
 
@@ -292,10 +312,10 @@ def connected(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        low = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")))
+        large = checkpointed(_lowest(edges, "b", low).select("a", F.col("m").alias("b")).where("a != b").distinct())
+        low = checkpointed(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        small = _lowest(large, "a", low)
         edges = checkpointed(small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct())
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == state:

@@ -25,8 +25,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: The longest runs, so that shorter ones needn't be found first to be dropped.
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST = {"assign": 12, "access": 18}
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,60})-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
-JWT = re.compile(r"\b([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+ARMOUR = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{1,60})-----")
+ARMOURED = re.compile(r"[A-Za-z0-9+/=\s:,-]*+")
+#: Runs of the characters of signed tokens; their parts lie between dots.
+DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
+HEADER_CHARS, PAYLOAD_CHARS = 8, 2
 ENCODED = re.compile(r"[A-Za-z0-9+/]{24,}={0,2}|[0-9A-Fa-f]{48,}")
 
 
@@ -105,16 +108,51 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(out)
 
 
+def armoured(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, body) of each END mark with the nearest BEGIN mark of its
+    label before it and nothing but an armoured body between, in one pass."""
+    begun = None
+    for m in ARMOUR.finditer(text):
+        if m[1] == "BEGIN":
+            begun = m
+        elif begun is not None:
+            if m[2] == begun[2] and ARMOURED.match(text, begun.end(), m.start()).end() == m.start():
+                yield begun.start(), m.end(), text[begun.end() : m.start()]
+            begun = None
+
+
+def dotted_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of three neighbouring parts of a dotted run, the first a
+    token header and the second base64; each part is decoded once."""
+    for m in DOTTED.finditer(text):
+        run = m[0]
+        if "ey" not in run or run.count(".") < 2:
+            continue
+        parts = run.split(".")
+        at = [m.start()]
+        for p in parts:
+            at.append(at[-1] + len(p) + 1)
+        done = 0
+        for i in range(len(parts) - 2):
+            head = parts[i].lstrip("-")
+            if i < done or len(head) < HEADER_CHARS or not head.startswith("ey") or len(parts[i + 1]) < PAYLOAD_CHARS:
+                continue
+            if is_token_header(unpadded(head, url=True)) and unpadded(parts[i + 1], url=True) is not None:
+                end = at[i + 2] + len(parts[i + 2])
+                yield at[i + 1] - 1 - len(head), end
+                done = i + 3
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, int, int]]:
     out = []
     if "-----BEGIN" in text:
-        for m in PEM.finditer(text):
-            body = "".join(line for line in m[2].split("\n") if ":" not in line)
+        for start, end, inside in armoured(text):
+            body = "".join(line for line in inside.split("\n") if ":" not in line)
             data = unpadded("".join(body.split()))
-            if data and (is_der(data) or is_ssh(data) or "ENCRYPTED" in m[2]):
-                out.append((m.start(), 3, m.end(), m.start()))
+            if data and (is_der(data) or is_ssh(data) or "ENCRYPTED" in inside):
+                out.append((start, 3, end, start))
     if "." in text and "ey" in text:
-        out += [(m.start(), 4, m.end(), m.start()) for m in JWT.finditer(text) if m[1].startswith("ey") and is_token_header(unpadded(m[1], url=True)) and unpadded(m[2], url=True) is not None]
+        out += [(start, 4, end, start) for start, end in dotted_tokens(text)]
     for m in ENCODED.finditer(text):
         word = m[0]
         data = bytes.fromhex(word) if len(word) % 2 == 0 and not word.strip("0123456789abcdefABCDEF") else unpadded(word)

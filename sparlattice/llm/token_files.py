@@ -15,16 +15,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrays import END, NUMBER, SPACE, Runs, chunks
+from .arrays import END, NUMBER, SPACE, Runs, chunks, hash_runs, packed
 from .bpe import Memory
 from .shared import shared_dir
 
 END_ID = 1
 ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 2_000
+#: Most files whose offsets, one row a file, are broadcast; more are joined by a shuffle.
+BROADCAST_FILES = 1_000_000
+FILE_SCHEMA = "doc_id long, start_in_file long, n_tokens int, ids array<int>"
 #: Characters that normal forms leave alone and that have one-character lower cases lie below it.
 PLAIN_BELOW = 0x300
 DOTTED_I = "İ"
@@ -47,7 +50,7 @@ class WordTokenizer:
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.closes = np.zeros(max(vocab.values()) + 3, dtype=bool)
         self.closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.memory = Memory(1_000_000)
+        self.memory = Memory()
 
     def normal(self, text: str) -> str:
         if text.isascii() or (max(text) < chr(PLAIN_BELOW) and DOTTED_I not in text):
@@ -76,8 +79,9 @@ class WordTokenizer:
         bounds = np.flatnonzero(r.cut)
         keep = (r.kind[bounds[:-1]] != END) & (r.kind[bounds[:-1]] != SPACE)
         starts, stops, joined = bounds[:-1][keep], bounds[1:][keep], r.joined
-        hashes = r.hash_spans(r.prefix(r.points), starts, stops)
-        ids, counts = self.memory.ids_of(hashes, lambda i: joined[starts[i] : stops[i]], self.resolve)
+        blocks = packed(r.points)
+        hashes, second = (hash_runs(blocks, r.points, starts, stops, kind) for kind in (0, 1))
+        ids, counts = self.memory.ids_of(hashes, second, lambda i: joined[starts[i] : stops[i]], self.resolve)
         first = np.searchsorted(starts, np.append(r.begins, len(r.points)))
         return ids, np.concatenate([[0], np.cumsum(counts)])[first]
 
@@ -90,8 +94,8 @@ def word_tokenizer(path: str) -> WordTokenizer:
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, encoding: str = "delta", row_group_bytes: int = ROW_GROUP_BYTES, page_rows: int = PAGE_ROWS) -> None:
     """Write the ids of every whole text to ``path``, ascending in doc_id.
 
-    Columns: doc_id, start_in_file (ids before it in its file), ids (with
-    ``END_ID`` behind the last). ``encoding``: "delta" or "dictionary". Null
+    Columns: doc_id, start_in_file (ids before it in its file), n_tokens, ids
+    (with ``END_ID`` behind the last). ``encoding``: "delta" or "dictionary". Null
     and empty texts have the end id alone; rows of one doc_id follow each other
     in the order of their texts; a null doc_id comes first.
     """
@@ -108,16 +112,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, encoding: str
                 ids = np.insert(ids, bounds[1:], END_ID).astype(np.int32)
                 offsets = np.concatenate([[0], np.cumsum(n + 1)])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(start + offsets[:-1], pa.int64()), lists], names=["doc_id", "start_in_file", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(start + offsets[:-1], pa.int64()), pa.array(n + 1, pa.int32()), lists], names=["doc_id", "start_in_file", "n_tokens", "ids"])
                 start += int(offsets[-1])
 
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(parts, "doc_id")
+        .repartitionByRange(files_for(docs), "doc_id")
         .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(run, "doc_id long, start_in_file long, ids array<int>")
+        .mapInArrow(run, FILE_SCHEMA)
         .write.option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.enable.dictionary", str(encoding == "dictionary").lower())
         .option("parquet.block.size", row_group_bytes)
@@ -127,15 +129,29 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, encoding: str
     )
 
 
+def files_for(docs: DataFrame) -> int:
+    """How many range partitions, each one file: as many as the input is read in,
+    so that files stay of one size however much there is, and not fewer than the
+    session's number."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, ids of every document; filters on doc_id reach the row
-    groups and pages, and columns that aren't asked for aren't read."""
-    rows = spark.read.schema("doc_id long, start_in_file long, ids array<int>").parquet(path).select("*", F.col("_metadata.file_path").alias("__file"))
-    files = rows.groupBy("__file").agg(F.sum(F.size("ids")).cast("long").alias("__n"), F.max("doc_id").alias("__last"))
-    # One row for each file. Later files hold later ids, and a file of null ids comes first.
-    before = files.alias("a").join(files.alias("b"), F.coalesce(F.col("b.__last"), F.lit(-(2**63))) < F.coalesce(F.col("a.__last"), F.lit(-(2**63))), "left")
-    before = before.groupBy(F.col("a.__file").alias("__file")).agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__before"))
-    return rows.join(F.broadcast(before), "__file").select("doc_id", (F.col("__before") + F.col("start_in_file")).alias("start"), "ids")
+    """doc_id, start, n_tokens, ids of every document; filters on doc_id reach the
+    row groups and pages, and columns that aren't asked for aren't read.
+
+    Files are numbered in the order of their ids. One row for each gives the
+    ids before it, without reading the lists of ids.
+    """
+    rows = spark.read.schema(FILE_SCHEMA).parquet(path)
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
+    rows = rows.select("*", number.alias("__file"))
+    files = rows.groupBy("__file").agg(F.sum("n_tokens").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = files.select("__file", before.alias("__before"))
+    if len(rows.inputFiles()) <= BROADCAST_FILES:
+        files = F.broadcast(files)
+    return rows.join(files, "__file").select("doc_id", (F.col("__before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
 
 
 def checksums(tokens: DataFrame) -> DataFrame:
@@ -143,7 +159,7 @@ def checksums(tokens: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(3)
             offsets = np.asarray(lists.offsets)
             raw = memoryview(np.asarray(lists.values).astype("<u4")).cast("B")
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]

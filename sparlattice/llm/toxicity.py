@@ -103,7 +103,7 @@ class Gauge:
         joined, starts, stops = w.joined, w.starts, w.ends_of_words
         if len(self.memory.ids) > self.memory.bound:  # words of many windows
             self.memory.empty()
-        gain, cut = self.memory.ids_of(w.hashes, lambda i: joined[starts[i] : stops[i]], self.gains)
+        gain, cut = self.memory.ids_of(w.hashes, w.second, lambda i: joined[starts[i] : stops[i]], self.gains)
         doc = np.repeat(w.doc, cut)
         n = np.bincount(doc, minlength=w.n)
         k = len(GAINS)
