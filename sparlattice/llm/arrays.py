@@ -21,7 +21,7 @@ _U = np.uint64
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
-    x = np.asarray(x, dtype=np.uint64)
+    x = np.atleast_1d(np.asarray(x, dtype=np.uint64))  # whole arrays wrap around silently
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
     return x ^ (x >> _U(31))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparlattice.llm import arrays, bpe, decontaminate, neardup, quality, queries, secrets, shared, toxicity
-from tests.llm.conftest import components, shingles, words
+from tests.llm.conftest import WORD, components, shingles, words
 
 # ---- 1 ----
 
@@ -142,19 +142,34 @@ def leak_corpus():
     return docs, items
 
 
-@pytest.mark.parametrize("limit", [30, 10**6])
-def test_leaks_equal_brute_force(spark, monkeypatch, limit):
+@pytest.mark.parametrize("held", [30, 10**6])
+def test_leaks_equal_brute_force(spark, monkeypatch, held):
+    monkeypatch.setattr(decontaminate, "PASS_WORDS", 60)
+    monkeypatch.setattr(decontaminate, "PIECE", 20)
     docs, items = leak_corpus()
-    blocks = decontaminate.item_blocks
-    monkeypatch.setattr(decontaminate, "item_blocks", lambda b, percent: blocks(b, limit, percent))
     d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     b = spark.createDataFrame(list(items.items()), "item_id long, text string")
-    got: dict = {}
-    for r in decontaminate.leaks(d, b).collect():
-        got.setdefault(r["doc_id"], []).extend(r["item_ids"])
-    assert {i: sorted(x) for i, x in got.items()} == {i: plain_leaks(t, items) for i, t in docs.items()}
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.leaks(d, b, pass_words=held).collect()}
+    assert got == {i: plain_leaks(t, items) for i, t in docs.items()}
     clean = {i for i, t in docs.items() if not plain_leaks(t, items)}
-    assert {r["doc_id"] for r in decontaminate.cleaned(d, b).collect()} == clean
+    assert {r["doc_id"] for r in decontaminate.cleaned(d, b, pass_words=held).collect()} == clean
+
+
+def test_recall_where_a_cut_item_is_followed_by_one_repeated_word():
+    """Items at just the similarity, their ends replaced by a row of one word: the worst case of a fingerprint over words."""
+    rng = random.Random(8)
+    items = {k: " ".join(f"w{rng.randrange(10_000)}" for _ in range(n)) for k, n in enumerate([30, 59, 59, 100, 140] * 20)}
+    texts, want = [], []
+    for k, item in items.items():
+        w = item.split()
+        n = len(w) - 4
+        cut = n - decontaminate.least_shared(n)
+        texts.append(" ".join(["so", *w[: len(w) - cut], *["|"] * (cut + 30)]))
+        texts.append(" ".join([*["|"] * (cut + 30), *w[cut:]]))
+        want += [[k], [k]]
+    index = decontaminate.Items.of(list(items), [arrays.Words([t]).hashes for t in items.values()])
+    assert [sorted(x) for x in index.hits(texts)] == want
+    assert [plain_leaks(t, items) for t in texts[:6]] == want[:6]
 
 
 def test_leaks_edges(spark, edge_docs, no_docs):
@@ -168,11 +183,11 @@ def test_leaks_edges(spark, edge_docs, no_docs):
 
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(3)
-    items = decontaminate.Items.of(list(range(40)), [arrays.mix(rng.integers(0, 2**62, 20).astype(np.uint64)) for _ in range(40)])
+    items = decontaminate.Index.of(list(range(40)), arrays.mix(rng.integers(0, 2**62, (40, 20)).astype(np.uint64)))
     prints = items.prints[rng.integers(0, 40, 300)].copy()
     for p in prints:
         bits = np.unpackbits(p.view(np.uint8), bitorder="little")
-        bits[rng.permutation(128)[: rng.integers(0, 45)]] ^= 1
+        bits[rng.permutation(128)[: rng.integers(0, 55)]] ^= 1
         p[:] = np.packbits(bits, bitorder="little").view(np.uint16)
     left, item = items.near(prints)
     far = np.bitwise_count(prints[:, None] ^ items.prints[None]).sum(axis=2)
@@ -249,3 +264,45 @@ def test_stages_keep_the_columns_and_survive_empty_tables(spark, sf):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, rows, sf).columns == docs.columns
         assert corpus_pipeline.STAGES[-1][1](spark, rows, sf).count() == rows.count()
+
+
+# ---- 6, beside plain versions ----
+
+
+def plain_features(gauge, text):
+    """Windows of one text one by one, each compressed by compressors of its own."""
+    import zstandard as zs
+
+    params = zs.ZstdCompressionParameters(window_log=17, chain_log=14, hash_log=15, search_log=4, min_match=4, strategy=zs.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False, format=zs.FORMAT_ZSTD1_MAGICLESS)
+    gains = []
+    for word in WORD.findall(text or ""):
+        for w in toxicity.windows(word):
+            framed = toxicity.CARRIER + b" " + w.lower().encode() + b" " + toxicity.CARRIER
+            a, b = (len(zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(d, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=params).compress(framed)) for d in (gauge.toxic, gauge.ordinary))
+            gains.append(b - a)
+    n = max(1, len(gains))
+    shares = [min(10, 100 * sum(g == k or (k == toxicity.GAINS[-1] and g > k) for g in gains) / n) for k in toxicity.GAINS]
+    return [*shares, np.log1p(len(gains))]
+
+
+def test_scores_equal_plain_ones_and_depend_on_no_partition(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    models = [toxicity.fit(docs.repartition(n), labels) for n in (1, 8, 64)]
+    for m in models[1:]:
+        assert (m.gauge.toxic, m.gauge.ordinary) == (models[0].gauge.toxic, models[0].gauge.ordinary)
+        assert np.abs(m.weights - models[0].weights).max() < 1e-9
+    rows = docs.where("length(text) < 1500").orderBy("doc_id").limit(12).collect()
+    texts = [r["text"] for r in rows] + ["", "x" * 450 + " end"]
+    want = np.array([plain_features(models[0].gauge, t) for t in texts])
+    assert models[0].gauge.features(texts) == pytest.approx(want)
+    z = want @ models[0].weights[:-1] + models[0].weights[-1]
+    assert models[0].scores(texts) == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_one_row_for_each_chosen_id_is_gathered(spark):
+    docs = spark.createDataFrame([(i % 5, f"text {i} one two three") for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(5)], "doc_id long, toxic int, quality int")
+    rows = toxicity.labelled_rows(docs, labels, 100).collect()
+    assert len(rows) == len({r["__id"] for r in rows}) <= 5
+    assert quality.labelled_stats(docs, labels, 100).count() == 5
