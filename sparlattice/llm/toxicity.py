@@ -28,8 +28,8 @@ from .shared import written
 #: Most labelled rows that the fit uses: those of lowest hash.
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
+#: Bytes of each dictionary: the best passages and the commonest words that fit.
 DICTIONARY_BYTES = 32_000
-MAX_PASSAGES = 2_000
 PREFIXES = range(4, 13)
 GAINS = range(3, 10)
 CARRIER = bytes([0, 1, 2, 3, 4, 5, 6, 7, 8, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 26, 27, 28])
@@ -114,18 +114,27 @@ class Gauge:
         return np.column_stack([shares, np.log1p(n)])
 
 
-def dictionaries(passages: dict[str, tuple[int, int]], ordinary: list[str], toxic_docs: int, ordinary_docs: int) -> Gauge:
-    """passages: document frequencies (toxic, ordinary); ordinary: words, commonest first."""
+def dictionaries(passages: dict[str, tuple[int, int]], ordinary: list[str], toxic_docs: int, ordinary_docs: int, size: int = DICTIONARY_BYTES) -> Gauge:
+    """passages: document frequencies (toxic, ordinary); ordinary: words, commonest first.
+
+    The best that fit in ``size`` bytes stay; what stands last is nearest, and
+    the carrier closes both.
+    """
     scored = {p: s for p, (k, n) in passages.items() if (s := passage_contrast(k, max(1, toxic_docs), n, ordinary_docs)) >= 15}
     covered = {p[:i] for p in scored for i in range(1, len(p)) if p[:i] in scored and passages[p][0] >= 0.9 * passages[p[:i]][0]}
-    best = sorted((p for p in scored if p not in covered), key=lambda p: (-scored[p], p))[:MAX_PASSAGES]
+    best = sorted((p for p in scored if p not in covered), key=lambda p: (-scored[p], p))
     taken = set(best)
-    # What stands last in a dictionary is nearest; the carrier closes both.
     close = b"\x00" + CARRIER + b"\x00" * 16
     made = []
     for items in (best, [w for w in ordinary if w not in taken]):
-        content = (" " + " ".join(reversed(items)) + " ").encode()
-        made.append(content[-DICTIONARY_BYTES:] + close)
+        held: list[bytes] = []
+        room = size - 2
+        for word in map(str.encode, items):
+            room -= len(word) + 1
+            if room < 0:
+                break
+            held.append(word)
+        made.append(b" " + b" ".join(reversed(held)) + b" " + close)
     return Gauge(made[0], made[1])
 
 
@@ -154,54 +163,72 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ self.weights, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Fit on at most ``fit_rows`` labelled rows, without those that are held out.
+def _words_of(text: str | None) -> set[str]:
+    """The distinct windows of a text."""
+    return {x for w in set(_words(text)) for x in windows(w)}
 
-    ``labels``: doc_id, toxic; rows with a null in either, and all rows of a
-    doc_id whose crc32 modulo 4 is 2, are left out. Without labelled rows of
-    both kinds every score is the share of toxic ones.
-    """
+
+def _passages(words: set[str]) -> set[str]:
+    return {w[:k] for w in words for k in PREFIXES}
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
+    """(__id, text, __toxic, __fold): one text, the first in order, for each of the chosen doc_ids."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     chosen = F.broadcast(chosen.withColumnRenamed("doc_id", "__doc"))
     rows = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(chosen, F.col("__id") == F.col("__doc"))
-    rows = written(rows.select("__id", "text", (F.col("__toxic") > 0).cast("int").alias("__toxic"), F.pmod(F.xxhash64(F.col("__id"), F.lit(7)), F.lit(2)).cast("int").alias("__fold")), "toxic-fit")
-    sizes = {(r["__toxic"], r["__fold"]): r["n"] for r in rows.groupBy("__toxic", "__fold").agg(F.count("*").alias("n")).collect()}
-    docs_of = lambda toxic, folds: sum(sizes.get((toxic, f), 0) for f in folds)
-    least = max(3, docs_of(1, (0, 1)) // 100)
+    rows = rows.groupBy("__id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("__toxic").alias("__toxic"))
+    return rows.select("__id", "text", (F.col("__toxic") > 0).cast("int").alias("__toxic"), F.pmod(F.xxhash64(F.col("__id"), F.lit(7)), F.lit(2)).cast("int").alias("__fold"))
 
-    def toxic_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for batch in batches:
-            for text, fold in zip(batch.column("text").to_pylist(), batch.column("__fold").to_pylist(), strict=True):
-                seen[fold].update({w[:k] for w in set(_words(text)) for k in PREFIXES})
-        yield _counted(seen)
 
-    def ordinary_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def counted(rows: DataFrame, items_of) -> DataFrame:
+    """(item, n0, n1): how many texts of each fold hold an item. Tasks add up
+    what they see and drop nothing, so that partitions make no difference."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in batches:
-            for text, fold in zip(batch.column("text").to_pylist(), batch.column("__fold").to_pylist(), strict=True):
-                words = set(_words(text))
-                seen[fold].update({w[:k] for w in words for k in PREFIXES} & wanted)
-                seen[fold].update("\n" + w for w in words if len(w) <= 40)
-        for fold in seen:  # rare words are no part of a dictionary of the commonest ones
-            seen[fold] = Counter({w: n for w, n in seen[fold].items() if w[0] != "\n" or n > 1})
-        yield _counted(seen)
-
-    schema = "passage string, fold int, n long"
-    summed = lambda df: df.groupBy("passage").agg(*(F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in (0, 1)))
-    toxic = summed(rows.where("__toxic = 1").mapInArrow(toxic_passages, schema)).where(F.col("n0") + F.col("n1") >= least)
-    toxic_n = {r["passage"]: (r["n0"], r["n1"]) for r in toxic.orderBy((F.col("n0") + F.col("n1")).desc(), "passage").limit(50 * MAX_PASSAGES).collect()}
-    wanted = set(toxic_n)
-    counts = summed(rows.where("__toxic = 0").mapInArrow(ordinary_counts, schema))
-    ordinary_n = {r["passage"]: (r["n0"], r["n1"]) for r in counts.where(~F.col("passage").startswith("\n")).collect()}
-    common = counts.where(F.col("passage").startswith("\n")).orderBy((F.col("n0") + F.col("n1")).desc(), "passage").limit(DICTIONARY_BYTES // 4)
-    common_words = [r["passage"][1:] for r in common.collect()]
+            for text, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen[fold].update(items_of(text))
+        for fold, c in seen.items():
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([fold] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["item", "fold", "n"])
+
+    parts = rows.select("text", "__fold").mapInArrow(run, "item string, fold int, n long")
+    return parts.groupBy("item").agg(*(F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in (0, 1)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> Model:
+    """Fit on at most ``fit_rows`` labelled rows, without those that are held out.
+
+    ``labels``: doc_id, toxic; rows with a null in either, and all rows of a
+    doc_id whose crc32 modulo 4 is 2, are left out. Without labelled rows of
+    both kinds every score is the share of toxic ones. Bounds of the fit: the
+    rows, the bytes of a dictionary, and passages of ``PREFIXES`` characters at
+    the start of a window that one in a hundred toxic rows hold. How rows are
+    partitioned makes no difference.
+    """
+    rows = written(labelled_rows(docs, labels, fit_rows), "toxic-fit")
+    sizes = {(r["__toxic"], r["__fold"]): r["n"] for r in rows.groupBy("__toxic", "__fold").agg(F.count("*").alias("n")).collect()}
+
+    def docs_of(toxic: int, folds: tuple[int, ...]) -> int:
+        return sum(sizes.get((toxic, f), 0) for f in folds)
+
+    least = max(3, docs_of(1, (0, 1)) // 100)
+    both = F.col("n0") + F.col("n1")
+    toxic = counted(rows.where("__toxic = 1"), lambda text: _passages(_words_of(text))).where(both >= least)
+    toxic_n = {r["item"]: (r["n0"], r["n1"]) for r in toxic.collect()}
+    wanted = frozenset(toxic_n)
+    ordinary = counted(rows.where("__toxic = 0"), lambda text: _passages(_words_of(text)) & wanted)
+    ordinary_n = {r["item"]: (r["n0"], r["n1"]) for r in ordinary.collect()}
+    # A word and its space take two bytes or more, so that no more words than this fit in a dictionary.
+    common = counted(rows.where("__toxic = 0"), _words_of).orderBy(both.desc(), "item").limit(dictionary_bytes // 2)
+    common_words = [r["item"] for r in common.collect()]
 
     def gauge_of(folds: tuple[int, ...]) -> Gauge:
         none = (0, 0)
         passages = {p: (sum(n[f] for f in folds), sum(ordinary_n.get(p, none)[f] for f in folds)) for p, n in toxic_n.items()}
-        return dictionaries(passages, common_words, docs_of(1, folds), docs_of(0, folds))
+        return dictionaries(passages, common_words, docs_of(1, folds), docs_of(0, folds), dictionary_bytes)
 
     others = [gauge_of((1,)), gauge_of((0,))]
 
@@ -224,12 +251,6 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     return Model(full, logistic(x[:, :-1], x[:, -1]))
 
 
-def _counted(seen: dict[int, Counter]) -> pa.RecordBatch:
-    rows = [(p, f, n) for f, c in seen.items() for p, n in c.items()]
-    columns = zip(*rows, strict=True) if rows else ([], [], [])
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64()), strict=True)], names=["passage", "fold", "n"])
-
-
 def held_out(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
 
