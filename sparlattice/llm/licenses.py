@@ -1,10 +1,11 @@
 """Operator 7: licence scans, with DataFrame functions alone.
 
-The lines and paragraphs of a text, normalised to words, are compared with
-licence templates by the Dice coefficient of their sets of word bigrams. How
-many words a unit may have for any template to reach the threshold is known
-beforehand, so most units are pruned by their size; templates are pruned by
-theirs, and a unit that shares no bigram with any template isn't scored.
+A text is one sequence of normalised words. Windows of as many words as a
+template, each beginning with one of the template's word bigrams, are compared
+with it by the Dice coefficient of their sets of bigrams, wherever lines break
+and whatever stands before and behind. The bigrams that a text shares with any
+template are found once; templates of which it has too few for their size
+bounds are pruned, and so are windows of too few or too many distinct bigrams.
 """
 
 from __future__ import annotations
@@ -17,12 +18,16 @@ from pyspark.sql import functions as F
 
 from .license_templates import TEMPLATES
 
-#: Dice coefficient from which a unit is a licence statement, in hundredths.
+#: Dice coefficient from which a window is a licence statement, in hundredths.
 PERCENT = 80
 
 
+def words_of(text: str) -> list[str]:
+    return re.sub(r"[\W_]+", " ", text.lower()).split()
+
+
 def bigrams_of(text: str) -> list[str]:
-    words = re.sub(r"[^\w]+|_+", " ", text.lower()).split()
+    words = words_of(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
@@ -33,77 +38,73 @@ def size_bounds(n: int, percent: int = PERCENT) -> tuple[int, int]:
     return -(-low.numerator // low.denominator), high.numerator // high.denominator
 
 
-def units_of(text: Column) -> Column:
-    """Distinct normalised lines and paragraphs: words joined by single spaces."""
-    clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
-    lines = F.split(clean, "\n")
-    paragraphs = F.transform(F.split(clean, r"\n *\n"), lambda p: F.regexp_replace(p, r"[ \n]+", " "))
-    return F.array_distinct(F.transform(F.concat(lines, paragraphs), lambda u: F.trim(u)))
+def _literals(values: list[str]) -> Column:
+    return F.array(*(F.lit(v) for v in values))
 
 
 def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_licenses (units that reach the threshold), license and dice of the best one.
+    """doc_id, n_licenses (templates that a window reaches), license and dice of the best one.
 
-    The best unit has the greatest coefficient; of equals, the template's name
-    that comes last. Without such a unit license and dice are null; null and
-    empty texts have none. Repeated rows give repeated results.
+    The best has the greatest coefficient; of equals, the template's name that
+    comes last. Without one license and dice are null; null and empty texts
+    have none. Repeated rows give repeated results.
     """
     sets = {name: bigrams_of(text) for name, text in templates.items()}
     bounds = {name: size_bounds(len(s), percent) for name, s in sets.items()}
-    fewest, most = min(b[0] for b in bounds.values()), max(b[1] for b in bounds.values())
-    every = F.array(*(F.lit(b) for b in sorted({b for s in sets.values() for b in s})))
-
-    def bigrams(unit: Column) -> Column:
-        words = F.split(unit, " ")
-        pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
-        return F.array_distinct(pairs)
-
-    def score(found: Column, name: str) -> Column:
-        template = F.array(*(F.lit(b) for b in sets[name]))
-        shared = F.size(F.array_intersect(found, template))
-        n = F.size(found)
+    fewest = min(b[0] for b in bounds.values())
+    every = _literals(sorted({b for s in sets.values() for b in s}))
+
+    def best_window(grams: Column, name: str) -> Column:
+        own, n = _literals(sets[name]), len(sets[name])
         low, high = bounds[name]
-        enough = n.between(low, high) & (200 * shared >= percent * (n + len(sets[name])))
-        return F.when(enough, F.struct((2.0 * shared / (n + len(sets[name]))).alias("dice"), F.lit(name).alias("license")))
-
-    def words_in(unit: Column) -> Column:
-        return F.length(unit) - F.length(F.replace(unit, F.lit(" "), F.lit(""))) + 1
-
-    # Repeated bigrams count once, so that the number of words bounds the set from below only.
-    units = F.filter(units_of(F.col("text")), lambda u: words_in(u) > fewest)
-    sized = F.filter(F.transform(units, bigrams), lambda s: F.size(s).between(fewest, most) & F.arrays_overlap(s, every))
-    best = F.transform(sized, lambda s: F.array_max(F.array(*(score(s, name) for name in sorted(sets)))))
-    hits = F.filter(best, lambda b: b.isNotNull())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hits.alias("hits"))
+        width = len(words_of(templates[name])) - 1
+
+        def dice(window: Column) -> Column:
+            shared = F.size(F.array_intersect(window, own))
+            size = F.size(window)
+            return F.when(size.between(low, high) & (200 * shared >= percent * (size + n)), 2.0 * shared / (size + n))
+
+        starts = F.filter(F.sequence(F.lit(1), F.size(grams)), lambda i: F.array_contains(own, F.get(grams, i - 1)))
+        return F.array_max(F.transform(F.transform(starts, lambda i: F.array_distinct(F.slice(grams, i, F.lit(width)))), dice))
+
+    def found(grams: Column, common: Column) -> Column:
+        """The templates of which ``common``, what the text shares with all of them, has enough."""
+
+        def one(name: str) -> Column:
+            enough = F.size(F.array_intersect(common, _literals(sets[name]))) >= bounds[name][0]
+            return F.struct(F.when(enough, best_window(grams, name)).alias("dice"), F.lit(name).alias("license"))
+
+        return F.filter(F.array(*(one(name) for name in sorted(sets))), lambda x: x["dice"].isNotNull())
+
+    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
+    # A value that is used more than once is the variable of a function, so that it is made once.
+    grams = F.transform(F.array(words), lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
+    shared = F.transform(grams, lambda g: F.struct(g.alias("g"), F.array_intersect(g, every).alias("c")))
+    hits = F.transform(shared, lambda x: F.when(F.size(x["c"]) >= fewest, found(x["g"], x["c"])))[0]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", hits.alias("hits"))
     top = F.array_max("hits")
-    return rows.select("doc_id", F.size("hits").cast("long").alias("n_licenses"), top["license"].alias("license"), F.round(top["dice"], 6).alias("dice"))
+    return rows.select("doc_id", F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_licenses"), top["license"].alias("license"), F.round(top["dice"], 6).alias("dice"))
 
 
 def oracle_sql(templates: dict[str, str] = TEMPLATES, percent: int = PERCENT) -> str:
     def quoted(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
 
-    rows = ", ".join(f"({quoted(name)}, [{', '.join(map(quoted, bigrams_of(text)))}])" for name, text in templates.items())
+    def row(name: str, text: str) -> str:
+        grams = bigrams_of(text)
+        return f"({quoted(name)}, [{', '.join(map(quoted, grams))}], {len(words_of(text)) - 1}, {size_bounds(len(grams), percent)[0]})"
+
     return f"""
-WITH templates(license, grams) AS (VALUES {rows}),
-clean AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS t FROM documents),
-parts AS (
-  SELECT doc_id, unnest(list_concat(string_split(t, chr(10)), list_transform(string_split_regex(t, '\\n *\\n'), lambda p: regexp_replace(p, '[ \\n]+', ' ', 'g')))) AS u
-  FROM clean),
-units AS (SELECT DISTINCT doc_id, trim(u) AS u FROM parts),
-worded AS (SELECT doc_id, u, string_split(u, ' ') AS w FROM units),
-grams AS (
-  SELECT doc_id, u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
-  FROM worded WHERE len(w) > 1),
-scored AS (
-  SELECT doc_id, u, license, len(list_intersect(g, grams)) AS shared, len(g) AS n, len(grams) AS m
-  FROM grams CROSS JOIN templates),
-hits AS (
-  SELECT doc_id, u, license, 2.0 * shared / (n + m) AS dice,
-    row_number() OVER (PARTITION BY doc_id, u ORDER BY 2.0 * shared / (n + m) DESC, license DESC) AS k
-  FROM scored WHERE 200 * shared >= {percent} * (n + m)),
-best AS (
-  SELECT doc_id, count(*) AS n_licenses, max(struct_pack(dice := dice, license := license)) AS top FROM hits WHERE k = 1 GROUP BY doc_id)
+WITH templates(license, own, width, low) AS (VALUES {", ".join(row(n, t) for n, t in templates.items())}),
+worded AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents),
+grams AS (SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM worded),
+candidates AS (SELECT doc_id, g, license, own, width FROM grams CROSS JOIN templates WHERE len(list_intersect(list_distinct(g), own)) >= low),
+windows AS (
+  SELECT doc_id, license, own, list_distinct(g[i : i + width - 1]) AS v
+  FROM (SELECT *, unnest(list_filter(range(1, len(g) + 1), lambda i: list_contains(own, g[i]))) AS i FROM candidates)),
+scored AS (SELECT doc_id, license, len(list_intersect(v, own)) AS shared, len(v) + len(own) AS both FROM windows),
+hits AS (SELECT doc_id, license, max(2.0 * shared / "both") AS dice FROM scored WHERE 200 * shared >= {percent} * "both" GROUP BY doc_id, license),
+best AS (SELECT doc_id, count(*) AS n_licenses, max(struct_pack(dice := dice, license := license)) AS top FROM hits GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n_licenses, 0) AS BIGINT) AS n_licenses, top.license AS license, round(CAST(top.dice AS DOUBLE), 6) AS dice
 FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id
 """

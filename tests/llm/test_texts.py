@@ -229,14 +229,41 @@ def test_license_sql(spark, sf):
     assert sorted(map(tuple, queries.op7_licenses(spark, sf).collect())) == sorted(con.fetchall())
 
 
-def test_license_units_and_bounds(spark, edge_docs, no_docs):
+def plain_licenses(text, templates):
+    """(license, dice) of the best window, comparing every window of a template's length with it."""
+    w = licenses.words_of(text or "")
+    grams = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+    out = {}
+    for name, t in templates.items():
+        own, width = set(licenses.bigrams_of(t)), len(licenses.words_of(t)) - 1
+        for i in range(len(grams)):
+            v = set(grams[i : i + width])
+            if grams[i] in own and 200 * len(v & own) >= 80 * (len(v) + len(own)):
+                out[name] = max(out.get(name, 0), round(2 * len(v & own) / (len(v) + len(own)), 6))
+    return out
+
+
+def test_license_windows(spark, edge_docs, no_docs):
     from sparlattice.llm.license_templates import TEMPLATES
 
-    wrapped = TEMPLATES["mit-grant"].replace(" documentation ", "\n documentation ").replace("furnished", "\nfurnished")
-    rows = [(1, "x\n\n" + wrapped + "\n\ny"), (2, "released under the mit licence"), (3, "Released   under the MIT license!"), (4, "This is licensed")]
-    got = by_id(licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")))
-    assert got[1]["license"] == "mit-grant" and got[1]["dice"] == 1.0
-    assert got[2]["n_licenses"] == 0 and got[3]["license"] == "mit" and got[4]["license"] is None
+    wrapped = TEMPLATES["mit-full"].replace(" documentation ", "\n// documentation ").replace("furnished", "\n * furnished").replace(" The above", "\n\nThe above")
+    edited = " ".join(w for i, w in enumerate(TEMPLATES["bsd-3-clause"].split()) if i % 17)
+    texts = {
+        1: f"Copyright (c) 2024 me. {wrapped} class Foo: pass",
+        2: "released under the mit licence",
+        3: "Foo 1.0. Released   under the MIT license! See AUTHORS.",
+        4: "This is licensed",
+        5: f"{edited} and more of it",
+        6: TEMPLATES["isc"] + " " + TEMPLATES["gpl-3.0-notice"] + " " + TEMPLATES["gpl-warranty"],
+        7: "of the software " * 300,
+    }
+    got = by_id(licenses.scanned(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    for i, text in texts.items():
+        want = plain_licenses(text, TEMPLATES)
+        assert got[i]["n_licenses"] == len(want), i
+        assert (got[i]["dice"], got[i]["license"]) == max(((d, n) for n, d in want.items()), default=(None, None))
+    assert {"mit-full", "mit-grant", "mit-warranty"} <= set(plain_licenses(texts[1], TEMPLATES)) and got[1]["dice"] == 1.0
+    assert got[2]["n_licenses"] == 0 and got[3]["license"] == "mit" and got[5]["license"] == "bsd-3-clause" and got[6]["n_licenses"] >= 3 and got[7]["license"] is None
     assert licenses.scanned(edge_docs).count() == edge_docs.count() and licenses.scanned(no_docs).count() == 0
     plan = licenses.scanned(edge_docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan.split("== Physical Plan ==")[1])
