@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .training import gathered, gram_rows
+from .training import feature_matrix, gathered, gram_rows
 
 EPS = 1e-12
 
@@ -64,7 +64,7 @@ def design_metrics(rows: DataFrame, features: str, weight: str | None = None, st
     def leverages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                x = feature_matrix(batch.column(0))
                 h = ((((x * np.sqrt(batch.column(1).to_numpy())[:, None]) - centre) / scale) @ projector) ** 2
                 yield pa.RecordBatch.from_arrays([pa.array(h.sum(axis=1))], names=["h"])
 
@@ -118,7 +118,7 @@ def d_optimal(x: np.ndarray, seeds: np.ndarray, groups: list[str], ties: list[tu
         for own in by_group.values():
             own = own[left[own]]
             if len(own) and len(chosen) < budget:
-                gain = np.log1p(np.einsum("ij,jk,ik->i", x[own], inverse, x[own]))
+                gain = np.log1p(((x[own] @ inverse) * x[own]).sum(axis=1))
                 near = own[np.abs(gain - gain.max()) <= tolerance]
                 take(int(min(near, key=lambda i: ties[i])))
     return chosen
@@ -185,7 +185,7 @@ def select_d_optimal(pools: DataFrame, budget: int, ridge: float = 1e-10, tolera
                         of_pool.setdefault(pool, []).append(i)
                 for pool, own in of_pool.items():
                     part = batch.take(pa.array(own))
-                    x = part.column(6).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+                    x = feature_matrix(part.column(6))
                     a = state.get(pool)
                     gain = np.log1p(np.einsum("ij,ij->i", x @ a, x) if a is not None else np.einsum("ij,ij->i", x, x) / ridge)
                     near = np.flatnonzero(gain >= gain.max() - tolerance)

@@ -39,7 +39,11 @@ def moment(element: Column, sign: Column) -> Column:
 
 
 def without_placeholders(sites: DataFrame, label: str = "X") -> DataFrame:
-    return sites.where(F.col("species") != label)
+    """Sites of real species; ValueError if none is left."""
+    out = sites.where(F.col("species") != label)
+    if out.isEmpty():
+        raise ValueError("no site is left without placeholders")
+    return out
 
 
 def rng_for(set_id: str, index: int) -> np.random.Generator:

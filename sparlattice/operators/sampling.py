@@ -72,6 +72,11 @@ class Lattice:
     fields: tuple[float, ...]
     coupling: float
 
+    def __post_init__(self):
+        object.__setattr__(self, "sublattice", tuple(self.sublattice))
+        object.__setattr__(self, "neighbours", tuple(map(tuple, self.neighbours)))
+        object.__setattr__(self, "fields", tuple(self.fields))
+
     @classmethod
     def ring(cls, n: int, fields: Sequence[float] = (0.0, 0.3), coupling: float = -0.5) -> Lattice:
         return cls(tuple(i % 2 for i in range(n)), tuple(((i - 1) % n, (i + 1) % n) for i in range(n)), tuple(fields), coupling)
@@ -252,13 +257,16 @@ def run_block(wl_key: str, spec: SamplerSpec, lattice: Lattice, counts: Sequence
     return (wl_key, block_key(wl_key, parent, new), parent, chain.steps, chain.m, len(chain.entropy), sum(chain.occurrences.values()), new, json.dumps(chain.updates), json.dumps(samples), json.dumps(cations))
 
 
-def run_blocks(chains: DataFrame, spec: SamplerSpec, lattice: Lattice, counts: Sequence[Sequence[int]]) -> DataFrame:
-    """The next block of every chain: (wl_key, seed, parent, state), parent and state null for a new one."""
+def run_blocks(chains: DataFrame, spec: SamplerSpec, lattice: Lattice, counts: Sequence[Sequence[int]] | dict) -> DataFrame:
+    """The next block of every chain: (wl_key, seed, parent, state), parent and state null for a new one.
+
+    ``counts``: atoms by sublattice and species, of all chains or by wl_key.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         r = rows.iloc[0]
         own = SamplerSpec(**{**asdict(spec), "seed": int(r["seed"])})
-        return pd.DataFrame([run_block(r["wl_key"], own, lattice, counts, r["parent"], r["state"])], columns=[c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
+        return pd.DataFrame([run_block(r["wl_key"], own, lattice, counts[r["wl_key"]] if isinstance(counts, dict) else counts, r["parent"], r["state"])], columns=[c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
 
     return chains.groupBy("wl_key").applyInPandas(run, BLOCK_SCHEMA)
 

@@ -43,6 +43,29 @@ def least_force(docs: DataFrame, key: Sequence[str], force: str, energy: str) ->
     return hit.withColumn(energy, F.when(F.col("ties") == 1, F.col(energy)))
 
 
+def converged(tasks: DataFrame, calc, max_force: bool = True) -> DataFrame:
+    """Tasks that a calculator's settings accept.
+
+    ``tasks``: calculator, relax_type, spin_type, frozen_sublattices, max_force,
+    is_force_converged, energy. A machine-learned calculator has no spin, so
+    its tasks are nonmagnetic ones, and they must have converged; the largest
+    force must lie below the setting.
+    """
+    learned = calc.name == "MACE-MPA-0"
+    ok = (F.col("calculator") == calc.calculator) & (F.col("relax_type") == calc.relax_type)
+    ok &= F.col("spin_type") == ("nonmagnetic" if learned else calc.spin_type)
+    ok &= F.coalesce("frozen_sublattices", F.lit("")) == calc.frozen_sublattices
+    ok &= F.col("energy").isNotNull() & F.col("max_force").isNotNull()
+    if max_force:
+        ok &= F.col("max_force") < calc.max_force_eV_per_A
+    return tasks.where(ok & F.coalesce("is_force_converged", F.lit(False)) if learned else ok)
+
+
+def energies_of(tasks: DataFrame, calc) -> DataFrame:
+    """(occ_key, energy): of each structure's accepted tasks the one of least force; a tie fails."""
+    return without_ties(least_force(converged(tasks, calc), ["occ_key"], "max_force", "energy")).select("occ_key", "energy")
+
+
 def without_ties(found: DataFrame) -> DataFrame:
     """``found``, failing where a least force is shared."""
     return found.where(F.assert_true(F.col("ties") == 1, F.lit("two rows have the least force")).isNull())
@@ -54,19 +77,24 @@ def first_per_key(docs: DataFrame, key: Sequence[str], order: Sequence[Column |
     return docs.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
+def whole_row(rows: DataFrame) -> Column:
+    """A row as text: the order among rows that nothing else tells apart."""
+    return F.to_json(F.struct(*(F.col(c) for c in sorted(rows.columns))), {"ignoreNullFields": "false"})
+
+
 def tips(blocks: DataFrame, chain: str, step: str) -> DataFrame:
-    """The latest block of each chain."""
-    return first_per_key(blocks, [chain], [F.desc(step)])
+    """The latest block of each chain; of equal steps the first as text."""
+    return first_per_key(blocks, [chain], [F.desc(step), whole_row(blocks)])
 
 
 def first_matching(blocks: DataFrame, chain: str, step: str, criteria: Column) -> DataFrame:
-    """The earliest block of each chain that is large enough."""
-    return first_per_key(blocks.where(criteria), [chain], [step])
+    """The earliest block of each chain that is large enough; of equal steps the first as text."""
+    return first_per_key(blocks.where(criteria), [chain], [step, whole_row(blocks)])
 
 
 def new_only(rows: DataFrame, existing: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows, one for each key, whose key isn't stored yet."""
-    return rows.dropDuplicates(list(key)).join(existing.select(*key).distinct(), list(key), "left_anti")
+    """Rows, of each key the first as text, whose key isn't stored yet."""
+    return first_per_key(rows, key, [whole_row(rows)]).join(existing.select(*key).distinct(), list(key), "left_anti")
 
 
 def homogeneity(docs: DataFrame, fields: Sequence[str], group: Sequence[str] = ()) -> DataFrame:

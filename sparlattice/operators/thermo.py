@@ -57,12 +57,16 @@ def temperatures(spark: SparkSession, values: Sequence[float]) -> DataFrame:
 def canonical_average(dos: DataFrame, prop: DataFrame, grid: Sequence[float], kb: float = KB_MIX, keys: Sequence[str] = (), value: str = "value") -> DataFrame:
     """(keys..., temperature, mean): softmax over bins of S - E/(kb T), applied to a property.
 
-    ``prop`` is (keys..., bin, value); bins without a property or an entropy
-    play no part. Weights that all vanish give the plain mean.
+    ``prop`` is (keys..., bin, value) and ``dos`` (keys..., bin, energy, entropy);
+    a key that one of them lacks holds for all of its rows. Bins without a
+    property or an entropy play no part. Weights that all vanish give the plain
+    mean.
     """
     spark = dos.sparkSession
     t = F.broadcast(temperatures(spark, grid))
-    rows = prop.join(dos.select("bin", "energy", "entropy"), "bin").crossJoin(t)
+    own = [k for k in keys if k in dos.columns]
+    both = [k for k in own if k in prop.columns]
+    rows = prop.join(dos.select(*own, "bin", "energy", "entropy"), [*both, "bin"]).crossJoin(t)
     rows = rows.withColumn("x", F.col("entropy") - F.col("energy") / (F.lit(kb) * F.col("temperature")))
     top = rows.groupBy(*keys, "temperature").agg(F.max("x").alias("top"))
     w = F.exp(F.col("x") - F.col("top"))

@@ -51,6 +51,19 @@ def column_moments(rows: DataFrame, features: str) -> DataFrame:
     return wide.groupBy("feature").agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std")).withColumn("constant", F.col("std") <= 1e-12)
 
 
+def feature_matrix(column: pa.Array) -> np.ndarray:
+    """Rows of features as a matrix; ValueError for a row without features, one of
+    another length, or a missing value."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten()
+    if column.null_count or flat.null_count:
+        raise ValueError("a row has no features, or one of them is missing")
+    lengths = np.diff(column.offsets.to_numpy())
+    if len(lengths) and (lengths != lengths[0]).any():
+        raise ValueError("rows have different numbers of features")
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def gram_rows(rows: DataFrame, features: str, target: str | None = None, weight: str | None = None, fold: str | None = None) -> DataFrame:
     """(fold, i, j, g): sums of w x_i x_j for i <= j; with a target its products are column p.
 
@@ -67,7 +80,7 @@ def gram_rows(rows: DataFrame, features: str, target: str | None = None, weight:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            x = feature_matrix(batch.column(0))
             if x.shape[1] > MAX_FEATURES:
                 raise ValueError(f"{x.shape[1]} features; at most {MAX_FEATURES}")
             if target:
@@ -127,13 +140,18 @@ def solve(xx: np.ndarray, xy: np.ndarray, n: int, kind: str = "ols", alpha: floa
 
 
 def fit(rows: DataFrame, features: str, target: str, weight: str | None = None, **how) -> np.ndarray:
-    g = gathered(gram_rows(rows, features, target, weight))[0]
+    """Coefficients of the rows; ValueError without rows."""
+    grams = gathered(gram_rows(rows, features, target, weight))
+    if not grams:
+        raise ValueError("no rows to fit")
+    g = grams[0]
     return solve(g[:-1, :-1], g[:-1, -1], rows.count(), **how)
 
 
 def folds(rows: DataFrame, key: str, k: int = 5, seed: int = 0) -> DataFrame:
     """``rows`` with a column fold in 0..k-1 by a hash of the key: no row order, no driver permutation."""
-    return rows.withColumn("fold", F.pmod(F.crc32(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), F.lit(k)).cast("int"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    return rows.withColumn("fold", F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(k)).cast("int"))
 
 
 def sklearn_folds(n: int, seed: int, k: int = 5) -> np.ndarray:

@@ -1,18 +1,30 @@
-"""Command lines: keys of models and chains, and chain extension over a catalogue.
+"""Command lines over a catalogue: make a model, a refined model, extend a chain, or print keys alone.
 
-    python -m sparlattice.plans.cli ensure-model --prototype spinel_Q0O --param a=8.1 ...
+    python -m sparlattice.plans.cli ensure-model --store /shared/store --energies e.parquet --features my.module:features ...
+    python -m sparlattice.plans.cli extend-wl --store /shared/store --ce-key K --composition-map Es:{Mg:2} --repeats 3 ...
+
+Without ``--store`` the keys are printed and nothing runs.
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from ..functions import keys, text
 from .specs import CalcSpec, EnsureModel, EnsureRefined, Mixture, PrototypeSpec
 
 
+def _running(p: argparse.ArgumentParser, energies: bool = True) -> None:
+    p.add_argument("--store", help="the catalogue's folder; keys alone are printed without it")
+    p.add_argument("--lattice", help="JSON of the chains' lattice: sublattice, neighbours, fields, coupling")
+    if energies:
+        p.add_argument("--energies", help="Parquet of (occ_key, energy), or of tasks that the calculator settings choose from")
+        p.add_argument("--features", metavar="MODULE:FUNCTION", help="turns configurations into (set_id, idx, x)")
+
+
 def _common(p: argparse.ArgumentParser) -> None:
     p.add_argument("--prototype", required=True)
     p.add_argument("--param", action="append", default=[], metavar="NAME=VALUE")
@@ -30,27 +42,41 @@ def _common(p: argparse.ArgumentParser) -> None:
     p.add_argument("--balance-alpha", type=float)
 
 
+def _chain(p: argparse.ArgumentParser) -> None:
+    p.add_argument("--ce-key", required=True)
+    p.add_argument("--composition-map", required=True)
+    p.add_argument("--bin-width", type=float, required=True)
+    p.add_argument("--check-period", type=int, default=5_000)
+    p.add_argument("--update-period", type=int, default=1)
+    p.add_argument("--seed", type=int, default=0)
+    p.add_argument("--step-type", default="swap")
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="sparlattice")
     sub = out.add_subparsers(dest="command", required=True)
-    _common(sub.add_parser("ensure-model"))
+    model = sub.add_parser("ensure-model")
     refined = sub.add_parser("ensure-refined")
-    _common(refined)
+    for p in (model, refined):
+        _common(p)
+        _running(p)
     refined.add_argument("--endpoint", action="append", default=[], help="a bare composition map")
     refined.add_argument("--bin-width", type=float, required=True)
     refined.add_argument("--wl-seed", type=int, default=0)
+    refined.add_argument("--check-period", type=int, default=5_000)
     refined.add_argument("--steps", type=int, required=True)
     refined.add_argument("--samples-per-bin", type=int, required=True)
     refined.add_argument("--budget", type=int, required=True)
     refined.add_argument("--min-partial-frac", type=float, default=1.0)
-    chain = sub.add_parser("chain-key")
-    chain.add_argument("--ce-key", required=True)
-    chain.add_argument("--composition-map", required=True)
-    chain.add_argument("--bin-width", type=float, required=True)
-    chain.add_argument("--check-period", type=int, default=5_000)
-    chain.add_argument("--update-period", type=int, default=1)
-    chain.add_argument("--seed", type=int, default=0)
-    chain.add_argument("--step-type", default="swap")
+    extend = sub.add_parser("extend-wl")
+    _chain(extend)
+    _running(extend, energies=False)
+    extend.add_argument("--steps", type=int, required=True)
+    extend.add_argument("--samples-per-bin", type=int, default=0)
+    extend.add_argument("--collect-cation-stats", action="store_true")
+    extend.add_argument("--production-mode", action="store_true")
+    extend.add_argument("--repeats", type=int, default=1)
+    _chain(sub.add_parser("chain-key"))
     return out
 
 
@@ -62,17 +88,69 @@ def model_spec(a: argparse.Namespace, extra: Sequence[Mixture] = ()) -> EnsureMo
     return EnsureModel(PrototypeSpec(a.prototype, params), tuple(a.supercell), mixtures, calc, text.cutoffs(a.cutoffs), {"type": a.reg_type, "alpha": a.alpha, "l1_ratio": a.l1_ratio}, weighting)
 
 
-def main(argv: Sequence[str] | None = None) -> dict:
-    a = parser().parse_args(argv)
-    if a.command == "chain-key":
-        out = {"wl_key": keys.wl_key(a.ce_key, a.bin_width, a.step_type, text.composition_map(a.composition_map), True, a.check_period, a.update_period, a.seed)}
-    elif a.command == "ensure-model":
-        out = {"ce_key": model_spec(a).key}
+def refined_spec(a: argparse.Namespace) -> EnsureRefined:
+    """The endpoints are mixtures of the base model too, one configuration each."""
+    ends = tuple(text.composition_map(e) for e in a.endpoint)
+    base = model_spec(a, [Mixture(e, 1, 0) for e in ends])
+    return EnsureRefined(base, ends, {"bin_width": a.bin_width, "seed": a.wl_seed, "check_period": a.check_period}, a.steps, a.samples_per_bin, a.budget, a.min_partial_frac)
+
+
+def _named(path: str) -> Callable:
+    module, _, name = path.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
+def _inputs(spark, a: argparse.Namespace, calc: CalcSpec):
+    from ..operators import store
+
+    energies = spark.read.parquet(a.energies)
+    if "max_force" in energies.columns:
+        energies = store.energies_of(energies, calc)
+    return energies.select("occ_key", "energy"), _named(a.features)
+
+
+def run(spark, a: argparse.Namespace) -> dict:
+    """What the command makes in the catalogue, as a summary."""
+    from ..operators import sampling
+    from ..sources.catalogue import Catalogue
+    from . import workflows
+
+    store = Catalogue(a.store)
+    lattice = sampling.Lattice(**json.loads(a.lattice)) if a.lattice else None
+    if a.command == "extend-wl":
+        composition = text.composition_map(a.composition_map)
+        counts = [[c[e] for e in sorted(c) if c[e]] for _, c in sorted(composition.items())]
+        sampler = sampling.SamplerSpec(a.bin_width, a.steps, a.check_period, a.update_period, a.seed, a.samples_per_bin, a.collect_cation_stats, a.production_mode)
+        chains = spark.createDataFrame([(keyed(a)["wl_key"], a.seed)], "wl_key string, seed long")
+        last = workflows.extend_chains(spark, store, chains, sampler, lattice, counts, a.repeats).first()
+        return {"wl_block_key": last["wl_block_key"], "step_end": last["step_end"], "mod_factor": last["mod_factor"]}
+    if a.command == "ensure-model":
+        spec = model_spec(a)
+        model = workflows.ensure_model(spark, store, spec, *_inputs(spark, a, spec.calc))
     else:
-        ends = tuple(text.composition_map(e) for e in a.endpoint)
-        base = model_spec(a, [Mixture(e, 1, 0) for e in ends])
-        spec = EnsureRefined(base, ends, {"bin_width": a.bin_width, "seed": a.wl_seed}, a.steps, a.samples_per_bin, a.budget, a.min_partial_frac)
-        out = {"base_ce_key": base.key, "ce_key": spec.key(), "partial_ce_key": spec.key(partial=True), "sampled": len(spec.sampled_mixtures)}
+        refined = refined_spec(a)
+        model = workflows.ensure_refined(spark, store, refined, *_inputs(spark, a, refined.base.calc), lattice)
+    return {"stored": model["ce_key"], "stats": json.loads(model["stats"])}
+
+
+def keyed(a: argparse.Namespace) -> dict:
+    if a.command in ("chain-key", "extend-wl"):
+        return {"wl_key": keys.wl_key(a.ce_key, a.bin_width, a.step_type, text.composition_map(a.composition_map), True, a.check_period, a.update_period, a.seed)}
+    if a.command == "ensure-model":
+        return {"ce_key": model_spec(a).key}
+    spec = refined_spec(a)
+    return {"base_ce_key": spec.base.key, "ce_key": spec.key(), "partial_ce_key": spec.key(partial=True), "sampled": len(spec.sampled_mixtures)}
+
+
+def main(argv: Sequence[str] | None = None, spark=None) -> dict:
+    a = parser().parse_args(argv)
+    out = keyed(a)
+    if getattr(a, "store", None):
+        if spark is None:
+            from pyspark.sql import SparkSession
+
+            spark = SparkSession.builder.appName("sparlattice").getOrCreate()
+        out |= run(spark, a)
     print(json.dumps(out, sort_keys=True))
     return out
 

@@ -122,6 +122,13 @@ def streaming_chain_state(spark, sf_dir):
     return chains.final_states(spark, f"{path}*", schema, 50.0, 100, f"{base}/out", f"{base}/checkpoint").select("chain", "steps", "bins", "mod_factor")
 
 
+@query("SELECT event_type AS chain, CAST(floor(value / 50.0) AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY 1, 2")
+def streaming_visits(spark, sf_dir):
+    path = f"{sf_dir}/events.parquet"
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    return chains.counted_visits(spark, f"{path}*", spark.read.parquet(path).schema, 50.0, f"{base}/out", f"{base}/checkpoint")
+
+
 @query()
 def wl_samples(spark, sf_dir):
     return sampling.sampled_occupancies(sampling.run_blocks(_chains(spark, sf_dir), _SPEC, _LATTICE, _COUNTS))

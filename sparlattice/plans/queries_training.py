@@ -72,19 +72,20 @@ def weighted_gram(spark, sf_dir):
 
 
 def _folded(spark, sf_dir):
-    """Folds by the id: any hash will do, this one both engines have."""
-    return table(spark, sf_dir, "embeddings").withColumn("fold", (F.col("vec_id") * 7 % 5).cast("int"))
+    return tr.folds(table(spark, sf_dir, "embeddings"), "vec_id")
 
 
-@query("SELECT vec_id, CAST(vec_id * 7 % 5 AS INTEGER) AS fold FROM embeddings")
+_FOLD = "CAST(CAST('0x' || substr(md5('0:' || {}vec_id), 1, 8) AS BIGINT) % 5 AS INTEGER)"
+
+
+@query(f"SELECT vec_id, {_FOLD.format('')} AS fold FROM embeddings")
 def fold_assignment(spark, sf_dir):
     return _folded(spark, sf_dir).select("vec_id", "fold")
 
 
-@query(_gram_sql("", "CAST(a.vec_id * 7 % 5 AS INTEGER) AS fold,", "AND a.feature < 8 AND b.feature < 8"))
+@query(_gram_sql("", f"{_FOLD.format('a.')} AS fold,"))
 def fold_gram(spark, sf_dir):
-    rows = _folded(spark, sf_dir).withColumn("x", F.slice("embedding", 1, 8))
-    return _rounded(tr.gram_rows(rows, "x", fold="fold"), "g", digits=6)
+    return _rounded(tr.gram_rows(_folded(spark, sf_dir), "embedding", fold="fold"), "g", digits=6)
 
 
 _COEF = [((i * 37) % 11 - 5) / 10 for i in range(64)]

@@ -120,6 +120,11 @@ class EnsureRefined:
         ends = {keys.comp_map_sig(m) for m in self.endpoints}
         return tuple(m for m in self.base.mixtures if keys.comp_map_sig(m.composition_map) not in ends)
 
+    def wl_key(self, composition: Mapping[str, Mapping[str, int]]) -> str:
+        """The key of the chain of a composition."""
+        p = self.wl_policy
+        return keys.wl_key(self.base.key, p["bin_width"], p.get("step_type", "swap"), composition, True, int(p.get("check_period", 5_000)), int(p.get("update_period", 1)), int(p.get("seed", 0)))
+
     def key(self, partial: bool = False) -> str:
         source = {"type": "dopt_sampling_intent", "base_ce_key": self.base.key, "endpoints": list(self.endpoints), "wl_policy": dict(self.wl_policy), "ensure": {"steps_to_run": self.steps, "samples_per_bin": self.samples_per_bin}, "dopt": {"budget": self.budget}}
         return keys.ce_key(asdict(self.base.prototype), self.base.supercell, [source], self.base.algo, asdict(self.base.calc), {"cutoffs": {str(k): v for k, v in self.base.cutoffs.items()}}, self.min_partial_frac if partial else 1.0, self.base.regularization, self.base.weighting)

@@ -8,15 +8,16 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import asdict
+from dataclasses import asdict, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..operators import design, geometry, joins, training
-from ..sources.catalogue import Catalogue
-from .specs import EnsureModel, EnsureRefined
+from ..operators import design, geometry, joins, sampling, training
+from ..operators import store as operators
+from ..sources.catalogue import Catalogue, checkpointed
+from .specs import EnsureModel, EnsureRefined, Mixture
 
 MODEL_SCHEMA = "kind string, ce_key string, spec string, dataset_key string, coefficients array<double>, stats string, success boolean"
 
@@ -61,32 +62,170 @@ def lookup_model(spark: SparkSession, store: Catalogue, key: str):
     return rows[0] if rows else None
 
 
-def ensure_model(spark: SparkSession, store: Catalogue, spec: EnsureModel, energies: DataFrame, featurise: Callable[[DataFrame], DataFrame]):
-    """The stored model of ``spec``, trained first if there is none.
+def _predicted(x: str, b) -> Column:
+    weights = F.array(*(F.lit(float(c)) for c in b))
+    return F.aggregate(F.zip_with(x, weights, lambda a, c: a.cast("double") * c), F.lit(0.0), lambda s, v: s + v)
 
-    ``energies``: (occ_key, energy) of converged configurations; KeyError if
-    any is missing. ``featurise`` turns configurations into (set_id, idx, x).
+
+def _errors(rows: DataFrame, predicted: str, per_prim: float) -> tuple[dict, dict]:
+    """(statistics of all rows, statistics by composition), per site."""
+    scale = F.lit(float(per_prim))
+    of_all = training.error_stats(rows, F.col("y"), F.col(predicted), scale=scale).first().asDict()
+    by = {r["set_id"]: {k: r[k] for k in ("n", "mae", "rmse", "max_abs")} for r in training.error_stats(rows, F.col("y"), F.col(predicted), ["set_id"], scale).collect()}
+    return of_all, by
+
+
+def report(rows: DataFrame, b, per_prim: float, seed: int, how: dict) -> dict:
+    """In-sample and five-fold statistics, also by composition, and design metrics of (set_id, idx, x, y, weight).
+
+    Fewer than two rows, or rows that all fall in one fold, have the in-sample
+    statistics for both; so has a row whose out-of-fold prediction is no number.
+    """
+    rows = rows.withColumn("__in", _predicted("x", b))
+    in_sample, in_by = _errors(rows, "__in", per_prim)
+    out, out_by = in_sample, in_by
+    keyed = rows.withColumn("__key", F.concat_ws(":", "set_id", "idx"))
+    folded = training.folds(keyed, "__key", 5, seed)
+    if folded.select("fold").distinct().count() > 1:
+        folded = training.cross_validated(folded, "x", "y", weight="weight", **how)
+        folded = folded.withColumn("__out", F.when(F.isnan("predicted") | F.col("predicted").isNull(), F.col("__in")).otherwise(F.col("predicted")))
+        out, out_by = _errors(folded, "__out", per_prim)
+    return {"in_sample": in_sample, "in_sample_by_composition": in_by, "five_fold_cv": out, "five_fold_cv_by_composition": out_by, "design_metrics": asdict(design.design_metrics(rows, "x", "weight"))}
+
+
+def dataset_identity(refs: DataFrame) -> str:
+    """Order-free identity of a set of (set_id, occ_key): sums of parts of the rows'
+    hashes, so that no task and no driver holds the rows."""
+    digest = F.sha2(F.to_json(F.struct("set_id", "occ_key")), 256)
+    parts = [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    sums = refs.select("set_id", "occ_key").distinct().agg(F.count("*"), *(F.sum(p) for p in parts)).first()
+    return keys.digest([str(v) for v in sums])
+
+
+def train_and_store(spark: SparkSession, store: Catalogue, key: str, spec: EnsureModel, described: dict, features: DataFrame, refs: DataFrame):
+    """Fit, report and store a model under ``key``.
+
+    ``features``: (set_id, idx, x); ``refs``: (set_id, idx, occ_key, energy).
     """
-    if (found := lookup_model(spark, store, spec.key)) is not None:
-        return found
-    configs = configurations(spark, spec)
-    refs = joins.complete(configs, energies, ["occ_key"])
     n_prims = spec.supercell[0] * spec.supercell[1] * spec.supercell[2]
-    rows = featurise(configs).join(refs.select("set_id", "idx", "occ_key", (F.col("energy") / n_prims).alias("y")), ["set_id", "idx"])
+    rows = features.join(refs.select("set_id", "idx", "occ_key", (F.col("energy") / n_prims).alias("y")), ["set_id", "idx"])
+    rows = checkpointed(rows)  # features are made once
     if training.balance_applies(spec.weighting):
         rows = rows.join(training.balance_weights(rows, ["set_id"], float((spec.weighting or {}).get("alpha", 1.0))).drop("n"), "set_id")
     else:
         rows = rows.withColumn("weight", F.lit(1.0))
     how = {k: v for k, v in spec.regularization.items() if k in ("alpha", "l1_ratio")} | {"kind": spec.regularization.get("type", "ols")}
     b = training.fit(rows, "x", "y", "weight", **how)
-    weights = F.array(*(F.lit(float(c)) for c in b))
-    predicted = F.aggregate(F.zip_with("x", weights, lambda a, c: a * c), F.lit(0.0), lambda s, v: s + v)
     per_prim = max(1, sum(spec.prototype.active_sites(spec.supercell).values()) // n_prims)
-    stats = training.error_stats(rows, F.col("y"), predicted, scale=F.lit(float(per_prim))).first().asDict()
-    dataset = rows.select("set_id", "occ_key").agg(F.sha2(F.to_json(F.array_sort(F.collect_set(F.struct("set_id", "occ_key")))), 256)).first()[0]
-    model = spark.createDataFrame([("CEModelDoc", spec.key, json.dumps(keys.canonical(asdict(spec)), sort_keys=True), dataset, [float(c) for c in b], json.dumps(stats), True)], MODEL_SCHEMA)
+    stats = report(rows, b, per_prim, spec.cv_seed, how)
+    text = json.dumps(keys.canonical(described), sort_keys=True)
+    model = spark.createDataFrame([("CEModelDoc", key, text, dataset_identity(rows), [float(c) for c in b], json.dumps(stats), True)], MODEL_SCHEMA)
     store.append_new(model, "ce_models", ["ce_key"], MODEL_SCHEMA)
-    return lookup_model(spark, store, spec.key)
+    return lookup_model(spark, store, key)
+
+
+def ensure_model(spark: SparkSession, store: Catalogue, spec: EnsureModel, energies: DataFrame, featurise: Callable[[DataFrame], DataFrame]):
+    """The stored model of ``spec``, trained first if there is none.
+
+    ``energies``: (occ_key, energy) of converged configurations; KeyError if
+    any is missing. ``featurise`` turns (set_id, idx, occ_key, occupation) into
+    (set_id, idx, x).
+    """
+    if (found := lookup_model(spark, store, spec.key)) is not None:
+        return found
+    configs = configurations(spark, spec)
+    refs = joins.complete(configs, energies, ["occ_key"])
+    return train_and_store(spark, store, spec.key, spec, asdict(spec), featurise(configs), refs)
+
+
+def verified(model, rows: DataFrame, per_prim: float = 1.0, atol: float = 1e-9) -> bool:
+    """Whether a stored model's in-sample statistics come out again from (x, y) rows."""
+    now = training.error_stats(rows, F.col("y"), _predicted("x", model["coefficients"]), scale=F.lit(float(per_prim))).first()
+    then = json.loads(model["stats"])["in_sample"]
+    return all(abs(now[k] - then[k]) <= atol * max(1.0, abs(then[k])) for k in ("n", "mae", "rmse", "max_abs"))
+
+
+# ---- chains and the refined model
+
+
+def chain_table(spark: SparkSession, spec: EnsureRefined) -> tuple[DataFrame, dict[str, list[list[int]]], dict[str, list[list[str]]]]:
+    """The chains of the mixtures that are sampled: (wl_key, set_id, seed), the counts
+    of each chain by sublattice and species, and the species of each of its sites."""
+    sites = template_sites(spec.base)
+    rows, counts, species = [], {}, {}
+    for m in spec.sampled_mixtures:
+        key = spec.wl_key(m.composition_map)
+        named = {s: sorted(e for e, n in c.items() if n) for s, c in m.composition_map.items()}
+        counts[key] = [[m.composition_map[s][e] for e in named[s]] for s in sorted(named)]
+        species[key] = [named.get(s, []) for _, s in sites]
+        rows.append((key, keys.comp_map_sig(m.composition_map), int(spec.wl_policy.get("seed", 0))))
+    return spark.createDataFrame(rows, "wl_key string, set_id string, seed long"), counts, species
+
+
+def extend_chains(spark: SparkSession, store: Catalogue, chains: DataFrame, sampler, lattice, counts: dict, repeats: int = 1) -> DataFrame:
+    """Append ``repeats`` blocks to each chain (wl_key, seed), each from its tip in the catalogue; the new blocks."""
+    for _ in range(repeats):
+        tips = operators.tips(store.read(spark, "wl_blocks", sampling.BLOCK_SCHEMA), "wl_key", "step_end")
+        start = chains.select("wl_key", "seed").join(tips.select("wl_key", F.col("wl_block_key").alias("parent"), "state"), "wl_key", "left")
+        blocks = checkpointed(sampling.run_blocks(start, sampler, lattice, counts))
+        store.append_new(blocks, "wl_blocks", ["wl_block_key"], sampling.BLOCK_SCHEMA)
+    return blocks
+
+
+def ensure_blocks(spark: SparkSession, store: Catalogue, spec: EnsureRefined, lattice) -> tuple[DataFrame, dict]:
+    """Of each sampled chain the first block of at least the wanted steps, run if there is none."""
+    chains, counts, species = chain_table(spark, spec)
+    sampler = sampling.SamplerSpec(bin_width=spec.wl_policy["bin_width"], steps=spec.steps, check_period=int(spec.wl_policy.get("check_period", 5_000)), samples_per_bin=spec.samples_per_bin)
+
+    def matching() -> DataFrame:
+        blocks = store.read(spark, "wl_blocks", sampling.BLOCK_SCHEMA).join(chains.select("wl_key"), "wl_key", "left_semi")
+        return operators.first_matching(blocks, "wl_key", "step_end", F.col("step_end") >= spec.steps)
+
+    lacking = checkpointed(chains.join(matching(), "wl_key", "left_anti"))
+    if not lacking.isEmpty():
+        extend_chains(spark, store, lacking, sampler, lattice, counts)
+    return checkpointed(matching().join(chains.select("wl_key", "set_id"), "wl_key")), species
+
+
+def candidates(spark: SparkSession, blocks: DataFrame, species: dict, spec: EnsureRefined) -> tuple[DataFrame, DataFrame]:
+    """(endpoints, samples): (pool, id, grp, bin, occ_hash, occ_key, occupation), one pool in all."""
+    named = F.broadcast(spark.createDataFrame([(k, v) for k, v in species.items()], "wl_key string, species array<array<string>>"))
+    rows = sampling.sampled_occupancies(blocks).join(named, "wl_key").join(F.broadcast(blocks.select("wl_key", "set_id")), "wl_key")
+    place = F.sequence(F.lit(0), F.size("occ") - 1)
+    occupation = F.transform(place, lambda i: F.struct(i.cast("long").alias("site"), F.get(F.get("species", i), F.get("occ", i)).alias("element")))
+    rows = rows.select(F.lit(0).cast("long").alias("pool"), F.pmod(F.xxhash64("set_id", "occ_hash"), F.lit(1 << 62)).alias("id"), F.col("set_id").alias("grp"), "bin", "occ_hash", occupation.alias("occupation"))
+    samples = rows.select("*", F.sha2(F.to_json("occupation"), 256).alias("occ_key"))
+    ends = replace(spec.base, mixtures=tuple(Mixture(e, 1, 0) for e in spec.endpoints))
+    first = configurations(spark, ends)
+    endpoints = first.select(F.lit(0).cast("long").alias("pool"), (-1 - F.pmod(F.xxhash64("occ_key"), F.lit(1 << 62))).alias("id"), F.col("set_id").alias("grp"), F.lit(None).cast("long").alias("bin"), F.col("occ_key").alias("occ_hash"), "occupation", "occ_key")
+    return endpoints, samples
+
+
+def ensure_refined(spark: SparkSession, store: Catalogue, spec: EnsureRefined, energies: DataFrame, featurise: Callable[[DataFrame], DataFrame], lattice):
+    """The stored refined model of ``spec``, made first if there is none.
+
+    The base model, a block of each mixture's chain that is no endpoint (found
+    in the catalogue or run), the D-optimal choice among endpoints and samples,
+    energies of the chosen, and the model trained on them. KeyError if less than
+    ``min_partial_frac`` of the chosen have an energy; with some missing the
+    model is stored under the partial key. ``lattice``: the chains' energy.
+    """
+    if (found := resolve_refined(spark, store, spec)) is not None:
+        return found
+    ensure_model(spark, store, spec.base, energies, featurise)
+    blocks, species = ensure_blocks(spark, store, spec, lattice)
+    endpoints, samples = candidates(spark, blocks, species, spec)
+    both = checkpointed(endpoints.unionByName(samples))
+    configs = both.select(F.col("grp").alias("set_id"), F.col("id").alias("idx"), "occ_key", "occupation")
+    features = checkpointed(featurise(configs))
+    x = features.select(F.col("set_id").alias("grp"), F.col("idx").alias("id"), "x")
+    chosen = select_refined(endpoints.drop("occ_key", "occupation"), samples.drop("occ_key", "occupation"), lambda d: d.join(x, ["grp", "id"]), spec.budget)
+    selected = checkpointed(configs.join(chosen.select(F.col("id").alias("idx")), "idx"))
+    store.append_new(selected.select("set_id", "idx", "occ_key"), f"selected_{spec.key()[:16]}", ["occ_key"], "set_id string, idx long, occ_key string")
+    refs = checkpointed(selected_references(selected, energies, spec.min_partial_frac))
+    partial = refs.count() < selected.count()
+    described = {"base_ce_key": spec.base.key, "endpoints": list(spec.endpoints), "wl_policy": dict(spec.wl_policy), "steps": spec.steps, "samples_per_bin": spec.samples_per_bin, "budget": spec.budget}
+    return train_and_store(spark, store, spec.key(partial=partial), spec.base, described, features.join(refs.select("set_id", "idx"), ["set_id", "idx"], "left_semi"), refs)
 
 
 def resolve_refined(spark: SparkSession, store: Catalogue, spec: EnsureRefined):

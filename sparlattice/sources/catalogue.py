@@ -1,6 +1,6 @@
 """Where documents live: Parquet and JSON folders under one root.
 
-A catalogue stands for the reference's stores. Tables are folders; large
+A catalogue stands for a document store. Tables are folders; large
 fields live in child tables joined by key; what is stored is identified by its
 content key, and rows whose key exists aren't written again.
 """
@@ -15,16 +15,24 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.store import new_only
+
 READERS = ("parquet", "json", "orc")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder of this machine where it is unset."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
+
+    Where the setting is absent a temporary folder of this machine stands in on a
+    local master, where driver and executors are one; elsewhere it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = have.get() if have.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sparlattice-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -58,11 +66,8 @@ class Catalogue:
         return spark.read.format(self.form).schema(schema).load(self.path(name))
 
     def append_new(self, df: DataFrame, name: str, key: Sequence[str], schema: str) -> None:
-        """Append the rows whose key isn't stored, one for each key."""
-        spark = df.sparkSession
-        rows = df.dropDuplicates(list(key))
-        if self.exists(spark, name):
-            rows = rows.join(self.read(spark, name, schema).select(*key).distinct(), list(key), "left_anti")
+        """Append the rows whose key isn't stored, of each key the first as text."""
+        rows = new_only(df, self.read(df.sparkSession, name, schema), key)
         rows.write.mode("append").format(self.form).save(self.path(name))
 
     def rewrite_without(self, df: DataFrame, name: str) -> str:

@@ -55,3 +55,21 @@ def final_states(spark: SparkSession, path: str, schema, width: float, check_per
     written = spark.read.schema(OUTPUT + ", batch long").parquet(out)
     last = written.groupBy("chain").agg(F.max(F.struct("steps", "bins", "mod_factor", "state")).alias("r"))
     return last.select("chain", "r.*")
+
+
+def counted_visits(spark: SparkSession, path: str, schema, width: float, out: str, checkpoint: str) -> DataFrame:
+    """(chain, bin, n) of a stream of events: each batch adds its counts to those
+    of its bins, so that the state is as large as the bins are many, whatever the
+    share of one chain."""
+    from ..operators.thermo import occurrences
+
+    events = spark.readStream.schema(schema).parquet(path)
+    counts = occurrences(events.withColumnRenamed("event_type", "chain"), "value", width, ["chain"])
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    stream = counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(keep).trigger(availableNow=True).start()
+    stream.awaitTermination()
+    written = spark.read.schema("chain string, bin long, n long, batch long").parquet(out)
+    return written.groupBy("chain", "bin").agg(F.max("n").alias("n"))
