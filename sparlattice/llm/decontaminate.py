@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import SHINGLE_WORDS, Words, chunks, mix, windows_of
-from .shared import having_ids, written
+from .shared import Scratch, having_ids, written
 
 #: 100 * shared weight >= PERCENT * weight of both together.
 PERCENT = 75
@@ -318,13 +318,18 @@ def _met(windows: DataFrame, items: DataFrame, percent: int) -> DataFrame:
 
 def _found(docs: DataFrame, benchmark: DataFrame, percent: int, pass_words: int) -> Items | DataFrame:
     """What a task can hold of a small benchmark, or the (key, item_id) pairs that a large one gives."""
-    items = written(_items(benchmark), "items")
+    scratch = Scratch(docs.sparkSession)
+    items = scratch.write(_items(benchmark), "items")
     words = items.agg(F.coalesce(F.sum(F.col("size").cast("long")), F.lit(0))).first()[0]
     if words <= pass_words:
-        return _held(items)
+        held = _held(items)
+        scratch.drop()
+        return held
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
-    windows = written(_candidate_windows(docs, sizes, _bit_table(items, words), percent), "windows")
-    return written(_met(windows, items, percent), "leaks")
+    windows = scratch.write(_candidate_windows(docs, sizes, _bit_table(items, words), percent), "windows")
+    found = written(_met(windows, items, percent), "leaks")
+    scratch.drop()
+    return found
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, pass_words: int = PASS_WORDS) -> DataFrame:

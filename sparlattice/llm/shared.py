@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of 64-bit ids that are broadcast; beyond it the ids are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-
+from ..sources.catalogue import checkpoint_dir as shared_dir
+from ..sources.catalogue import checkpointed
+from ..tables import table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
+__all__ = ["BROADCAST_IDS", "Scratch", "checkpointed", "having_ids", "shared_dir", "table", "written"]
 
-    Where the setting is absent (local runs and tests) a temporary folder is
-    used, which is safe only because driver and executors are one machine.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        have = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = have.get() if have.isDefined() else None
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="sparlattice-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+#: Most rows of 64-bit ids that are broadcast; beyond it the ids are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -55,12 +44,6 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()``, with the folder set first where it is unset."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def having_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
     """Rows of ``df`` whose ``column`` is (``left_semi``) or is not
     (``left_anti``) in the one column of ``ids``.
@@ -74,7 +57,3 @@ def having_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFram
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return df.join(ids, df[column] == F.col(key), how)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

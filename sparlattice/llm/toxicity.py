@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .arrays import Words, chunks
 from .bpe import Memory
-from .shared import written
+from .shared import Scratch
 
 #: Most labelled rows that the fit uses: those of lowest hash.
 FIT_ROWS = 20_000
@@ -208,7 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, dictionary
     the start of a window that one in a hundred toxic rows hold. How rows are
     partitioned makes no difference.
     """
-    rows = written(labelled_rows(docs, labels, fit_rows), "toxic-fit")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.write(labelled_rows(docs, labels, fit_rows), "toxic-fit")
     sizes = {(r["__toxic"], r["__fold"]): r["n"] for r in rows.groupBy("__toxic", "__fold").agg(F.count("*").alias("n")).collect()}
 
     def docs_of(toxic: int, folds: tuple[int, ...]) -> int:
@@ -241,6 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, dictionary
                 yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(y[at : at + len(part)], pa.int32())], names=["x", "y"])
 
     found = rows.mapInArrow(features, "x array<double>, y int").collect()
+    scratch.drop()
     y = np.array([r["y"] for r in found], dtype=float)
     full = gauge_of((0, 1))
     if len(y) == 0 or y.min() == y.max():
