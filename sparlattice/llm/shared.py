@@ -34,7 +34,7 @@ class Scratch:
         self.paths: dict[str, str] = {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        self.paths[name] = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths[name] = f"{shared_dir(self.spark)}/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
         df.write.parquet(self.paths[name])
         return self.spark.read.schema(df.schema).parquet(self.paths[name])
 
