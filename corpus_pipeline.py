@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparlattice.llm import bpe, decontaminate, neardup, quality, secrets
 from sparlattice.llm.queries import BYTE_VOCABULARY, tokenizer_path
-from sparlattice.llm.shared import table, written
+from sparlattice.llm.shared import Scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. A stage's table goes when the next one is written."""
     docs = table(spark, sf_dir, "documents")
+    scratch, last = Scratch(spark), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if last:
+            scratch.drop(last)
+        last = name
     return STAGES[-1][1](spark, docs, sf_dir)
