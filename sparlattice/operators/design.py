@@ -82,6 +82,11 @@ def metrics_frame(spark: SparkSession, m: DesignMetrics) -> DataFrame:
     return spark.createDataFrame([tuple(values.values())], T.StructType([T.StructField(k, kinds[type(v)]) for k, v in values.items()]))
 
 
+def selection_sizes(candidates: DataFrame) -> DataFrame:
+    """(pool, n_candidates, n_groups, p, seed_size): the sizes of each pool's choice."""
+    return candidates.groupBy("pool").agg(F.count("*").alias("n_candidates"), F.count_distinct("grp").alias("n_groups"), F.max(F.size("x")).alias("p"), F.count_if("is_seed").alias("seed_size"))
+
+
 def tie_key(bin_index: int | None, occ_hash: str) -> tuple[str, str]:
     """The order among equal gains: bins as text of twelve places, sign first, so
     that -5 comes before -10 and both before positive ones; no bin last."""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,18 +103,19 @@ def near_points(left: DataFrame, right: DataFrame, axes: Sequence[str], toleranc
 def greedy_matches(pairs: DataFrame, group: str) -> DataFrame:
     """(group, a, b, distance): pairs taken nearest first, each site once, within each group.
 
-    ``pairs``: (group, a, b, distance), within tolerance. A structure's pairs
-    are one group, which its number of sites bounds.
+    ``pairs``: (group, a, b, distance), within tolerance; equal distances in the
+    order of a, then b. A structure's pairs are one group, which its number of
+    sites bounds.
     """
-
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        taken_a, taken_b, keep = set(), set(), []
-        for i, r in enumerate(rows.sort_values(["distance", "a", "b"]).itertuples(index=False)):
-            if r.a not in taken_a and r.b not in taken_b:
-                taken_a.add(r.a)
-                taken_b.add(r.b)
-                keep.append(i)
-        return rows.sort_values(["distance", "a", "b"]).iloc[keep]
-
-    return pairs.groupBy(group).applyInPandas(match, pairs.schema)
-
+    kind = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    nearest = F.array_sort(F.collect_list(F.struct("distance", "a", "b")))
+    pair = f"struct<distance:{kind['distance']},a:{kind['a']},b:{kind['b']}>"
+    none = F.struct(*(F.array().cast(f"array<{t}>").alias(n) for n, t in (("a", kind["a"]), ("b", kind["b"]), ("kept", pair))))
+
+    def step(s: Column, r: Column) -> Column:
+        free = ~F.array_contains(s["a"], r["a"]) & ~F.array_contains(s["b"], r["b"])
+        more = F.struct(F.array_append(s["a"], r["a"]).alias("a"), F.array_append(s["b"], r["b"]).alias("b"), F.array_append(s["kept"], r).alias("kept"))
+        return F.when(free, more).otherwise(s)
+
+    kept = pairs.groupBy(group).agg(F.aggregate(nearest, none, step)["kept"].alias("kept"))
+    return kept.select(group, F.inline("kept")).select(*pairs.columns)

@@ -240,7 +240,7 @@ def block_key(wl_key: str, parent: str, state: str) -> str:
     return hashlib.sha256(json.dumps([wl_key, parent, json.loads(state)], sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
-BLOCK_SCHEMA = "wl_key string, wl_block_key string, parent_wl_block_key string, step_end long, mod_factor double, bins long, visits long, state string, mod_updates string, samples string, cation_counts string"
+BLOCK_SCHEMA = "wl_key string, wl_block_key string, parent_wl_block_key string, step_end long, mod_factor double, bins long, visits long, state string, mod_updates string, samples string, cation_counts string, production_mode boolean"
 
 
 def run_block(wl_key: str, spec: SamplerSpec, lattice: Lattice, counts: Sequence[Sequence[int]], parent: str | None, state: str | None) -> tuple:
@@ -254,7 +254,7 @@ def run_block(wl_key: str, spec: SamplerSpec, lattice: Lattice, counts: Sequence
     samples = [[b, o] for b in sorted(chain.samples) for o in chain.samples[b].values()]
     cations = [[*k, n] for k, n in sorted(chain.cations.items())]
     parent = parent or GENESIS
-    return (wl_key, block_key(wl_key, parent, new), parent, chain.steps, chain.m, len(chain.entropy), sum(chain.occurrences.values()), new, json.dumps(chain.updates), json.dumps(samples), json.dumps(cations))
+    return (wl_key, block_key(wl_key, parent, new), parent, chain.steps, chain.m, len(chain.entropy), sum(chain.occurrences.values()), new, json.dumps(chain.updates), json.dumps(samples), json.dumps(cations), spec.production_mode)
 
 
 def run_blocks(chains: DataFrame, spec: SamplerSpec, lattice: Lattice, counts: Sequence[Sequence[int]] | dict) -> DataFrame:
@@ -323,3 +323,40 @@ def sampled_occupancies(blocks: DataFrame) -> DataFrame:
     rows = rows.select("wl_key", "wl_block_key", F.get_json_object("p", "$[0]").cast("long").alias("bin"), F.from_json(F.get_json_object("p", "$[1]"), "array<int>").alias("occ"))
     rows = rows.withColumn("occ_hash", occ_hash(F.col("occ")))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("wl_block_key").orderBy("bin", "occ_hash")))
+
+
+_STATE = "bin_indices array<bigint>, entropy array<double>, histogram array<bigint>, occurrences array<bigint>, bin_size double"
+
+
+def state_bins(blocks: DataFrame) -> DataFrame:
+    """(wl_key, wl_block_key, bin, energy, entropy, histogram, occurrences) of blocks'
+    states; counts that a state's lists are too short for are 0."""
+    from pyspark.sql import functions as F
+
+    from .thermo import bin_level
+
+    s = blocks.select("wl_key", "wl_block_key", F.from_json("state", _STATE).alias("s")).select("wl_key", "wl_block_key", "s.*")
+    names = ("bin_indices", "entropy", "histogram", "occurrences")
+    rows = s.select("wl_key", "wl_block_key", "bin_size", F.explode(F.arrays_zip(*names)).alias("r")).where("r.bin_indices IS NOT NULL")
+    counts = (F.coalesce(F.col(f"r.{n}"), F.lit(0)).alias(n) for n in names[2:])
+    return rows.select("wl_key", "wl_block_key", F.col("r.bin_indices").alias("bin"), bin_level(F.col("r.bin_indices"), F.col("bin_size")).alias("energy"), "r.entropy", *counts)
+
+
+def production_tips(blocks: DataFrame) -> DataFrame:
+    """The last block of each chain; one that isn't in production mode fails when it is read."""
+    from pyspark.sql import functions as F
+
+    from .store import tips
+
+    sampled = F.assert_true(F.coalesce("production_mode", F.lit(False)), F.concat(F.lit("the last block isn't in production mode: "), F.col("wl_key")))
+    return tips(blocks, "wl_key", "step_end").where(sampled.isNull())
+
+
+def chain_report(blocks: DataFrame) -> DataFrame:
+    """(wl_key, blocks, steps, updates, mod_factor, bins, visits): totals of each chain, the last three at its tip."""
+    from pyspark.sql import functions as F
+
+    updates = F.size(F.from_json("mod_updates", "array<array<double>>"))
+    tip = F.max(F.struct("step_end", "mod_factor", "bins", "visits"))
+    rows = blocks.groupBy("wl_key").agg(F.count("*").alias("blocks"), F.sum(F.greatest(updates, F.lit(0))).alias("updates"), tip.alias("t"))
+    return rows.select("wl_key", "blocks", F.col("t.step_end").alias("steps"), "updates", "t.mod_factor", "t.bins", "t.visits")

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Boltzmann constants in eV/K of the heat capacity and of bin property mixing. Fixed values.
@@ -23,9 +24,9 @@ def bin_id(energy: Column, width: float) -> Column:
     return F.when(F.abs(energy) != float("inf"), F.floor(energy / F.lit(width)).cast("long"))
 
 
-def bin_level(index: Column, width: float) -> Column:
+def bin_level(index: Column, width: float | Column) -> Column:
     """Representative energy: the bin's lower edge."""
-    return index * F.lit(width)
+    return index * (width if isinstance(width, Column) else F.lit(width))
 
 
 def occurrences(rows: DataFrame, energy: str, width: float, keys: Sequence[str] = ()) -> DataFrame:
@@ -141,10 +142,60 @@ def densified(counts: DataFrame, group: Sequence[str], item: str, items: DataFra
     return grid.join(counts, [*group, item], "left").select(*group, item, F.coalesce(F.col(count), F.lit(0)).cast("long").alias(count))
 
 
+def pieced(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` with a column __piece: consecutive ranges of a numeric ``order``, about
+    as many as there are shuffle partitions; rows without an order come first.
+
+    A prefix over a group of any size then takes two windows, one over the rows
+    of a piece and one over one row a piece.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(rows.approxQuantile(order, [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    if not cuts:
+        return rows.withColumn("__piece", F.lit(0.0))
+    x = F.col(order).cast("double")
+    wide = rows.withColumn("__x", x)
+    out = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="__x", outputCol="__piece", handleInvalid="keep").transform(wide)
+    return out.withColumn("__piece", F.when(F.col("__x").isNull(), F.lit(-1.0)).otherwise(F.col("__piece"))).drop("__x")
+
+
+def _with_carry(rows: DataFrame, carry: DataFrame) -> DataFrame:
+    """Rows of a piece behind the row that holds what comes before the piece."""
+    return rows.withColumn("__own", F.lit(True)).unionByName(carry.withColumn("__own", F.lit(False)), allowMissingColumns=True)
+
+
+def _before(group: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(*group).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _so_far(group: Sequence[str], order: str) -> WindowSpec:
+    return Window.partitionBy(*group, "__piece").orderBy("__own", order).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def running_mean(rows: DataFrame, group: Sequence[str], order: str, value: str) -> DataFrame:
-    """The mean of all values so far within the group, in order."""
-    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running_mean", F.avg(value).over(w))
+    """The mean of all values so far within the group, in ``order`` (a number); null before the first value.
+
+    Sums and counts of each piece of a group are carried to the next one, so that
+    a group that holds most rows is spread over all tasks.
+    """
+    cut = pieced(rows, order).withColumn("__sum", F.col(value)).withColumn("__n", F.col(value).isNotNull().cast("long"))
+    totals = cut.groupBy(*group, "__piece").agg(F.sum("__sum").alias("__sum"), F.sum("__n").alias("__n"))
+    w = _before(group)
+    carry = totals.select(*group, "__piece", F.sum("__sum").over(w).alias("__sum"), F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__n"))
+    w = _so_far(group, order)
+    n = F.sum("__n").over(w)
+    mean = F.when(n > 0, F.sum("__sum").over(w).cast("double") / n)
+    return _with_carry(cut, carry).withColumn("running_mean", mean).where("__own").drop("__own", "__piece", "__sum", "__n")
+
+
+def filled_forward(rows: DataFrame, group: Sequence[str], order: str, value: str) -> DataFrame:
+    """``rows`` with missing values replaced by the last one before them in the group, in
+    ``order`` (a number); null before the first value. Pieces as in ``running_mean``."""
+    cut = pieced(rows, order)
+    last = F.max(F.when(F.col(value).isNotNull(), F.struct(order, value)))[value]
+    tips = cut.groupBy(*group, "__piece").agg(last.alias(value))
+    carry = tips.select(*group, "__piece", F.last(value, ignorenulls=True).over(_before(group)).alias(value))
+    return _with_carry(cut, carry).withColumn(value, F.last(value, ignorenulls=True).over(_so_far(group, order))).where("__own").drop("__own", "__piece")
 
 
 def mod_schedule(updates: DataFrame, blocks: DataFrame) -> DataFrame:

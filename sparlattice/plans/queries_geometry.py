@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import geometry as geo
-from ..operators import sampling
-from ..sources.catalogue import checkpoint_dir
+from ..operators import joins, sampling
+from ..sources.catalogue import Catalogue, checkpoint_dir, write_results
 from ..streaming import chains
 from ..tables import table
 from . import workflows
@@ -143,3 +143,68 @@ def refined_selection(spark, sf_dir):
     ends, rest = rows.where("id <= 2").withColumn("bin", F.lit(None).cast("long")), rows.where("id > 2")
     signs = F.transform("occ", lambda o: o.cast("double") * 2 - 1)
     return workflows.select_refined(ends, rest, lambda d: d.withColumn("x", signs), 6)
+
+
+#: Points and nearest neighbours on seven sites: (orbit, cluster, site).
+_ORBITS = [(1, i, i) for i in range(1, 8)] + [(2, i, s) for i in range(1, 7) for s in (i, i + 1)]
+
+
+@query(f"""WITH orbits AS (SELECT * FROM (VALUES {', '.join(map(str, _ORBITS))}) t(orbit_id, cluster_id, site)),
+c AS (SELECT l_orderkey AS structure_id, orbit_id, cluster_id, product(CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE -1.0 END) AS phi FROM lineitem JOIN orbits ON site = l_linenumber GROUP BY ALL)
+SELECT structure_id, orbit_id, round(avg(phi), 9) AS phi FROM c GROUP BY ALL""")
+def orbit_features(spark, sf_dir):
+    value = F.when(F.col("l_linestatus") == "O", 1.0).otherwise(-1.0)
+    sites = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("structure_id"), F.col("l_linenumber").alias("site"), value.alias("value"))
+    orbits = spark.createDataFrame(_ORBITS, "orbit_id int, cluster_id int, site int")
+    return geo.orbit_features(sites, orbits).withColumn("phi", F.round("phi", 9))
+
+
+_SIDE = "SELECT DISTINCT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_linenumber % 2 = {}"
+
+
+@query(f"""WITH RECURSIVE pairs AS (SELECT a.l_orderkey AS structure_id, a.l_linenumber AS a, b.l_linenumber AS b, CAST(abs(a.l_quantity - b.l_quantity) AS DOUBLE) AS distance
+FROM ({_SIDE.format(1)}) a JOIN ({_SIDE.format(0)}) b ON a.l_orderkey = b.l_orderkey WHERE abs(a.l_quantity - b.l_quantity) <= 15),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY distance, a, b) AS place FROM pairs),
+walk AS (SELECT structure_id, place, a, b, distance, TRUE AS kept, [a] AS left_taken, [b] AS right_taken FROM ranked WHERE place = 1
+UNION ALL SELECT r.structure_id, r.place, r.a, r.b, r.distance, NOT list_contains(left_taken, r.a) AND NOT list_contains(right_taken, r.b),
+CASE WHEN list_contains(left_taken, r.a) OR list_contains(right_taken, r.b) THEN left_taken ELSE list_append(left_taken, r.a) END,
+CASE WHEN list_contains(left_taken, r.a) OR list_contains(right_taken, r.b) THEN right_taken ELSE list_append(right_taken, r.b) END
+FROM walk w JOIN ranked r ON r.structure_id = w.structure_id AND r.place = w.place + 1)
+SELECT structure_id, a, b, distance FROM walk WHERE kept""")
+def nearest_pairs(spark, sf_dir):
+    """Lines of an order as sites at their quantities: odd ones matched with even ones, nearest first."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("structure_id"), "l_linenumber", "l_quantity").distinct()
+    left = rows.where("l_linenumber % 2 = 1").select("structure_id", F.col("l_linenumber").alias("a"), F.col("l_quantity").alias("qa"))
+    right = rows.where("l_linenumber % 2 = 0").select("structure_id", F.col("l_linenumber").alias("b"), F.col("l_quantity").alias("qb"))
+    distance = F.abs(F.col("qa") - F.col("qb")).cast("double")
+    pairs = left.join(right, "structure_id").select("structure_id", "a", "b", distance.alias("distance")).where("distance <= 15")
+    return joins.greedy_matches(pairs, "structure_id")
+
+
+@query("SELECT DISTINCT o_custkey, o_orderstatus FROM orders")
+def append_without_repeats(spark, sf_dir):
+    """Keys of orders appended twice, of even customers first: what is stored already isn't written again."""
+    store = Catalogue(f"{checkpoint_dir(spark)}/catalogue-{uuid.uuid4().hex}")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus")
+    schema = "o_custkey long, o_orderstatus string"
+    for some in (rows.where("o_custkey % 2 = 0"), rows):
+        store.append_new(some, "keys", ["o_custkey", "o_orderstatus"], schema)
+    return store.read(spark, "keys", schema)
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def results_by_folder(spark, sf_dir):
+    """Events written as JSON in a folder for each type, and read back."""
+    path = f"{checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
+    write_results(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), path, "event_type")
+    return spark.read.schema("event_id long, user_id long, event_type string").json(path)
+
+
+@query()
+def wl_state_bins(spark, sf_dir):
+    return sampling.state_bins(sampling.run_blocks(_chains(spark, sf_dir), _SPEC, _LATTICE, _COUNTS))
+
+
+@query()
+def wl_report(spark, sf_dir):
+    return sampling.chain_report(sampling.extend(_chains(spark, sf_dir), _SPEC, _LATTICE, _COUNTS, 2))

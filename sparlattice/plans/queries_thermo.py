@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import thermo as th
@@ -201,6 +200,5 @@ def percentile_95(spark, sf_dir):
 @query("""SELECT event_id, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING), 0) AS m
 FROM (SELECT event_id, event_type, CASE WHEN user_id % 5 = 0 THEN value END AS v FROM events)""")
 def forward_fill(spark, sf_dir):
-    w = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    e = table(spark, sf_dir, "events").withColumn("v", F.when(F.col("user_id") % 5 == 0, F.col("value")))
-    return e.select("event_id", F.coalesce(F.last("v", ignorenulls=True).over(w), F.lit(0.0)).alias("m"))
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("user_id") % 5 == 0, F.col("value")).alias("v"))
+    return th.filled_forward(e, ["event_type"], "event_id", "v").select("event_id", F.coalesce("v", F.lit(0.0)).alias("m"))

@@ -106,10 +106,25 @@ def compare_models_verdict(spark, sf_dir):
     return _rounded(tr.verdicts(base, refined, "l_returnflag"), "base", "refined")
 
 
-@query()
+def _solved(grams: str) -> str:
+    """SQL of ridge coefficients: Gauss-Jordan elimination, a column a step, of
+    ``gram`` (fold, i, j, g), whose column 64 is X'y."""
+    return f"""WITH RECURSIVE {_WIDE},
+xy AS (SELECT vec_id, feature, x FROM wide UNION ALL SELECT vec_id, CAST(len(embedding) AS BIGINT), CAST(label AS DOUBLE) FROM embeddings),
+own AS (SELECT {_FOLD.format('a.')} AS fold, a.feature AS i, b.feature AS j, sum(a.x * b.x) AS g FROM xy a JOIN xy b ON a.vec_id = b.vec_id WHERE a.feature < 64 GROUP BY ALL),
+whole AS (SELECT i, j, sum(g) AS g FROM own GROUP BY ALL),
+gram AS ({grams}),
+steps AS (SELECT CAST(-1 AS BIGINT) AS k, fold, i, j, g + CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS v FROM gram
+UNION ALL SELECT k + 1, fold, i, j, CASE WHEN i = k + 1 THEN v / corner ELSE v - down * across / corner END FROM
+(SELECT *, max(CASE WHEN j = k + 1 THEN v END) OVER (PARTITION BY fold, i) AS down, max(CASE WHEN i = k + 1 THEN v END) OVER (PARTITION BY fold, j) AS across,
+ max(CASE WHEN i = k + 1 AND j = k + 1 THEN v END) OVER (PARTITION BY fold) AS corner FROM steps WHERE k < 63)),
+solved AS (SELECT fold, i AS feature, v AS coefficient FROM steps WHERE k = 63 AND j = 64)"""
+
+
+@query(_solved("SELECT 0 AS fold, i, j, g FROM whole") + " SELECT CAST(feature AS INTEGER) AS feature, round(coefficient, 7) AS coefficient FROM solved")
 def ridge_fit(spark, sf_dir):
     b = tr.fit(table(spark, sf_dir, "embeddings"), "embedding", "label", kind="ridge", alpha=1.0)
-    return spark.createDataFrame([(i, round(float(c), 9)) for i, c in enumerate(b)], "feature int, coefficient double")
+    return spark.createDataFrame([(i, round(float(c), 7)) for i, c in enumerate(b)], "feature int, coefficient double")
 
 
 @query()
@@ -118,7 +133,9 @@ def elasticnet_fit(spark, sf_dir):
     return spark.createDataFrame([(i, round(float(c), 9)) for i, c in enumerate(b)], "feature int, coefficient double")
 
 
-@query()
+@query(_solved("SELECT o.fold, i, j, w.g - o.g AS g FROM whole w JOIN own o USING (i, j)") + f""",
+predicted AS (SELECT vec_id, {_FOLD.format('')} AS fold, y, sum(x * coefficient) AS p FROM wide JOIN solved ON solved.fold = {_FOLD.format('')} AND solved.feature = wide.feature GROUP BY ALL)
+SELECT fold, count(*) AS n, round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(max(abs(y - p)), 6) AS max_abs FROM predicted GROUP BY fold""")
 def cv_stats(spark, sf_dir):
     rows = tr.cross_validated(tr.folds(table(spark, sf_dir, "embeddings"), "vec_id"), "embedding", "label", kind="ridge", alpha=1.0)
     return _rounded(tr.error_stats(rows, F.col("label"), F.col("predicted"), ["fold"]), "mae", "rmse", "max_abs", digits=6)
@@ -134,13 +151,21 @@ def design_metrics(spark, sf_dir):
 _ENDPOINTS = list(range(0, 2000, 100))
 
 
-@query()
-def dopt_select(spark, sf_dir):
+def _pools(spark, sf_dir):
+    """One design a label, as each composition's samples are one pool."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     codes = F.transform("embedding", lambda v: F.rint(v.cast("double") * 1000).cast("int"))
-    pools = table(spark, sf_dir, "embeddings").select(
-        F.lit(0).cast("long").alias("pool"), F.col("vec_id").alias("id"), F.col("vec_id").isin(_ENDPOINTS).alias("is_seed"), F.col("label").cast("string").alias("grp"),
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("label").cast("long").alias("pool"), F.col("vec_id").alias("id"), F.col("vec_id").isin(_ENDPOINTS).alias("is_seed"), F.col("label").cast("string").alias("grp"),
         F.floor(F.col("embedding")[0] * 10).cast("long").alias("bin"), col.occ_hash(codes).alias("occ_hash"), x.alias("x"),
     )
-    # One design a label, as each composition's samples are one pool.
-    return design.select_d_optimal(pools.withColumn("pool", F.col("grp").cast("long")), 20)
+
+
+@query()
+def dopt_select(spark, sf_dir):
+    return design.select_d_optimal(_pools(spark, sf_dir), 20)
+
+
+@query(f"SELECT CAST(label AS BIGINT) AS pool, count(*) AS n_candidates, count(DISTINCT label) AS n_groups, CAST(max(len(embedding)) AS INTEGER) AS p, count(*) FILTER (WHERE vec_id IN ({', '.join(map(str, _ENDPOINTS))})) AS seed_size FROM embeddings GROUP BY 1")
+def selection_sizes(spark, sf_dir):
+    return design.selection_sizes(_pools(spark, sf_dir))

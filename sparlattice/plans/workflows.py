@@ -138,6 +138,14 @@ def ensure_model(spark: SparkSession, store: Catalogue, spec: EnsureModel, energ
     return train_and_store(spark, store, spec.key, spec, asdict(spec), featurise(configs), refs)
 
 
+def mixtures_of(model) -> tuple[Mixture, ...]:
+    """The mixtures that a stored model was trained on; ValueError if its spec has none."""
+    found = json.loads(model["spec"]).get("mixtures") or []
+    if not found:
+        raise ValueError("the model's spec has no mixtures")
+    return tuple(Mixture(m["composition_map"], int(m["K"]), int(m["seed"])) for m in found)
+
+
 def verified(model, rows: DataFrame, per_prim: float = 1.0, atol: float = 1e-9) -> bool:
     """Whether a stored model's in-sample statistics come out again from (x, y) rows."""
     now = training.error_stats(rows, F.col("y"), _predicted("x", model["coefficients"]), scale=F.lit(float(per_prim))).first()

@@ -283,3 +283,110 @@ def test_model_workflow(spark, tmp_path):
     model = workflows.ensure_model(spark, store_, spec, energies, featurise)
     assert model.coefficients == pytest.approx([2.0], rel=1e-5)
     assert workflows.ensure_model(spark, store_, spec, energies.limit(0), featurise).ce_key == spec.key
+
+
+# ---- prefixes over groups of any size
+
+
+def test_prefixes_are_those_of_one_window(spark):
+    rng = np.random.default_rng(3)
+    data = [("hot" if i % 10 else None, int(o), None if i % 3 else float(i)) for i, o in enumerate(rng.permutation(500))]
+    d = spark.createDataFrame(data, "g string, o long, v double")
+    seen, last, n = {}, {}, {}
+    wanted = []
+    for g, o, v in sorted(data, key=lambda r: r[1]):
+        if v is not None:
+            seen[g], n[g], last[g] = seen.get(g, 0) + v, n.get(g, 0) + 1, v
+        wanted.append((o, seen[g] / n[g] if g in n else None, last.get(g)))
+    mean = {r.o: r.running_mean for r in thermo.running_mean(d, ["g"], "o", "v").collect()}
+    fill = {r.o: r.v for r in thermo.filled_forward(d, ["g"], "o", "v").collect()}
+    assert mean == pytest.approx({o: m for o, m, _ in wanted}) and fill == {o: f for o, _, f in wanted}
+    for f in (thermo.running_mean, thermo.filled_forward):
+        assert f(d.limit(0), ["g"], "o", "v").count() == 0
+        one = f(spark.createDataFrame([("a", None, 1.0), ("a", 2, 3.0)], "g string, o long, v double"), ["g"], "o", "v")
+        assert one.count() == 2
+
+
+# ---- what chains leave behind
+
+
+_RING, _ATOMS = sampling.Lattice.ring(12), ((3, 3), (4, 2))
+
+
+def _blocks(spark, **more):
+    spec = sampling.SamplerSpec(bin_width=0.5, steps=600, check_period=100, samples_per_bin=2, collect_cation_stats=True, **more)
+    chains = spark.createDataFrame([("a", 1, None, None), ("b", 2, None, None)], "wl_key string, seed long, parent string, state string")
+    return catalogue.checkpointed(sampling.run_blocks(chains, spec, _RING, _ATOMS))
+
+
+def test_counts_and_samples_agree_with_the_states(spark):
+    blocks = _blocks(spark)
+    bins = sampling.state_bins(blocks)
+    visits = {(r.wl_key, r.bin): r.occurrences for r in bins.collect()}
+    assert {r.wl_key: r.visits for r in blocks.collect()} == {k: sum(v for (w, _), v in visits.items() if w == k) for k in "ab"}
+    counts = sampling.occupancy_counts(blocks)
+    short = set()
+    for r in counts.groupBy("wl_key", "bin", "sublattice", "element").agg(F.sum("count").alias("n")).collect():
+        assert r.n <= visits[r.wl_key, r.bin]
+        short |= {(r.wl_key, r.bin)} if r.n < visits[r.wl_key, r.bin] else set()
+    # Counting starts at the first accepted swap, so that only a chain's first bin may have fewer.
+    assert len({k for k, _ in short}) == len(short)
+    # Chains keep what each sublattice holds.
+    assert {(r.sublattice, r.element, r.n_sites) for r in counts.collect()} == {(0, 0, 3), (0, 1, 3), (1, 0, 4), (1, 1, 2)}
+    samples = sampling.sampled_occupancies(blocks).collect()
+    assert {(r.wl_key, r.bin) for r in samples} <= set(visits)
+    for r in samples:
+        assert sorted(o for o, s in zip(r.occ, _RING.sublattice, strict=True) if s == 0) == [0] * 3 + [1] * 3
+    per_bin = {}
+    for r in samples:
+        per_bin.setdefault((r.wl_key, r.bin), []).append(r.occ_hash)
+    assert all(len(v) == len(set(v)) <= 2 for v in per_bin.values())
+
+
+def test_short_lists_of_a_state_are_padded(spark):
+    b = spark.createDataFrame([("a", "k", '{"bin_indices":[-1,2],"entropy":[1.0,2.0],"histogram":[3],"occurrences":[],"bin_size":0.5}')], "wl_key string, wl_block_key string, state string")
+    assert rows(sampling.state_bins(b)) == [("a", "k", -1, -0.5, 1.0, 3, 0), ("a", "k", 2, 1.0, 2.0, 0, 0)]
+
+
+def test_only_production_tips_are_analysed(spark):
+    blocks = _blocks(spark)
+    with pytest.raises(PySparkException):
+        sampling.production_tips(blocks).collect()
+    later = blocks.withColumn("step_end", F.col("step_end") + 1).withColumn("production_mode", F.lit(True))
+    assert sampling.production_tips(blocks.unionByName(later)).count() == 2
+    report = sampling.chain_report(blocks.unionByName(later)).collect()
+    assert all((r.blocks, r.steps) == (2, 601) for r in report)
+
+
+def test_kicks_move_movable_sites_alone(spark):
+    d = spark.createDataFrame([("s", i, float(i), 0.0, 0.0, i != 1) for i in range(3)], "structure_id string, site_idx int, x double, y double, z double, movable boolean")
+    step = np.random.default_rng(12345).normal(0.0, 0.01, (3, 3))
+    for r in geometry.kicked(d).collect():
+        wanted = [float(r.site_idx), 0.0, 0.0] + step[r.site_idx] * (r.site_idx != 1)
+        assert [r.x, r.y, r.z] == pytest.approx(list(wanted))
+
+
+def test_formulas_and_disordered_sites():
+    assert geometry.reduced_formula({"O": 8, "Mg": 2, "Al": 4, "X": 0}) == "Al2MgO4"
+    assert geometry.disordered_site(["Mg", "Al"], ["X", "Al"]) == {"Al": 1 / 3, "Mg": 1 / 3, "X": 1 / 3}
+    with pytest.raises(ValueError):
+        geometry.disordered_site([], [])
+
+
+def test_streamed_states_are_those_of_one_pass(spark, sf):
+    """Of every chain the steps, bins and factor after all events in order of their ids."""
+    from sparlattice import registry
+
+    wanted = {}
+    for r in spark.read.parquet(f"{sf}/events.parquet").orderBy("event_id").collect():
+        c = wanted.setdefault(r.event_type, {"seen": {}, "h": {}, "n": 0, "m": 1.0})
+        b = int(r.value // 50.0)
+        c["seen"][b] = True
+        c["h"][b] = c["h"].get(b, 0) + 1
+        c["n"] += 1
+        if c["n"] % 100 == 0:
+            h = [c["h"].get(k, 0) for k in c["seen"]]
+            if len(h) > 1 and min(h) * len(h) > 0.8 * sum(h):
+                c["h"], c["m"] = {}, c["m"] / 2
+    got = {r.chain: (r.steps, r.bins, r.mod_factor) for r in registry.queries()["streaming_chain_state"](spark, sf).collect()}
+    assert got == {k: (c["n"], len(c["seen"]), c["m"]) for k, c in wanted.items()}

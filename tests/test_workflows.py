@@ -78,6 +78,9 @@ def test_stored_models_verify(spark, tmp_path):
     at = catalogue.Catalogue(f"file://{tmp_path}/store")
     spec, energies = base(), every_energy(spark)
     model = workflows.ensure_model(spark, at, spec, energies, features)
+    assert workflows.mixtures_of(model) == spec.mixtures
+    with pytest.raises(ValueError):
+        workflows.mixtures_of({"spec": "{}"})
     rows = features(workflows.configurations(spark, spec)).join(workflows.configurations(spark, spec).join(energies, "occ_key").select("set_id", "idx", F.col("energy").alias("y")), ["set_id", "idx"])
     sites = sum(spec.prototype.active_sites(spec.supercell).values())
     assert workflows.verified(model, rows, sites) and not workflows.verified(model, rows.withColumn("y", F.col("y") + 1), sites)
