@@ -50,13 +50,23 @@ def hash_runs(blocks: np.ndarray, points: np.ndarray, starts: np.ndarray, ends:
     seed, factor = _KINDS[kind]
     n = ends - starts
     h = mix(n.astype(np.uint64) + seed)
-    rows = np.flatnonzero((n > 0) & (n <= LONG_RUN))
-    at, left = starts[rows], n[rows]
-    while len(rows):
-        x = blocks[at] & _LEFT[np.minimum(left, 3)]
-        h[rows] = mix(h[rows] ^ (x * factor))
-        on = left > 3
-        rows, at, left = rows[on], at[on] + 3, left[on] - 3
+    # Longest first: the runs that a step still touches are the first ones.
+    size = np.minimum(n, LONG_RUN + 1).astype(np.uint8)
+    longer = np.append(np.cumsum(np.bincount(size, minlength=LONG_RUN + 2)[::-1])[::-1], 0)
+    rows = np.argsort(size, kind="stable")[::-1][longer[LONG_RUN + 1] :]
+    at, left, g = starts[rows], n[rows], h[rows]
+    for k in range(0, LONG_RUN, 3):
+        m = int(longer[k + 1] - longer[LONG_RUN + 1])
+        if not m:
+            break
+        x = blocks[at[:m] + k]
+        ending = m - int(longer[k + 3] - longer[LONG_RUN + 1])
+        if ending:
+            x[m - ending :] &= _LEFT[left[m - ending : m] - k]
+        x *= factor
+        x ^= g[:m]
+        g[:m] = mix(x)
+    h[rows] = g
     for i in np.flatnonzero(n > LONG_RUN).tolist():
         digest = hashlib.blake2b(points[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
         h[i] = int.from_bytes(digest[8 * kind : 8 * kind + 8], "little")

@@ -13,6 +13,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -164,20 +165,32 @@ class Memory:
         return self.keys[self.find(keys)] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
 
     def add(self, keys: np.ndarray, second: np.ndarray, found: list[list[int]]) -> None:
+        """``keys``: ascending, none of them known."""
         n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        ids = np.fromiter((i for x in found for i in x), dtype=np.int32, count=int(n.sum()))
+        ids = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(n.sum()))
         at = np.cumsum(n) - n + len(self.ids)
-        order = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
-        self.keys = np.concatenate([self.keys, keys])[order]
-        self.second = np.concatenate([self.second, second])[order]
-        self.at = np.concatenate([self.at, at.astype(np.uint32)])[order]
-        self.n = np.concatenate([self.n, n.astype(np.uint32)])[order]
+        place = np.searchsorted(self.keys, keys) + np.arange(len(keys))
+        old = np.ones(len(self.keys) + len(keys), dtype=bool)
+        old[place] = False
+
+        def both(held: np.ndarray, new: np.ndarray) -> np.ndarray:
+            out = np.empty(len(old), dtype=held.dtype)
+            out[old], out[place] = held, new
+            return out
+
+        self.keys, self.second = both(self.keys, keys), both(self.second, second)
+        self.at, self.n = both(self.at, at), both(self.n, n)
         self.ids = np.concatenate([self.ids, ids])
 
     def ids_of(self, hashes: np.ndarray, second: np.ndarray, word_at, resolve) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, how many ids each word has). ``word_at(i)``: the i-th
         word; ``resolve(words)``: the ids of each."""
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        new = np.concatenate([np.ones(min(1, len(hashes)), dtype=bool), ordered[1:] != ordered[:-1]])
+        distinct, first = ordered[new], order[new]
+        inverse = np.empty(len(hashes), dtype=np.int64)
+        inverse[order] = np.cumsum(new) - 1
         if len(self.keys) > self.bound:
             self.empty()
         known = self.known(distinct)

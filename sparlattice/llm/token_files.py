@@ -33,6 +33,15 @@ PLAIN_BELOW = 0x300
 DOTTED_I = "İ"
 
 
+def _is_latin1(text: str) -> bool:
+    """Whether all characters lie below U+0100; much sooner known than the largest one."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordTokenizer:
     """A tokenizer file whose words are independent of each other.
 
@@ -53,7 +62,7 @@ class WordTokenizer:
         self.memory = Memory()
 
     def normal(self, text: str) -> str:
-        if text.isascii() or (max(text) < chr(PLAIN_BELOW) and DOTTED_I not in text):
+        if text.isascii() or _is_latin1(text) or (max(text) < chr(PLAIN_BELOW) and DOTTED_I not in text):
             return text.lower()
         return self.tokenizer.normalizer.normalize_str(text)
 
