@@ -13,7 +13,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +95,8 @@ class Vocabulary:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.pairs[left << 32 | right] = rank
+        #: first byte, second byte -> id of both together, or -1
+        self.byte_pairs = [[self.pairs.get(a << 32 | b, -1) for b in self.byte_ids] for a in self.byte_ids]
         self.memory = Memory()
 
     def resolve(self, words: list[str]) -> list[list[int]]:
@@ -108,33 +110,32 @@ class Vocabulary:
         """Merge the pair of lowest rank, leftmost first, until none is left."""
         ids = [self.byte_ids[b] for b in word]
         n = len(ids)
-        pairs = self.pairs
-        heap = []
-        for i in range(n - 1):
-            rank = pairs.get(ids[i] << 32 | ids[i + 1])
-            if rank is not None:
-                heap.append(rank << 32 | i)
+        #: Of the pair that begins at each place, the rank; -1 if it isn't merged.
+        best = [self.byte_pairs[a][b] for a, b in pairwise(word)]
+        best.append(-1)
+        pairs, pop, push = self.pairs.get, heapq.heappop, heapq.heappush
+        heap = [rank << 32 | i for i, rank in enumerate(best) if rank >= 0]
         heapq.heapify(heap)
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
         while heap:
-            top = heapq.heappop(heap)
+            top = pop(heap)
             rank, i = top >> 32, top & 0xFFFFFFFF
-            j = after[i]
-            if ids[i] < 0 or j >= n or pairs.get(ids[i] << 32 | ids[j]) != rank:
+            if best[i] != rank:
                 continue
-            ids[i], ids[j] = rank, -1
+            j = after[i]
+            ids[i], ids[j], best[i], best[j] = rank, -1, -1, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                new = pairs.get(rank << 32 | ids[k])
-                if new is not None:
-                    heapq.heappush(heap, new << 32 | i)
+                new = best[i] = pairs(rank << 32 | ids[k], -1)
+                if new >= 0:
+                    push(heap, new << 32 | i)
             h = before[i]
             if h >= 0:
-                new = pairs.get(ids[h] << 32 | rank)
-                if new is not None:
-                    heapq.heappush(heap, new << 32 | h)
+                new = best[h] = pairs(ids[h] << 32 | rank, -1)
+                if new >= 0:
+                    push(heap, new << 32 | h)
         return [x for x in ids if x >= 0]
 
 
