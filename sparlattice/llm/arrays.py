@@ -9,6 +9,7 @@ about ``CHUNK_CHARS`` characters (or one longer text) at a time.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
 
@@ -190,6 +191,41 @@ def classes() -> np.ndarray:
     return table
 
 
+def library_classes(pre_tokenizer, step: int = 4_096) -> bytes:
+    """The class of every code point as a tokenizers pre-tokenizer has it, compressed.
+
+    The library's own character tables decide, whatever Unicode version Python
+    knows. A run of characters ``r`` is cut within ``a r 1 r !`` (without the
+    spaces): letters join the ``a``, other characters the ``!``; a run of neither
+    kind is halved, down to one character, which is a number if it joins the ``1``
+    or, where digits stand alone, itself. Surrogates, which no text holds, are
+    OTHER. Some two seconds of the driver; tasks get the table.
+    """
+    table = np.full(0x110000, OTHER, dtype=np.uint8)
+    # Whether white space between words is a token of its own or is left out.
+    keeps = any(span == (1, 2) for _, span in pre_tokenizer.pre_tokenize_str("a\n1\n!"))
+    runs = [(i, min(i + step, stop)) for start, stop in ((0, 0xD800), (0xE000, 0x110000)) for i in range(start, stop, step)]
+    while runs:
+        start, stop = runs.pop()
+        n, run = stop - start, "".join(map(chr, range(start, stop)))
+        spans = {span for _, span in pre_tokenizer.pre_tokenize_str(f"a{run}1{run}!")}
+        if (0, n + 1) in spans:
+            table[start:stop] = LETTER
+        elif (n + 2, 2 * n + 3) in spans:
+            table[start:stop] = OTHER
+        elif n > 1:
+            runs += [(start, start + n // 2), (start + n // 2, stop)]
+        else:
+            table[start] = NUMBER if ((1, 4) if keeps else (1, 2)) in spans else SPACE
+    table[0x20] = SPACE
+    return zlib.compress(table.tobytes())
+
+
+@lru_cache(maxsize=4)
+def unpacked_classes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), dtype=np.uint8)
+
+
 #: Letters that an apostrophe takes with it at the start of a token. Fixed values.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -201,11 +237,12 @@ class Runs(Scan):
     and one of ``CONTRACTIONS`` follows is joined with these letters.
     """
 
-    def __init__(self, texts: list[str], after_space: bool):
-        """``after_space``: a space before the apostrophe takes it away from the letters behind."""
+    def __init__(self, texts: list[str], after_space: bool, table: np.ndarray | None = None):
+        """``after_space``: a space before the apostrophe takes it away from the letters
+        behind. ``table``: the class of every code point, Python's own where none is given."""
         super().__init__(texts)
         p = self.points
-        self.kind = classes()[p]
+        self.kind = (classes() if table is None else table)[p]
         self.kind[self.ends] = END
         k = self.kind
         cut = np.empty(len(p) + 1, dtype=bool)

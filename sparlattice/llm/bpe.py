@@ -223,8 +223,8 @@ class PreTokens(Runs):
     """The matches of the byte-level pattern: contractions, words, numbers and
     other runs with one space before them, white space."""
 
-    def __init__(self, texts: list[str]):
-        super().__init__(texts, after_space=True)
+    def __init__(self, texts: list[str], table: np.ndarray | None = None):
+        super().__init__(texts, after_space=True, table=table)
         k, p, cut = self.kind, self.points, self.cut
         b = np.flatnonzero((k[:-1] == SPACE) & (k[1:] != SPACE) & (k[1:] != END)) + 1
         cut[b - 1] = True

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, html, licenses, neardup, quality, secrets, token_files, toxicity
+from . import alignment, bpe, chat, decontaminate, divergence, html, licenses, mixing, neardup, quality, secrets, token_files, toxicity
 from .shared import table
 
 BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 WORD_TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -64,6 +66,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sizes(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digests(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER), tokenizer_path(PIECE_MODEL))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_neardup": op1_neardup,
@@ -76,8 +90,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_decontaminate": op9_decontaminate,
         "op10_quality": op10_quality,
+        "op11_mixing": op11_mixing,
+        "op12_alignment": op12_alignment,
+        "op13_divergence": op13_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_licenses": licenses.oracle_sql()}
+    return {"op7_licenses": licenses.oracle_sql(), "op11_mixing": mixing.oracle_sql(), "op13_divergence": divergence.oracle_sql()}
