@@ -7,7 +7,8 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401  pa.compute
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,6 +94,88 @@ def tie_key(bin_index: int | None, occ_hash: str) -> tuple[str, str]:
     return ("~~~~" if bin_index is None else str(int(bin_index)).zfill(12), occ_hash)
 
 
+def _gain(x: np.ndarray, inverse: np.ndarray) -> float:
+    """log1p(x A^-1 x') of one row: the same number wherever the row stands."""
+    return float(np.log1p(x @ (inverse @ x)))
+
+
+class _Held:
+    """Candidates of one pool and group in memory: the best by gains that may be stale.
+
+    The information matrix only grows, so gains never do: a stale gain is an upper
+    bound, and so is ``bound`` for all candidates that aren't held.
+    """
+
+    def __init__(self, x: np.ndarray, gains: np.ndarray, ties: list[tuple[str, str]], rows: list, bound: float):
+        order = np.argsort(-gains, kind="stable")
+        self.x, self.stale, self.bound = x[order], gains[order], bound
+        self.ties, self.rows = [ties[i] for i in order.tolist()], [rows[i] for i in order.tolist()]
+
+    def best(self, inverse: np.ndarray, tolerance: float) -> int | None:
+        """Place of the pick: the least tie key among the gains within ``tolerance`` of the greatest.
+        None if a candidate that isn't held might come before it."""
+        fresh: list[float] = []
+        top = -np.inf
+        # Stale gains come from matrix products, whose last digits depend on their shape.
+        slack = tolerance + SLACK * max(1.0, abs(float(self.stale[0]))) if len(self.stale) else tolerance
+        for i in range(len(self.stale)):
+            if self.stale[i] < top - slack:
+                break
+            fresh.append(_gain(self.x[i], inverse))
+            top = max(top, fresh[-1])
+        if self.bound > top - slack:
+            return None
+        place = min((i for i, g in enumerate(fresh) if abs(g - top) <= tolerance), key=lambda i: self.ties[i])
+        n = len(fresh)
+        self.stale[:n] = np.minimum(self.stale[:n], fresh)
+        return place
+
+    def without(self, place: int) -> None:
+        keep = np.arange(len(self.stale)) != place
+        order = np.flatnonzero(keep)[np.argsort(-self.stale[keep], kind="stable")]
+        self.x, self.stale = self.x[order], self.stale[order]
+        self.ties, self.rows = [self.ties[i] for i in order.tolist()], [self.rows[i] for i in order.tolist()]
+
+
+class _Pool:
+    """The choice of one pool: its inverse, its picks, whose turn it is."""
+
+    def __init__(self, budget: int, ridge: float, tolerance: float):
+        self.budget, self.ridge, self.tolerance = budget, ridge, tolerance
+        self.inverse: np.ndarray | None = None
+        self.chosen: list = []
+        self.groups: list = []
+        self.turn = 0
+
+    def take(self, x: np.ndarray, row) -> None:
+        if self.inverse is None:
+            self.inverse = np.eye(len(x)) / self.ridge
+        v = self.inverse @ x
+        self.inverse -= np.outer(v, v) / (1 + x @ v)
+        self.chosen.append(row)
+
+    def group_on_turn(self):
+        """The group whose candidates the next pick is among, or None."""
+        return self.groups[self.turn % len(self.groups)] if self.groups and len(self.chosen) < self.budget else None
+
+    def advance(self, held: dict) -> None:
+        """Picks by sweeps over the groups, as long as what is held decides them. ``held``: _Held by group."""
+        while self.groups and len(self.chosen) < self.budget:
+            self.turn %= len(self.groups)
+            own = held.get(self.groups[self.turn])
+            if own is None or (not len(own.stale) and own.bound == -np.inf):
+                self.groups.pop(self.turn)
+                continue
+            if self.inverse is None:
+                self.inverse = np.eye(own.x.shape[1]) / self.ridge
+            place = own.best(self.inverse, self.tolerance)
+            if place is None:
+                return
+            self.take(own.x[place], own.rows[place])
+            own.without(place)
+            self.turn += 1
+
+
 def d_optimal(x: np.ndarray, seeds: np.ndarray, groups: list[str], ties: list[tuple[str, str]], budget: int, ridge: float = 1e-10, tolerance: float = 1e-15) -> list[int]:
     """Rows in the order chosen: all seeds, then sweeps of one pick a group.
 
@@ -105,28 +188,16 @@ def d_optimal(x: np.ndarray, seeds: np.ndarray, groups: list[str], ties: list[tu
         raise ValueError("no candidates")
     if budget < int(seeds.sum()):
         raise ValueError("the budget is below the number of endpoints")
-    inverse = np.eye(x.shape[1]) / ridge
-    chosen: list[int] = []
-    left = np.ones(len(x), dtype=bool)
-
-    def take(i: int) -> None:
-        nonlocal inverse
-        v = inverse @ x[i]
-        inverse -= np.outer(v, v) / (1 + x[i] @ v)
-        chosen.append(i)
-        left[i] = False
-
-    for i in np.flatnonzero(seeds):
-        take(int(i))
-    by_group = {g: np.array([i for i, h in enumerate(groups) if h == g]) for g in sorted(set(groups))}
-    while len(chosen) < budget and left.any():
-        for own in by_group.values():
-            own = own[left[own]]
-            if len(own) and len(chosen) < budget:
-                gain = np.log1p(((x[own] @ inverse) * x[own]).sum(axis=1))
-                near = own[np.abs(gain - gain.max()) <= tolerance]
-                take(int(min(near, key=lambda i: ties[i])))
-    return chosen
+    pool = _Pool(budget, ridge, tolerance)
+    for i in np.flatnonzero(seeds).tolist():
+        pool.take(x[i], i)
+    pool.groups = sorted(set(groups))
+    held = {}
+    for g in pool.groups:
+        own = [i for i, h in enumerate(groups) if h == g and not seeds[i]]
+        held[g] = _Held(x[own], np.full(len(own), np.inf), [ties[i] for i in own], own, -np.inf)
+    pool.advance(held)
+    return pool.chosen
 
 
 def _best(found: list[dict], tolerance: float) -> list[dict]:
@@ -139,13 +210,77 @@ def _best(found: list[dict], tolerance: float) -> list[dict]:
     return out
 
 
-def select_d_optimal(pools: DataFrame, budget: int, ridge: float = 1e-10, tolerance: float = 1e-15) -> DataFrame:
+@dataclass
+class _Pass:
+    """What a pass over the candidates needs: each pool's inverse, the group on its turn and
+    the hashes taken from that group, and how many rows of a group are kept."""
+
+    inverses: dict
+    turns: dict
+    taken: dict
+    most: int
+    ridge: float
+    tolerance: float
+
+    def gains(self, pool, x: np.ndarray) -> np.ndarray:
+        a = self.inverses.get(pool)
+        return np.log1p(np.einsum("ij,ij->i", x @ a, x) if a is not None else np.einsum("ij,ij->i", x, x) / self.ridge)
+
+    def front(self, pool, rows: pa.RecordBatch, x: np.ndarray, gains: np.ndarray) -> list[dict]:
+        """Of some rows of the group on turn those that may be the next pick, by exact gains."""
+        a = self.inverses.get(pool, np.eye(x.shape[1]) / self.ridge)
+        near = np.flatnonzero(gains >= gains.max() - self.tolerance - SLACK * max(1.0, abs(float(gains.max()))))
+        found = [r | {"gain": _gain(x[i], a)} for i, r in zip(near.tolist(), rows.take(pa.array(near)).to_pylist(), strict=True)]
+        return _best(found, self.tolerance)
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ``most`` rows of greatest gain of each pool and group in the task, and as
+        rows with ``front`` those that may be the next pick of their pool."""
+        kept: pa.Table | None = None
+        fronts: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = feature_matrix(batch.column("x"))
+            pools, hashes = batch.column("pool").dictionary_encode(), batch.column("occ_hash")
+            of, gains = pools.indices.to_numpy(), np.empty(len(x))
+            for k, pool in enumerate(pools.dictionary.to_pylist()):
+                own = np.flatnonzero(of == k)
+                gains[own] = self.gains(pool, x[own])
+                on_turn = pa.compute.equal(batch.column("grp").take(pa.array(own)), self.turns[pool]).to_numpy(zero_copy_only=False)
+                gone = pa.compute.is_in(hashes.take(pa.array(own)), value_set=pa.array(self.taken[pool], pa.string())).to_numpy(zero_copy_only=False)
+                own = own[on_turn.astype(bool) & ~gone]
+                if len(own):
+                    fronts[pool] = _best(fronts.get(pool, []) + self.front(pool, batch.take(pa.array(own)), x[own], gains[own]), self.tolerance)
+            part = pa.Table.from_batches([batch]).append_column("gain", pa.array(gains)).append_column("front", pa.array(np.zeros(len(x), dtype=bool)))
+            kept = part if kept is None else pa.concat_tables([kept, part])
+            names = pa.compute.binary_join_element_wise(kept.column("pool").cast(pa.string()), kept.column("grp").cast(pa.string()), "\x00")
+            group = names.combine_chunks().dictionary_encode().indices.to_numpy()
+            order = np.lexsort((-kept.column("gain").to_numpy(), group))
+            starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+            place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+            kept = kept.take(pa.array(order[place < self.most]))
+        if kept is not None:
+            yield from kept.combine_chunks().to_batches(max_chunksize=10_000)
+            yield pa.RecordBatch.from_pylist([r | {"front": True} for found in fronts.values() for r in found], schema=kept.schema)
+
+
+#: Part of a gain by which matrix products of other shapes may differ in it.
+SLACK = 1e-9
+#: Bytes of candidates' features that the driver holds between two passes.
+HELD_BYTES = 64 << 20
+
+
+def select_d_optimal(pools: DataFrame, budget: int, ridge: float = 1e-10, tolerance: float = 1e-15, held_bytes: int = HELD_BYTES, passes: list | None = None) -> DataFrame:
     """(pool, place, id, is_seed): the D-optimal rows of each pool, as ``d_optimal`` has them.
 
     ``pools``: (pool, id, is_seed, grp, bin, occ_hash, x). Of equal hashes the
-    first stays, seeds first. The driver holds a p x p inverse and the picks of
-    each pool; each pick is one pass that scores all candidates where they are,
-    for all pools at once, so that no pool meets in one task.
+    first stays, seeds first. A greedy choice with stale gains: gains never grow as rows
+    are taken, so one pass over all candidates where they are keeps the
+    strongest of each pool and group, as many as ``held_bytes`` of features allow (64 at least), and the
+    driver makes picks from them until one that isn't held might be better; then comes the
+    next pass. A pass settles each pool's next pick whatever is equal. The driver holds these, a p x p inverse and the picks of each pool.
+    ``passes``, if given, gets an entry a pass.
     """
     spark = pools.sparkSession
     if budget <= 0:
@@ -154,64 +289,57 @@ def select_d_optimal(pools: DataFrame, budget: int, ridge: float = 1e-10, tolera
     rows = pools.withColumn("x", F.col("x").cast("array<double>")).groupBy("pool", "occ_hash").agg(first)
     rows = rows.select("pool", "occ_hash", F.col("r.id").cast("long").alias("id"), "r.is_seed", "r.grp", F.col("r.bin").cast("long").alias("bin"), "r.x").persist()
     groups: dict = {}
-    for r in rows.groupBy("pool", "grp").agg(F.count_if("is_seed").alias("seeds")).collect():
+    sizes, p = {}, 1
+    for r in rows.groupBy("pool", "grp").agg(F.count_if("is_seed").alias("seeds"), F.count_if(~F.col("is_seed")).alias("others"), F.max(F.size("x")).alias("p")).collect():
         groups.setdefault(r["pool"], {})[r["grp"]] = r["seeds"]
+        sizes[r["pool"], r["grp"]] = r["others"]
+        p = max(p, r["p"])
     if any(sum(g.values()) > budget for g in groups.values()):
         raise ValueError("the budget is below the number of endpoints")
-    inverse: dict = {}
-    chosen: dict = {pool: [] for pool in groups}
-    taken: dict = {pool: set() for pool in groups}
-
-    def take(pool, r) -> None:
-        x = np.asarray(r["x"])
-        a = inverse.setdefault(pool, np.eye(len(x)) / ridge)
-        v = a @ x
-        inverse[pool] = a - np.outer(v, v) / (1 + x @ v)
-        chosen[pool].append((r["id"], r["is_seed"]))
-        taken[pool].add(r["occ_hash"])
-
+    states = {pool: _Pool(budget, ridge, tolerance) for pool in groups}
     for r in sorted(rows.where("is_seed").collect(), key=lambda r: r["id"]):
-        take(r["pool"], r)
-    turns = {pool: sorted(g) for pool, g in groups.items()}
-    place = dict.fromkeys(groups, 0)
-    names = ["pool", "occ_hash", "id", "is_seed", "grp", "bin", "x"]
-    schema = T.StructType([*(rows.schema[n] for n in names), T.StructField("gain", T.DoubleType())])
-
-    def scorer(wanted: dict, state: dict, gone: dict):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: dict = {pool: [] for pool in wanted}
-            kind = None
-            for batch in batches:
-                kind = batch.schema
-                pool_of, grp_of, hash_of = (batch.column(i).to_pylist() for i in (0, 4, 1))
-                of_pool: dict = {}
-                for i, (pool, grp, h) in enumerate(zip(pool_of, grp_of, hash_of, strict=True)):
-                    if pool in wanted and wanted[pool] == grp and h not in gone[pool]:
-                        of_pool.setdefault(pool, []).append(i)
-                for pool, own in of_pool.items():
-                    part = batch.take(pa.array(own))
-                    x = feature_matrix(part.column(6))
-                    a = state.get(pool)
-                    gain = np.log1p(np.einsum("ij,ij->i", x @ a, x) if a is not None else np.einsum("ij,ij->i", x, x) / ridge)
-                    near = np.flatnonzero(gain >= gain.max() - tolerance)
-                    best[pool] = _best(best[pool] + [r | {"gain": float(g)} for r, g in zip(part.take(pa.array(near)).to_pylist(), gain[near], strict=True)], tolerance)
-            if kind is not None:
-                yield pa.RecordBatch.from_pylist([r for found in best.values() for r in found], schema=kind.append(pa.field("gain", pa.float64())))
-
-        return run
-
-    while wanted := {pool: turn[place[pool] % len(turn)] for pool, turn in turns.items() if turn and len(chosen[pool]) < budget}:
-        found: dict = {pool: [] for pool in wanted}
-        for r in rows.select(*names).mapInArrow(scorer(wanted, dict(inverse), taken), schema).collect():
-            found[r["pool"]].append(r.asDict())
-        for pool, candidates in found.items():
-            turn = turns[pool]
-            place[pool] %= len(turn)
-            if candidates:
-                take(pool, _best(candidates, tolerance)[0])
-                place[pool] += 1
+        states[r["pool"]].take(np.asarray(r["x"]), (r["id"], True, r["grp"], r["occ_hash"]))
+    for pool, s in states.items():
+        s.groups = sorted(groups[pool])
+    candidates = rows.where(~F.col("is_seed")).select("pool", "occ_hash", "id", "grp", "bin", "x")
+    schema = T.StructType([*candidates.schema.fields, T.StructField("gain", T.DoubleType()), T.StructField("front", T.BooleanType())])
+    while wanted := {pool: s.group_on_turn() for pool, s in states.items() if s.group_on_turn() is not None}:
+        taken: dict = {pool: {} for pool in wanted}
+        for pool in wanted:
+            for _, is_seed, grp, h in states[pool].chosen:
+                if not is_seed:
+                    taken[pool].setdefault(grp, []).append(h)
+        each = max(64, held_bytes // (8 * p) // sum(len(states[pool].groups) for pool in wanted))
+        # Rows that were taken may come back; they take none of the others' places.
+        most = each + max((len(h) for of in taken.values() for h in of.values()), default=0)
+        inverses = {pool: states[pool].inverse for pool in wanted if states[pool].inverse is not None}
+        run = _Pass(inverses, wanted, {pool: taken[pool].get(grp, []) for pool, grp in wanted.items()}, most, ridge, tolerance).run
+        best = candidates.where(F.col("pool").isin(list(wanted))).mapInArrow(run, schema)
+        place = F.row_number().over(Window.partitionBy("pool", "grp", "front").orderBy(F.desc("gain"), "occ_hash"))
+        found: dict = {}
+        fronts: dict = {}
+        for r in best.withColumn("place", place).where((F.col("place") <= most) | F.col("front")).collect():
+            if r["front"]:
+                fronts.setdefault(r["pool"], []).append(r.asDict())
             else:
-                turn.pop(place[pool])
+                found.setdefault((r["pool"], r["grp"]), []).append(r)
+        held: dict = {pool: {} for pool in wanted}
+        next_of = {pool: _best(rows_of, tolerance)[0] for pool, rows_of in fronts.items()}
+        for (pool, grp), own in found.items():
+            bound = -np.inf if len(own) == sizes[pool, grp] else min(r["gain"] for r in own)
+            gone = {*taken[pool].get(grp, ()), *([next_of[pool]["occ_hash"]] if pool in next_of and next_of[pool]["grp"] == grp else [])}
+            new = [r for r in own if r["occ_hash"] not in gone]
+            x, gains = np.array([r["x"] for r in new], dtype=float).reshape(len(new), -1), np.array([r["gain"] for r in new], dtype=float)
+            held[pool][grp] = _Held(x, gains, [tie_key(r["bin"], r["occ_hash"]) for r in new], [(r["id"], False, grp, r["occ_hash"]) for r in new], bound)
+        for pool in wanted:
+            s = states[pool]
+            if pool in next_of:
+                r = next_of[pool]
+                s.take(np.asarray(r["x"]), (r["id"], False, r["grp"], r["occ_hash"]))
+                s.turn = s.turn % len(s.groups) + 1
+            s.advance(held[pool])
+        if passes is not None:
+            passes.append(len(found))
     rows.unpersist()
-    out = [(pool, i, *row) for pool in chosen for i, row in enumerate(chosen[pool])]
+    out = [(pool, i, *row[:2]) for pool, s in states.items() for i, row in enumerate(s.chosen)]
     return spark.createDataFrame(out, "pool long, place long, id long, is_seed boolean")

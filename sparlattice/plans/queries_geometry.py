@@ -113,13 +113,27 @@ def wl_cation_counts(spark, sf_dir):
     return sampling.occupancy_counts(sampling.run_blocks(_chains(spark, sf_dir), _SPEC, _LATTICE, _COUNTS))
 
 
-@query()
+_WIDTH, _PERIOD = 50.0, 100
+
+
+@query(f"""WITH RECURSIVE placed AS (SELECT event_type AS chain, CAST(floor(value / {_WIDTH}) AS BIGINT) AS bin, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // {_PERIOD} AS period FROM events),
+bins AS (SELECT DISTINCT chain, bin FROM placed), periods AS (SELECT DISTINCT chain, period FROM placed),
+counts AS (SELECT p.chain, p.period, list(coalesce(c.n, 0) ORDER BY b.bin) AS n FROM periods p JOIN bins b USING (chain)
+ LEFT JOIN (SELECT chain, period, bin, count(*) AS n FROM placed GROUP BY ALL) c ON c.chain = p.chain AND c.period = p.period AND c.bin = b.bin GROUP BY ALL),
+steps AS (SELECT chain, CAST(-1 AS BIGINT) AS period, list_transform(n, lambda v: 0::BIGINT) AS histogram, list_transform(n, lambda v: FALSE) AS seen, 1.0::DOUBLE AS m, 0::BIGINT AS steps FROM counts WHERE period = 0
+UNION ALL SELECT chain, period, CASE WHEN flat THEN list_transform(histogram, lambda v: 0::BIGINT) ELSE histogram END, seen, CASE WHEN flat THEN m / 2 ELSE m END, steps FROM
+(SELECT *, steps % {_PERIOD} = 0 AND len(known) >= 2 AND list_min(known) > 0.8 * list_avg(known) AS flat FROM
+ (SELECT *, list_transform(list_filter(list_zip(histogram, seen), lambda p: p[2]), lambda p: p[1]) AS known FROM
+  (SELECT s.chain, c.period, list_transform(list_zip(s.histogram, c.n), lambda p: p[1] + p[2]) AS histogram, list_transform(list_zip(s.seen, c.n), lambda p: p[1] OR p[2] > 0) AS seen, s.m, CAST(s.steps + list_sum(c.n) AS BIGINT) AS steps
+   FROM steps s JOIN counts c ON c.chain = s.chain AND c.period = s.period + 1))))
+SELECT chain, steps, CAST(len(histogram) AS BIGINT) AS bins, m AS mod_factor FROM steps s WHERE period = (SELECT max(period) FROM periods p WHERE p.chain = s.chain)""")
 def streaming_chain_state(spark, sf_dir):
     path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     # A file source reads folders and globs; the glob also fits a table of one file.
-    return chains.final_states(spark, f"{path}*", schema, 50.0, 100, f"{base}/out", f"{base}/checkpoint").select("chain", "steps", "bins", "mod_factor")
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    rows = events.select(F.col("event_type").alias("chain"), F.col("value").alias("energy"), F.col("event_id").alias("step"))
+    return chains.final_states(spark, rows, _WIDTH, _PERIOD, f"{base}/out", f"{base}/checkpoint").select("chain", "steps", "bins", "mod_factor")
 
 
 @query("SELECT event_type AS chain, CAST(floor(value / 50.0) AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY 1, 2")
