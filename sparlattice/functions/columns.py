@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,3 +91,62 @@ def dot(features: Column, coefficients: list[float]) -> Column:
     """The scalar product with fixed coefficients."""
     weights = F.array(*(F.lit(float(c)) for c in coefficients))
     return F.aggregate(F.zip_with(features, weights, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+
+
+def json_double(x: Column) -> Column:
+    """A double as JSON text with the fewest digits that give it back: plain from 1e-4 to below
+    1e16, else with an exponent of two digits or more; null, NaN and infinities as JSON writers name them.
+
+    The virtual machine may write a digit too many; a shorter text that still
+    gives the number back is taken instead.
+    """
+    said = F.abs(x).cast("string")
+    mantissa = F.substring_index(said, "E", 1)
+    point = F.instr(mantissa, ".") - 1
+    shift = F.when(F.instr(said, "E") > 0, F.substring_index(said, "E", -1).cast("int")).otherwise(0)
+    # Significant digits, and the power of ten of the first one.
+    all_digits = F.regexp_replace(mantissa, "[.]", "")
+    significant = F.regexp_replace(F.regexp_replace(all_digits, "^0+(?=.)", ""), "(?<=.)0+$", "")
+    power = shift + point - 1 - (F.length(all_digits) - F.length(F.regexp_replace(all_digits, "^0+(?=.)", "")))
+    n = F.length(significant)
+
+    def value(digits: Column) -> Column:
+        return F.concat(digits, F.lit("E"), (power - n + 2).cast("string")).cast("double")
+
+    down = F.substring(significant, F.lit(1), n - 1)
+    up = (down.cast("decimal(20,0)") + 1).cast("string")
+    shorter = F.when((n > 2) & (value(down) == F.abs(x)), down).when((n > 2) & (F.length(up) == n - 1) & (value(up) == F.abs(x)), up).otherwise(significant)
+    digits = F.regexp_replace(shorter, "(?<=.)0+$", "")
+    size = F.length(digits)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    whole = F.concat(F.rpad(digits, power + 1, "0"), F.lit(".0"))
+    inside = F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, size))
+    rest = F.when(size > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), size))).otherwise(F.lit(""))
+    exponent = F.concat(F.when(power < 0, "e-").otherwise("e+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
+    scientific = F.concat(F.substring(digits, 1, 1), rest, exponent)
+    text = F.when((power < -4) | (power >= 16), scientific).when(power < 0, small).when(size <= power + 1, whole).otherwise(inside)
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    return F.when(x.isNull(), "null").when(F.isnan(x), "NaN").when(said == "Infinity", F.concat(sign, said)).when(x == 0, F.concat(sign, F.lit("0.0"))).otherwise(F.concat(sign, text))
+
+
+def json_list(values: Column, said: Callable[[Column], Column] = lambda v: v.cast("string")) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(values, said), ","), F.lit("]"))
+
+
+def json_object(fields: dict[str, Column]) -> Column:
+    """An object of JSON texts, fields in the order of their names, without white space."""
+    parts = [F.concat(F.lit(f'"{name}":'), value) for name, value in sorted(fields.items())]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def json_text(x: Column) -> Column:
+    """A text in quotes; keys are hexadecimal, so that nothing needs escapes: others fail."""
+    plain = F.assert_true(x.rlike("^[ !#-\\[\\]-~]*$"), F.concat(F.lit("a text that needs escapes: "), x)).isNull()
+    return F.when(plain, F.concat(F.lit('"'), x, F.lit('"')))
+
+
+def block_key(wl_key: Column, parent: Column, state: Column, occupancy: Column) -> Column:
+    """The identity of a block: SHA-256 of the canonical JSON of its chain, its parent, its state
+    (canonical JSON already) and its occupancy. Fixed values: the names of the fields."""
+    payload = {"wl_key": json_text(wl_key), "parent_wl_block_key": json_text(parent), "state": state, "occupancy": json_list(occupancy)}
+    return F.sha2(json_object(payload), 256)

@@ -124,6 +124,26 @@ def orbit_features(occupations: DataFrame, orbits: DataFrame) -> DataFrame:
     return per_cluster.groupBy("structure_id", "orbit_id").agg(F.avg("phi").alias("phi"))
 
 
+def predicted(structures: DataFrame, orbits: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """(model, structure_id, predicted) of every structure under every stored model.
+
+    ``structures``: (structure_id, site, value); ``orbits``: (model, orbit_id, cluster_id,
+    site); ``coefficients``: (model, orbit_id, coefficient), where an orbit without
+    clusters is the constant. Features are never laid out as rows of a matrix: a coefficient meets the mean of its
+    own clusters' products, so that models with other orbits are scored together. Clusters of which a
+    structure lacks a site don't count for it.
+    """
+    full = orbits.groupBy("model", "orbit_id", "cluster_id").agg(F.count("*").alias("__sites"))
+    each = structures.join(orbits, "site").groupBy("model", "structure_id", "orbit_id", "cluster_id").agg(F.product("value").alias("phi"), F.count("*").alias("__have"))
+    whole = each.join(full, ["model", "orbit_id", "cluster_id"]).where("__have = __sites")
+    phi = whole.groupBy("model", "structure_id", "orbit_id").agg(F.avg("phi").alias("phi"))
+    terms = phi.join(coefficients, ["model", "orbit_id"]).groupBy("model", "structure_id").agg(F.sum(F.col("phi") * F.col("coefficient")).alias("__sum"))
+    having = orbits.select("model", "orbit_id").distinct()
+    constant = coefficients.join(having, ["model", "orbit_id"], "left_anti").groupBy("model").agg(F.sum("coefficient").alias("__constant"))
+    out = terms.join(constant, "model", "left")
+    return out.select("model", "structure_id", (F.col("__sum") + F.coalesce("__constant", F.lit(0.0))).alias("predicted"))
+
+
 def composition_of(sites: DataFrame, role: str | None = None) -> DataFrame:
     """(structure_id, sublattice, species, n): what each sublattice holds, of sites of the role alone if one is given."""
     rows = sites if role is None else sites.where(F.col("role") == role)
@@ -137,6 +157,14 @@ def sublattice_index(sites: DataFrame) -> DataFrame:
     return agg.where(F.assert_true("ok", F.lit("a site is in a sublattice twice")).isNull()).drop("ok")
 
 
+def annotated(sites: DataFrame, facts: DataFrame, symbol: str = "species") -> DataFrame:
+    """``sites`` with the columns of ``facts`` (symbol, ...), one row a symbol; null for symbols
+    it doesn't know. A symbol with two rows fails, since it would double its sites."""
+    once = facts.groupBy(symbol).agg(F.count("*").alias("__n"), *(F.first(c).alias(c) for c in facts.columns if c != symbol))
+    once = once.where(F.assert_true(F.col("__n") == 1, F.concat(F.lit("two annotations of "), F.col(symbol))).isNull()).drop("__n")
+    return sites.join(once, symbol, "left").select(*sites.columns, *(c for c in facts.columns if c != symbol))
+
+
 def relabelled(label: Column, names: dict[str, str]) -> Column:
     """A label's other name, itself if it has none."""
     out = label

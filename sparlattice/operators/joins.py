@@ -79,25 +79,87 @@ def cells(x: Column, width: float) -> Column:
     return F.floor(x / F.lit(width)).cast("long")
 
 
-def near_points(left: DataFrame, right: DataFrame, axes: Sequence[str], tolerance: float) -> DataFrame:
+#: Rows of a cell above which it is halved, and points of a block of a cell that can't be.
+CELL_ROWS = 20_000
+
+
+def near_points(left: DataFrame, right: DataFrame, axes: Sequence[str], tolerance: float, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Pairs of points (l_id, r_id) within ``tolerance`` on every axis.
 
-    Each left point is put in the cells next to its own, so that the join is an
-    equality on the cell of the first axes; the exact distances follow.
+    Space is cut into cells over all axes. A right point is in one cell, a left
+    point in each that its box of twice the tolerance touches, so that the join is an equality on
+    cells and finds each pair once. Cells with more than ``cell_rows`` rows are halved, axis by axis, down to
+    the size of that box; what is still too dense is joined in blocks of right
+    points. Points without a coordinate have no partner.
     """
-    width = max(2 * tolerance, 1e-6)
-    around = F.explode(F.array(*(F.lit(d) for d in (-1, 0, 1))))
-    a = left.select(F.col("id").alias("l_id"), *(F.col(x).alias(f"l_{x}") for x in axes))
-    b = right.select(F.col("id").alias("r_id"), *(F.col(x).alias(f"r_{x}") for x in axes))
-    on = []
-    for x in axes[:2]:
-        a = a.withColumn("__d", around).withColumn(f"c_{x}", cells(F.col(f"l_{x}"), width) + F.col("__d")).drop("__d")
-        b = b.withColumn(f"c_{x}", cells(F.col(f"r_{x}"), width))
-        on.append(f"c_{x}")
+    spark, n_axes = left.sparkSession, len(axes)
+    box = max(2 * tolerance, 1e-6)
+    widths = [box * 2**HALVINGS] * n_axes
+    a = left.select(F.col("id").alias("l_id"), *(F.col(x).cast("double").alias(f"l_{x}") for x in axes)).dropna()
+    b = right.select(F.col("id").alias("r_id"), *(F.col(x).cast("double").alias(f"r_{x}") for x in axes)).dropna()
+    for x in axes:
+        low, high = (cells(F.col(f"l_{x}") + F.lit(shift), widths[0]) for shift in (-tolerance, tolerance))
+        a = a.withColumn(f"c_{x}", F.explode(F.sequence(low, high)))
+        b = b.withColumn(f"c_{x}", cells(F.col(f"r_{x}"), widths[0]))
+    on = [f"c_{x}" for x in axes]
     close = F.lit(True)
     for x in axes:
         close = close & (F.abs(F.col(f"l_{x}") - F.col(f"r_{x}")) <= tolerance)
-    return a.join(b, on).where(close).select("l_id", "r_id")
+    done: list[DataFrame] = []
+    for level in range(HALVINGS * n_axes + 1):
+        full = _full_cells(a, b, on, cell_rows)
+        if full is None:
+            return _all_of([*done, a.join(b, on).where(close).select("l_id", "r_id")])
+        sparse = [side.join(full, on, "left_anti") for side in (a, b)]
+        done.append(sparse[0].join(sparse[1], on).where(close).select("l_id", "r_id"))
+        a, b = (side.join(full.select(*on), on, "left_semi") for side in (a, b))
+        if level == HALVINGS * n_axes:
+            break
+        i = level % n_axes
+        widths[i] /= 2
+        low, high = (cells(F.col(f"l_{axes[i]}") + F.lit(shift), widths[i]) for shift in (-tolerance, tolerance))
+        # A cell's halves are 2c and 2c + 1; a box may reach into its neighbours, where it has rows of its own.
+        halves = F.filter(F.sequence(low, high), lambda c, at=on[i]: F.floor(c / F.lit(2)).cast("long") == F.col(at))
+        a = _kept(spark, a.withColumn(on[i], F.explode(halves)))
+        b = _kept(spark, b.withColumn(on[i], cells(F.col(f"r_{axes[i]}"), widths[i])))
+    blocks = full.select(*on, F.ceil(F.col("n") / F.lit(cell_rows)).cast("long").alias("__blocks"))
+    a = a.join(blocks, on).withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))
+    b = b.join(blocks, on).withColumn("__block", F.pmod(F.xxhash64("r_id"), F.col("__blocks")))
+    done.append(a.join(b.drop("__blocks"), [*on, "__block"]).where(close).select("l_id", "r_id"))
+    return _all_of(done)
+
+
+#: How often a cell may be halved on each axis, down to a box of twice the tolerance.
+HALVINGS = 3
+
+
+def _kept(spark, df: DataFrame) -> DataFrame:
+    from ..sources.catalogue import checkpointed
+
+    return checkpointed(df)
+
+
+def _all_of(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _full_cells(a: DataFrame, b: DataFrame, on: list[str], cell_rows: int) -> DataFrame | None:
+    """(cell..., n) of the cells in which one side has more than ``cell_rows`` rows, None if there is none."""
+    sides = [side.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > cell_rows) for side in (a, b)]
+    full = sides[0].unionByName(sides[1]).groupBy(*on).agg(F.max("n").alias("n"))
+    full = _kept(a.sparkSession, full)
+    return None if full.isEmpty() else full
+
+
+def with_ambiguity(pairs: DataFrame) -> DataFrame:
+    """(l_id, r_id, ambiguous): whether one of the two points has another partner, so that taking
+    the first unused one would depend on the order of rows."""
+    lefts = pairs.groupBy("l_id").agg((F.count("*") > 1).alias("__l"))
+    rights = pairs.groupBy("r_id").agg((F.count("*") > 1).alias("__r"))
+    return pairs.join(lefts, "l_id").join(rights, "r_id").select("l_id", "r_id", (F.col("__l") | F.col("__r")).alias("ambiguous"))
 
 
 def greedy_matches(pairs: DataFrame, group: str) -> DataFrame:

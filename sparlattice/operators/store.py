@@ -130,3 +130,26 @@ def progressive_counts(docs: DataFrame, criteria: Sequence[tuple[str, Column]])
         so_far = so_far & c
         steps[name] = so_far
     return delete_preview(docs, steps)
+
+
+def gated(docs: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """``docs`` with ``failed``, the names of the checks that a row doesn't pass, in the order of ``checks``; null counts as failed."""
+    failed = F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(None)).otherwise(F.lit(name)) for name, c in checks.items()))
+    return docs.withColumn("failed", F.array_compact(failed))
+
+
+def gate(docs: DataFrame, checks: dict[str, Column], key: Sequence[str]) -> DataFrame:
+    """(key..., failed) of all rows that fail: the report of a quality gate, instead of an error at the first row."""
+    return gated(docs, checks).where(F.size("failed") > 0).select(*key, "failed")
+
+
+def convergence_checks(calc) -> dict[str, Column]:
+    """What a calculator's settings ask of a relaxed structure: an energy, a force, one below
+    the limit, and the flag of convergence where the calculator gives one."""
+    learned = calc.name == "MACE-MPA-0"
+    return {
+        "energy": F.col("energy").isNotNull() & ~F.isnan("energy"),
+        "force": F.col("max_force").isNotNull() & ~F.isnan("max_force"),
+        "force below the limit": F.col("max_force") < calc.max_force_eV_per_A,
+        "converged": F.coalesce("is_force_converged", F.lit(not learned)),
+    }

@@ -7,8 +7,10 @@ group first, so that no exponential overflows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -228,21 +230,86 @@ def bins_per_width(rows: DataFrame, energy: str, widths: Sequence[float]) -> Dat
     return wide.groupBy("width").agg(F.countDistinct(F.floor(F.col("e") / F.col("width"))).alias("bins"))
 
 
+class Occupancy:
+    """Occupied bins at the finest dyadic width that has at most ``cap`` of them.
+
+    Bins of width w 2^k are the halves of those of width w 2^(k + 1), so that the
+    set at one level gives all coarser ones; of finer levels it is known that they
+    have more than ``cap``. Two sketches merge at the coarser level of both.
+    """
+
+    def __init__(self, level: int, cap: int):
+        self.level, self.cap = level, cap
+        self.bins = np.empty(0)
+
+    def add(self, level: int, bins: np.ndarray) -> None:
+        """Bins of ``level``, as whole floats: an index beyond 2^53 is as exact as the energy it comes from."""
+        while self.level < level:
+            self._coarsen()
+        for _ in range(self.level - level):
+            bins = np.floor(bins / 2)
+        self.bins = np.union1d(self.bins, bins)
+        while len(self.bins) > self.cap:
+            self._coarsen()
+
+    def _coarsen(self) -> None:
+        self.bins, self.level = np.unique(np.floor(self.bins / 2)), self.level + 1
+
+    def count(self, level: int) -> float:
+        """How many bins ``level`` has; infinite for one that is too fine to tell."""
+        if level < self.level:
+            return float("inf")
+        bins = self.bins
+        for _ in range(level - self.level):
+            bins = np.unique(np.floor(bins / 2))
+        return len(bins)
+
+
+def occupancy(rows: DataFrame, energy: str, width: float, finest: int, cap: int) -> Occupancy:
+    """The sketch of all finite energies over widths ``width`` 2^k from k = ``finest`` on, by one job.
+
+    Tasks emit at most ``cap`` bins each, which are merged in two stages.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch], raw: bool) -> Iterator[pa.RecordBatch]:
+        held = Occupancy(finest, cap)
+        for batch in batches:
+            if raw and batch.num_rows:
+                e = batch.column(0).to_numpy(zero_copy_only=False)
+                held.add(finest, np.unique(np.floor(e[np.isfinite(e)] / (width * 2.0**finest))))
+            elif batch.num_rows:
+                levels, bins = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                for level in np.unique(levels).tolist():
+                    held.add(level, bins[levels == level])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held.bins), held.level), pa.int32()), pa.array(held.bins, pa.float64())], names=["level", "bin"])
+
+    schema = "level int, bin double"
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = rows.select(F.col(energy).cast("double").alias("e")).where("e IS NOT NULL").mapInArrow(lambda b: fold(b, True), schema)
+    merged = parts.repartition(n, F.floor(F.rand(0) * n)).mapInArrow(lambda b: fold(b, False), schema)
+    out = Occupancy(finest, cap)
+    for level, bins in merged.groupBy("level").agg(F.collect_set("bin").alias("bins")).collect():
+        out.add(level, np.array(bins))
+    return out
+
+
 def adapted_width(rows: DataFrame, energy: str, width: float, least: int = 50, most: int = 200, rounds: int = 40) -> float:
     """Halve the width below ``least`` bins and double it above ``most``, until neither holds.
 
-    Raises after ``rounds`` steps, or when a width comes back.
+    One job gives the bins of all these widths. Raises after ``rounds`` steps, or
+    when a width comes back.
     """
-    seen = set()
+    bins = occupancy(rows, energy, width, -rounds, max(4_096, most + 1))
+    level, seen = 0, set()
     for _ in range(rounds):
-        if width in seen:
+        if level in seen:
             break
-        seen.add(width)
-        bins = bins_per_width(rows, energy, [width]).first()["bins"]
-        if bins < least:
-            width /= 2
-        elif bins > most:
-            width *= 2
+        seen.add(level)
+        n = bins.count(level)
+        if n < least:
+            level -= 1
+        elif n > most:
+            level += 1
         else:
-            return width
+            return width * 2.0**level
     raise ValueError(f"no width gives {least} to {most} bins")

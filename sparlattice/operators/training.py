@@ -193,3 +193,53 @@ def verdicts(base: DataFrame, refined: DataFrame, key: str, atol: float = 1e-6,
     tol = F.greatest(F.lit(atol), F.lit(rtol) * F.abs("base"))
     d = F.col("refined") - F.col("base")
     return rows.withColumn("verdict", F.when(F.abs(d) <= tol, "same").when(d < 0, "refined better").otherwise("base better"))
+
+
+#: Tolerances of a verification. Fixed values.
+ATOL, RTOL = 1e-6, 1e-8
+FIGURES = ("mae", "rmse", "max_abs")
+
+
+def predictions(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """``rows`` once for each part: ``in_sample`` by a model's own coefficients, ``cv`` by those fitted without the row's fold.
+
+    ``rows``: (model, grp, fold, x, y, ...); ``models``: (model, fold, coefficients), fold
+    null for the model itself. All models are scored in one pass; a row whose
+    coefficients aren't stored has no prediction of that part.
+    """
+    own = models.where("fold IS NULL").select("model", F.col("coefficients").alias("__in"))
+    without = models.where("fold IS NOT NULL").select("model", "fold", F.col("coefficients").alias("__out"))
+    both = rows.join(own, "model", "left").join(without, ["model", "fold"], "left")
+    parts = F.array(*(F.struct(F.lit(part).alias("part"), F.col(c).alias("b")) for part, c in (("in_sample", "__in"), ("cv", "__out"))))
+    each = both.withColumn("__p", F.explode(parts)).where("__p.b IS NOT NULL")
+    fits = F.assert_true(F.size("x") == F.size("__p.b"), F.lit("a row and its model have different numbers of features")).isNull()
+    value = F.aggregate(F.zip_with("x", "__p.b", lambda a, c: a.cast("double") * c), F.lit(0.0), lambda s, v: s + v)
+    return each.where(fits).select(*rows.columns, F.col("__p.part").alias("part"), value.alias("predicted"))
+
+
+def model_statistics(rows: DataFrame, models: DataFrame, scale: Column | float = 1.0) -> DataFrame:
+    """(model, part, grp, n, mae, rmse, max_abs) of all models in one pass: over all rows (grp null) and by group."""
+    e = (F.col("y") - F.col("predicted")) / (F.lit(float(scale)) if not isinstance(scale, Column) else scale)
+    scored = predictions(rows, models).select("model", "part", F.struct("grp").alias("g"), e.alias("e"))
+    sums = scored.rollup("model", "part", "g").agg(F.count("*").alias("n"), F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.max(F.abs("e")).alias("max_abs"), F.grouping_id().alias("__level"))
+    return sums.where("__level <= 1").select("model", "part", F.col("g.grp").alias("grp"), F.when(F.col("__level") == 1, "all").otherwise("group").alias("scope"), "n", *FIGURES)
+
+
+def verification(stored: DataFrame, rows: DataFrame, models: DataFrame, scale: Column | float = 1.0, atol: float = ATOL, rtol: float = RTOL) -> DataFrame:
+    """(model, part, scope, grp, n, stored_<figure>, <figure>, verdict) of each stored or recomputed line of statistics.
+
+    ``stored``: (model, part, scope, grp, n, mae, rmse, max_abs). ``verdict``: ``same`` if the
+    counts are equal and each figure lies within max(atol, rtol |stored|); ``differs``; ``not stored``; ``not found``.
+    """
+    now = model_statistics(rows, models, scale)
+    on = ["model", "part", "scope"]
+    then = stored.select(*(F.col(c).alias(f"__{c}") for c in (*on, "grp")), F.col("n").alias("stored_n"), *(F.col(f).cast("double").alias(f"stored_{f}") for f in FIGURES))
+    match = F.lit(True)
+    for c in (*on, "grp"):
+        match = match & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    both = now.withColumn("__now", F.lit(True)).join(then.withColumn("__then", F.lit(True)), match, "full_outer")
+    same = F.col("n") == F.col("stored_n")
+    for f in FIGURES:
+        same = same & (F.abs(F.col(f) - F.col(f"stored_{f}")) <= F.greatest(F.lit(atol), F.lit(rtol) * F.abs(f"stored_{f}")))
+    verdict = F.when(F.col("__then").isNull(), "not stored").when(F.col("__now").isNull(), "not found").when(same, "same").otherwise("differs")
+    return both.select(*(F.coalesce(c, f"__{c}").alias(c) for c in on), F.when(F.col("__now"), F.col("grp")).otherwise(F.col("__grp")).alias("grp"), "n", *(x for f in FIGURES for x in (f"stored_{f}", f)), verdict.alias("verdict"))

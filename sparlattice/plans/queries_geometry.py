@@ -6,12 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import columns as col
 from ..operators import geometry as geo
-from ..operators import joins, sampling
+from ..operators import joins, sampling, store
 from ..sources.catalogue import Catalogue, checkpoint_dir, write_results
 from ..streaming import chains
 from ..tables import table
-from . import workflows
+from . import specs, workflows
 from .registered import query
 
 _SITES = [(0, "Es", "Fe", 0.0, 0.0, 0.0), (1, "Fm", "X", 0.5, 0.5, 0.5), (2, "Fm", "Cu", 0.25, 0.0, 0.75)]
@@ -173,6 +174,71 @@ def orbit_features(spark, sf_dir):
     return geo.orbit_features(sites, orbits).withColumn("phi", F.round("phi", 9))
 
 
+_MODEL_ORBITS = [("a", *o) for o in _ORBITS] + [("b", 1, i, i) for i in range(1, 5)]
+_MODEL_COEFFICIENTS = [("a", 0, 1.5), ("a", 1, -0.25), ("a", 2, 0.125), ("b", 1, 2.0), ("b", 9, -1.0)]
+
+
+@query(f"""WITH orbits AS (SELECT * FROM (VALUES {', '.join(map(str, _MODEL_ORBITS))}) t(model, orbit_id, cluster_id, site)),
+coefficients AS (SELECT * FROM (VALUES {', '.join(map(str, _MODEL_COEFFICIENTS))}) t(model, orbit_id, coefficient)),
+sizes AS (SELECT model, orbit_id, cluster_id, count(*) AS full_size FROM orbits GROUP BY ALL),
+clusters AS (SELECT l_orderkey AS structure_id, model, orbit_id, cluster_id, product(CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE -1.0 END) AS phi, count(*) AS have
+ FROM (SELECT DISTINCT l_orderkey, l_linenumber, first(l_linestatus ORDER BY l_linestatus) AS l_linestatus FROM lineitem GROUP BY 1, 2) JOIN orbits ON site = l_linenumber GROUP BY ALL),
+means AS (SELECT structure_id, model, orbit_id, avg(phi) AS phi FROM clusters JOIN sizes USING (model, orbit_id, cluster_id) WHERE have = full_size GROUP BY ALL)
+SELECT m.model, structure_id, round(sum(phi * coefficient) + (SELECT coalesce(sum(c.coefficient), 0) FROM coefficients c WHERE c.model = m.model AND c.orbit_id NOT IN (SELECT orbit_id FROM orbits o WHERE o.model = m.model)), 9) AS predicted
+FROM means m JOIN coefficients USING (model, orbit_id) GROUP BY m.model, structure_id""")
+def predicted_structures(spark, sf_dir):
+    """Orders as structures, scored under two stored models that have different orbits."""
+    status = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_linestatus").alias("s"))
+    structures = status.select(F.col("l_orderkey").alias("structure_id"), F.col("l_linenumber").alias("site"), F.when(F.col("s") == "O", 1.0).otherwise(-1.0).alias("value"))
+    orbits = spark.createDataFrame(_MODEL_ORBITS, "model string, orbit_id int, cluster_id int, site int")
+    coefficients = spark.createDataFrame(_MODEL_COEFFICIENTS, "model string, orbit_id int, coefficient double")
+    return geo.predicted(structures, orbits, coefficients).withColumn("predicted", F.round("predicted", 9))
+
+
+@query("SELECT s_suppkey AS site_idx, CAST(s_nationkey AS VARCHAR) AS species, n_name AS name, n_regionkey AS region FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 15) ON n_nationkey = s_nationkey")
+def site_annotation(spark, sf_dir):
+    """Suppliers as sites of their nation's species; species from 15 on aren't known."""
+    sites = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site_idx"), F.col("s_nationkey").cast("string").alias("species"))
+    facts = table(spark, sf_dir, "nation").where("n_nationkey < 15").select(F.col("n_nationkey").cast("string").alias("species"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    return geo.annotated(sites, facts)
+
+
+@query("""WITH t AS (SELECT o_orderkey, CASE WHEN o_custkey % 10 > 0 THEN o_totalprice END AS energy, CASE WHEN o_orderkey % 7 > 0 THEN (o_orderkey % 100) / 1000.0 END AS force,
+ CASE WHEN o_custkey % 3 > 0 THEN o_orderstatus <> 'O' END AS ok FROM orders)
+SELECT o_orderkey, concat_ws(',', CASE WHEN energy IS NULL THEN 'energy' END, CASE WHEN force IS NULL THEN 'force' END,
+ CASE WHEN force IS NULL OR force >= 0.05 THEN 'force below the limit' END, CASE WHEN NOT ok THEN 'converged' END) AS failed
+FROM t WHERE energy IS NULL OR force IS NULL OR force >= 0.05 OR NOT ok""")
+def convergence_gate(spark, sf_dir):
+    """Orders as relaxations: which fail what a calculator asks of them."""
+    o = table(spark, sf_dir, "orders")
+    energy, force = F.when(F.col("o_custkey") % 10 > 0, F.col("o_totalprice")), F.when(F.col("o_orderkey") % 7 > 0, (F.col("o_orderkey") % 100) / 1000.0)
+    rows = o.select("o_orderkey", energy.alias("energy"), force.alias("max_force"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_orderstatus") != "O").alias("is_force_converged"))
+    failing = store.gate(rows, store.convergence_checks(specs.CalcSpec("vasp-gga", "full", "nonmagnetic", 0.05)), ["o_orderkey"])
+    return failing.withColumn("failed", F.array_join("failed", ","))
+
+
+@query("""SELECT user_id, sha256('{"occupancy":[' || string_agg(event_id, ',' ORDER BY event_id) || '],"parent_wl_block_key":"' || sha256(CAST(user_id - 1 AS VARCHAR)) || '","state":{"bin_indices":['
+ || string_agg(CAST(floor(value) AS BIGINT), ',' ORDER BY event_id) || '],"entropy":[' || string_agg(CAST(CAST(value / 3 AS DOUBLE) AS VARCHAR), ',' ORDER BY event_id) || '],"mod_factor":' || CAST(1.0::DOUBLE / (1 + user_id) AS VARCHAR)
+ || ',"version":1},"wl_key":"' || sha256(CAST(user_id AS VARCHAR)) || '"}') AS wl_block_key FROM events GROUP BY user_id""")
+def block_keys(spark, sf_dir):
+    """Users as blocks: events as occupancy, values as a state's bins and entropies."""
+    rows = F.array_sort(F.collect_list(F.struct("event_id", "value")))
+    users = table(spark, sf_dir, "events").groupBy("user_id").agg(rows.alias("r"))
+    values = F.transform("r", lambda r: r["value"])
+    state = {"bin_indices": col.json_list(F.transform(values, lambda v: F.floor(v).cast("long"))), "entropy": col.json_list(values, lambda v: col.json_double(v / 3)), "mod_factor": col.json_double(F.lit(1.0) / (1 + F.col("user_id"))), "version": F.lit("1")}
+    keys = [F.sha2((F.col("user_id") + d).cast("string"), 256) for d in (0, -1)]
+    return users.select("user_id", col.block_key(keys[0], keys[1], col.json_object(state), F.transform("r", lambda r: r["event_id"])).alias("wl_block_key"))
+
+
+@query("SELECT event_id, user_id, CASE WHEN user_id % 4 > 0 THEN props END AS props FROM events")
+def large_fields_read(spark, sf_dir):
+    """Events with their properties in a child table, written and read back bucket by bucket."""
+    at = Catalogue(f"{checkpoint_dir(spark)}/catalogue-{uuid.uuid4().hex}")
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("user_id") % 4 > 0, F.col("props")).alias("props"))
+    at.write_split(rows, "blocks", "event_id", ["props"])
+    return at.read_split(spark, "blocks", ["props"])
+
+
 _SIDE = "SELECT DISTINCT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_linenumber % 2 = {}"
 
 

@@ -130,6 +130,17 @@ def adaptive_bin_counts(spark, sf_dir):
     return th.bins_per_width(table(spark, sf_dir, "events"), "value", [1.25, 2.5, 5, 10, 20])
 
 
+@query("""WITH RECURSIVE levels AS (SELECT k, count(DISTINCT floor(value / (64.0 * pow(2.0, k)))) AS bins FROM events CROSS JOIN (SELECT CAST(unnest(generate_series(-40, 40)) AS INTEGER) AS k) GROUP BY k),
+walk AS (SELECT 0 AS k, bins FROM levels WHERE k = 0
+UNION ALL SELECT l.k, l.bins FROM walk w JOIN levels l ON l.k = CASE WHEN w.bins < 50 THEN w.k - 1 ELSE w.k + 1 END WHERE w.bins < 50 OR w.bins > 200)
+SELECT 64.0::DOUBLE * pow(2.0, k) AS width, bins FROM walk WHERE bins BETWEEN 50 AND 200""")
+def adapted_bin_width(spark, sf_dir):
+    """The width that halving from 64 finds for 50 to 200 bins, and its bins."""
+    events = table(spark, sf_dir, "events")
+    width = th.adapted_width(events, "value", 64.0)
+    return th.bins_per_width(events, "value", [width])
+
+
 @query(f'WITH {_COUNTS} SELECT bin, sublattice, element, n_sites, CAST(sum("count") AS BIGINT) AS "count" FROM counts GROUP BY ALL')
 def cation_agg(spark, sf_dir):
     return th.cation_totals(_counts(spark, sf_dir))

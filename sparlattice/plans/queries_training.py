@@ -169,3 +169,34 @@ def dopt_select(spark, sf_dir):
 @query(f"SELECT CAST(label AS BIGINT) AS pool, count(*) AS n_candidates, count(DISTINCT label) AS n_groups, CAST(max(len(embedding)) AS INTEGER) AS p, count(*) FILTER (WHERE vec_id IN ({', '.join(map(str, _ENDPOINTS))})) AS seed_size FROM embeddings GROUP BY 1")
 def selection_sizes(spark, sf_dir):
     return design.selection_sizes(_pools(spark, sf_dir))
+
+
+#: Coefficients of stored models, by model and the fold that they leave out (-1: none). Fixed values.
+_STORED = """stored_models AS (SELECT m AS model, CASE WHEN f >= 0 THEN f END AS fold, feature, ((feature * 37 + m * 5 + (f + 1) * 3) % 11 - 5) / 100.0 AS c FROM
+ (SELECT CAST(unnest(generate_series(0, 2)) AS INTEGER) AS m), (SELECT CAST(unnest(generate_series(-1, 4)) AS INTEGER) AS f), (SELECT CAST(unnest(generate_series(0, 63)) AS INTEGER) AS feature))"""
+
+
+def _stored_models(spark):
+    rows = [(m, f if f >= 0 else None, [((i * 37 + m * 5 + (f + 1) * 3) % 11 - 5) / 100 for i in range(64)]) for m in range(3) for f in range(-1, 5)]
+    return spark.createDataFrame(rows, "model int, fold int, coefficients array<double>")
+
+
+_VERIFIED = f"""WITH {_WIDE}, {_STORED},
+dots AS (SELECT vec_id, s.model, coalesce(s.fold, -1) AS fold, any_value(y) AS y, sum(x * c) AS p FROM wide w JOIN stored_models s ON s.feature = w.feature AND s.model = w.vec_id % 3 GROUP BY ALL),
+parts AS (SELECT model, 'in_sample' AS part, CAST(y AS INTEGER) AS grp, (y - p) / 4 AS e FROM dots WHERE fold = -1
+UNION ALL SELECT model, 'cv', CAST(y AS INTEGER), (y - p) / 4 FROM dots WHERE fold = {_FOLD.format('')}),
+now AS (SELECT model, part, CASE WHEN grouping(grp) = 1 THEN 'all' ELSE 'group' END AS scope, grp, count(*) AS n, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, max(abs(e)) AS max_abs FROM parts GROUP BY GROUPING SETS ((model, part, grp), (model, part)))
+SELECT model, part, scope, grp, n, round(mae, 9) AS mae, round(rmse, 9) AS rmse, round(max_abs, 9) AS max_abs,
+CASE WHEN scope = 'group' AND grp = 7 THEN 'not stored' WHEN model = 1 AND part = 'cv' THEN 'differs' ELSE 'same' END AS verdict FROM now"""
+
+
+@query(_VERIFIED)
+def verified_models(spark, sf_dir):
+    """Three stored models verified at once: their figures as they were stored, but for one
+    model's cross-validation, which is off by more than the tolerance, and a composition that wasn't stored."""
+    rows = _folded(spark, sf_dir).select((F.col("vec_id") % 3).cast("int").alias("model"), F.col("label").cast("int").alias("grp"), "fold", F.col("embedding").alias("x"), F.col("label").cast("double").alias("y"))
+    models = _stored_models(spark)
+    now = tr.model_statistics(rows, models, 4.0)
+    off = F.when((F.col("model") == 1) & (F.col("part") == "cv"), 1e-5).otherwise(1e-7)
+    stored = now.where(~F.col("grp").eqNullSafe(F.lit(7))).withColumn("rmse", F.col("rmse") + off)
+    return _rounded(tr.verification(stored, rows, models, 4.0).drop("stored_mae", "stored_rmse", "stored_max_abs"), "mae", "rmse", "max_abs", digits=9)

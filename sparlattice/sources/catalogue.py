@@ -1,8 +1,9 @@
 """Where documents live: Parquet and JSON folders under one root.
 
-A catalogue stands for a document store. Tables are folders; large
-fields live in child tables joined by key; what is stored is identified by its
-content key, and rows whose key exists aren't written again.
+A catalogue stands for a document store. Tables are folders; what is stored is
+identified by its content key, and rows whose key exists aren't written again. Large
+fields can live in child tables of their own, bucketed by key like their parent
+(``write_split``), so that reading a field back needs no shuffle and reading the rest doesn't touch it.
 """
 
 from __future__ import annotations
@@ -77,6 +78,68 @@ class Catalogue:
         return path
 
 
+    # ---- large fields in child tables
+
+    def write_split(self, df: DataFrame, name: str, key: str, large: Sequence[str], buckets: int | None = None) -> str:
+        """Write ``df`` as a parent without the ``large`` fields and a child (key, field) for each.
+
+        All are bucketed and sorted by ``key``, one file a bucket, in a folder
+        of this version; a manifest row, written last, makes the version readable. Rows without the field
+        have no row in its child. ValueError if a key is null or occurs twice.
+        """
+        spark = df.sparkSession
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        bad = df.groupBy(key).agg(F.count("*").alias("n")).where(F.col(key).isNull() | (F.col("n") > 1))
+        if not bad.isEmpty():
+            raise ValueError(f"{key} is null or occurs twice")
+        version = uuid.uuid4().hex
+        parts = {"parent": df.drop(*large)} | {field: df.select(key, field).where(F.col(field).isNotNull()) for field in large}
+        for part, rows in parts.items():
+            table = _bucketed_name(version, part)
+            rows.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", f"{self.path(name)}/{version}/{part}").saveAsTable(table)
+        number = self.read_manifest(spark, name).agg(F.coalesce(F.max("number"), F.lit(-1)).alias("n")).first()["n"] + 1
+        entry = [(number, version, key, buckets, part, _columns(rows)) for part, rows in parts.items()]
+        spark.createDataFrame(entry, MANIFEST).coalesce(1).write.mode("append").json(f"{self.path(name)}/manifest")
+        return version
+
+    def read_manifest(self, spark: SparkSession, name: str) -> DataFrame:
+        if not self.exists(spark, f"{name}/manifest"):
+            return spark.createDataFrame([], MANIFEST)
+        return spark.read.schema(MANIFEST).json(f"{self.path(name)}/manifest")
+
+    def read_split(self, spark: SparkSession, name: str, fields: Sequence[str] = ()) -> DataFrame:
+        """The latest version's parent with the large ``fields`` asked for; null where a row has none.
+
+        Tables are joined bucket by bucket as they lie: no exchange, and children that aren't asked
+        for aren't read. LookupError if nothing is stored or there is no such field.
+        """
+        rows = self.read_manifest(spark, name)
+        entries = {r["part"]: r for r in rows.where(F.col("number") == rows.agg(F.max("number")).first()[0]).collect()}
+        if absent := [p for p in ("parent", *fields) if p not in entries]:
+            raise LookupError(f"{name} has no {', '.join(absent)}")
+        for part in ("parent", *fields):
+            r = entries[part]
+            known = f"CREATE TABLE IF NOT EXISTS {_bucketed_name(r['version'], part)} ({r['columns']}) USING parquet CLUSTERED BY (`{r['key']}`) SORTED BY (`{r['key']}`) INTO {r['buckets']} BUCKETS LOCATION '{self.path(name)}/{r['version']}/{part}'"
+            spark.sql(known)
+        key, version = entries["parent"]["key"], entries["parent"]["version"]
+        out = spark.table(_bucketed_name(version, "parent"))
+        for field in fields:
+            out = out.join(spark.table(_bucketed_name(version, field)).hint("merge"), key, "left")
+        return out
+
+
+#: A row for each table of a version of a split table; versions are numbered from 0.
+MANIFEST = "number long, version string, key string, buckets int, part string, columns string"
+
+
+def _bucketed_name(version: str, part: str) -> str:
+    return f"`split_{version}_{part.lower()}`"
+
+
+def _columns(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def json_lookup(spark: SparkSession, path: str, key: str | None = None, value: str | None = None) -> DataFrame:
     """(key, value) pairs of a JSON file: one object, or with the names given a list of records."""
     if key is None:
