@@ -8,6 +8,7 @@ pages whose indexes allow reading single documents.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrays import END, NUMBER, SPACE, Runs, chunks, hash_runs, packed
+from .arrays import END, NUMBER, SPACE, Runs, chunks, hash_runs, library_classes, packed, unpacked_classes
 from .bpe import Memory
 from .shared import shared_dir
 
@@ -50,11 +51,20 @@ class WordTokenizer:
     digits, other characters, contractions; white space is dropped.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, classes: bytes):
+        """``classes``: the character table of the file's own pre-tokenizer (``word_classes``)."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.classes = unpacked_classes(classes)
         self.tokenizer = Tokenizer.from_file(path)
+        added = {t.content: (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for _, t in added.values()):
+            raise ValueError("added tokens that aren't plain strings")
+        self.added = {content: i for content, (i, _) in added.items()}
+        # Longest first, as the library prefers among those that begin at one place.
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        # Added tokens are cut out of texts before; words between them are never taken for one.
         self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.closes = np.zeros(max(vocab.values()) + 3, dtype=bool)
@@ -80,8 +90,22 @@ class WordTokenizer:
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts end to end, bounds of each text)."""
-        r = Runs([self.normal(t) for t in texts], after_space=False)
+        """(ids of all texts end to end, bounds of each text). Strings of added tokens have the ids of these, as the library has it."""
+        if not any(a in t for a in self.added for t in texts):
+            return self._encode(texts)
+        pieces = [self.parts.split(t) if self.parts else [t] for t in texts]
+        flat = [p for of in pieces for p in of]
+        ids, bounds = self._encode(["" if k % 2 else p for of in pieces for k, p in enumerate(of)])
+        n = np.diff(bounds)
+        special = np.array([self.added.get(p, -1) if k % 2 else -1 for of in pieces for k, p in enumerate(of)], dtype=np.int64)
+        at = np.flatnonzero(special >= 0)
+        ids = np.insert(ids, bounds[at], special[at])
+        n[at] = 1
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return ids, ends[np.concatenate([[0], np.cumsum([len(of) for of in pieces])])] if flat else bounds
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        r = Runs([self.normal(t) for t in texts], after_space=False, table=self.classes)
         digits = np.flatnonzero(r.kind == NUMBER)
         r.cut[digits] = True
         r.cut[digits + 1] = True
@@ -96,8 +120,16 @@ class WordTokenizer:
 
 
 @lru_cache(maxsize=2)
-def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def word_tokenizer(path: str, classes: bytes) -> WordTokenizer:
+    return WordTokenizer(path, classes)
+
+
+@lru_cache(maxsize=4)
+def word_classes(path: str) -> bytes:
+    """The class of every character as the file's pre-tokenizer has it, found by the driver."""
+    from tokenizers import Tokenizer
+
+    return library_classes(Tokenizer.from_file(path).pre_tokenizer)
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, encoding: str = "delta", row_group_bytes: int = ROW_GROUP_BYTES, page_rows: int = PAGE_ROWS) -> None:
@@ -111,8 +143,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, encoding: str
     if encoding not in ("delta", "dictionary"):
         raise ValueError(f"unknown encoding {encoding!r}")
 
+    classes = word_classes(tokenizer_path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = word_tokenizer(tokenizer_path)
+        t = word_tokenizer(tokenizer_path, classes)
         start = 0
         for batch in batches:
             for at, part in chunks(batch.column(1).to_pylist()):
@@ -163,6 +197,26 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(files, "__file").select("doc_id", (F.col("__before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
 
 
+#: Bytes of a batch in which lists of ids are handed to Python.
+READ_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession, size: int = READ_BYTES) -> SparkSession:
+    """A session of its own with the settings of ``spark``, but batches for Python of at most ``size`` bytes.
+
+    Lists of ids vary in length, so that rows don't bound a batch; at the usual
+    limit the vectors of a task, grown by doubling, and their copies in Python take hundreds of megabytes.
+    """
+    out = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            out.conf.set(name, value)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name, f"{size}b").lower().rstrip("b")
+    out.conf.set(name, f"{min(size, int(held)) if held.isdigit() else size}b")
+    return out
+
+
 def checksums(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and the crc32 of the ids as little-endian unsigned 32-bit integers."""
 
@@ -181,4 +235,4 @@ def token_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Write the token files of ``docs`` to the shared folder and digest what is read back."""
     path = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, tokenizer_path, path)
-    return checksums(read_tokens(docs.sparkSession, path))
+    return checksums(read_tokens(bounded_batches(docs.sparkSession), path))
