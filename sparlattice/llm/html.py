@@ -63,12 +63,17 @@ AGAINST = -2.0
 #: Labels of the fit, which are no features of it.
 LABELS = ("under article", "under main")
 
+#: Of raw elements those with tags of their own inside, which nest and may be empty by ``/>``.
+DRAWINGS = ("svg", "math")
+#: Elements that end a drawing which is never closed. Fixed values.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+
 _RAW_BODY = "|".join(RAW)
 # Attributes are bounded in number and length here, so that a page of stray quotes takes linear time;
 # a tag beyond the bounds ends where ``_tag_end`` says.
 _ATTRIBUTES = r"""(?:[^<>"']++|"[^"]{0,1000}"|'[^']{0,1000}'){0,60}+"""
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW_BODY})\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|</?([a-zA-Z][^\s/<>]*)({_ATTRIBUTES})>|<[!?][^>]*>|<(?:/?[a-zA-Z!?])[^<>]*(?:>|\Z)?",
+    rf"<!--.*?(?:-->|\Z)|</?([a-zA-Z][^\s/<>]*)({_ATTRIBUTES})>|<[!?][^>]*>|<(?:/?[a-zA-Z!?])[^<>]*(?:>|\Z)?",
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -77,8 +82,9 @@ HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 COPYRIGHT = re.compile(r"\s*(?:©|\(c\)|&copy;|copyright\b|all rights reserved)", re.IGNORECASE)
 
 TAG = re.compile(r"</?([a-zA-Z][^\s/<>]*)")
-RAW_TAG = re.compile(rf"<({_RAW_BODY})\b", re.IGNORECASE)
-RAW_CLOSE = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in RAW}
+RAW_CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE) for tag in RAW}
+RAW_MARK = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])", re.IGNORECASE) for tag in DRAWINGS}
+ANY_START = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)(?=[\s/>])")
 DELIMITER = re.compile(r"""[<>]|=\s*+["']""")
 
 
@@ -106,26 +112,60 @@ def _tag_end(page: str, at: int, known: dict[int, int]) -> int:
     return end
 
 
+def _raw_end(page: str, tag: str, end: int, known: dict[int, int], unclosed: set[str]) -> int:
+    """Behind the end of a raw element whose start tag ends at ``end``.
+
+    A drawing ends with the end tag that matches its start, or is empty by ``/>``;
+    one that is never closed ends where an element begins that can't be in it. Others end at
+    their first end tag, else with the page. ``unclosed`` holds the kinds
+    that are known to have no end tag any more.
+    """
+    if tag not in DRAWINGS:
+        close = RAW_CLOSE[tag].search(page, end)
+        return close.end() if close else len(page)
+    if page[end - 2] == "/":
+        return end
+    depth, at = 1, end
+    while tag not in unclosed and (m := RAW_MARK[tag].search(page, at)):
+        stop = _tag_end(page, m.end(), known)
+        at = stop if stop > 0 else m.end()
+        if m[1]:
+            depth -= 1
+            if not depth:
+                return at
+        elif page[at - 2] != "/":
+            depth += 1
+    # From here on no drawing of this kind is closed as often as it is begun.
+    unclosed.add(tag)
+    outside = (m for m in ANY_START.finditer(page, end) if m[1].lower() in BREAKOUT or m[1].lower() in SECTIONS)
+    return next((m.start() for m in outside), len(page))
+
+
 def tokens(page: str) -> Iterator[tuple[int, int, str | None, str | None]]:
     """(start, end, tag, attributes); no tag for comments, declarations, whole raw elements and broken tags."""
     known: dict[int, int] = {}
+    unclosed: set[str] = set()
     at: int | None = 0
     while at is not None:
         found, at = TOKEN.finditer(page, at), None
         for m in found:
-            head = m[1] is None and m[2] is None and TAG.match(page, m.start())
-            raw = head and RAW_TAG.match(page, m.start())
-            end = _tag_end(page, (raw or head).end(), known) if head else -1
+            head = TAG.match(page, m.start())
+            if not head:
+                yield m.start(), m.end(), None, None
+                continue
+            whole = m[1] is not None
+            end = m.end() if whole else _tag_end(page, head.end(), known)
             if end < 0:
-                yield m.start(), m.end(), m[2], m[3]
-            elif raw:
-                close = RAW_CLOSE[raw[1].lower()].search(page, end)
-                at = close.end() if close else len(page)
+                yield m.start(), m.end(), None, None
+                continue
+            tag = head[1].lower()
+            if tag in RAW and page[m.start() + 1] != "/":
+                at = _raw_end(page, tag, end, known, unclosed)
                 yield m.start(), at, None, None
                 break
-            else:
+            yield m.start(), end, head[1], m[2] if whole else page[head.end() : end - 1]
+            if not whole:
                 at = end
-                yield m.start(), end, head[1], page[head.end() : end - 1]
                 break
 
 
@@ -154,6 +194,8 @@ class Block:
     around: float = 0.0
     marks: tuple[str, ...] = ()
     closing: bool = False
+    #: Whether an element around it is never main text, such as a list of choices.
+    dropped: bool = False
 
 
 def blocks(page: str, weight: dict[str, float] | None = None) -> Iterator[Block]:
@@ -203,7 +245,7 @@ def blocks(page: str, weight: dict[str, float] | None = None) -> Iterator[Block]
                 if COPYRIGHT.match(text):
                     own.append("copyright")
                 marks = tuple(sorted(active)) if weight is None and len(open_tags) <= FIT_DEPTH else ()
-                yield Block(within[-1] if within else "body", text, n, tuple(own), total, marks)
+                yield Block(within[-1] if within else "body", text, n, tuple(own), total, marks, dropped=active["under dropped"] > 0)
             parts.clear()
         linked = 0
 
@@ -268,8 +310,10 @@ class Weights:
 
     def of(self, block: Block) -> float:
         """The score of a block: of each word the log odds, between -2 and 2, halved.
-        No single block costs more than ``DEAREST`` words, so that a long notice
+        What is never main text neither speaks for a region nor parts it. No single block costs more than ``DEAREST`` words, so that a long notice
         inside an article doesn't part it."""
+        if block.dropped:
+            return 0.0
         odds = sum(self.words.get(f, 0.0) for f in block.features) + block.around
         return max(-DEAREST, block.words * max(-2.0, min(2.0, odds)) / 2)
 
@@ -291,7 +335,7 @@ def main_text(page: str | None, weights: Weights) -> str:
     parts = list(blocks(page or "", weights.words))
     scores = [weights.tags.get(b.tag, weights.other_tag) if b.text is None else weights.of(b) for b in parts]
     low, high = best_region(scores)
-    kept = (b.text for b, s in zip(parts[low:high], scores[low:high], strict=True) if b.text is not None and not (s < 0 and b.around <= AGAINST))
+    kept = (b.text for b, s in zip(parts[low:high], scores[low:high], strict=True) if b.text is not None and not b.dropped and not (s < 0 and b.around <= AGAINST))
     return " ".join(html.unescape(" ".join(kept)).split())
 
 
@@ -307,7 +351,7 @@ def contexts(page: str) -> Counter:
     for b in blocks(page):
         if b.text is not None:
             marks = [m for m in b.marks if m not in LABELS]
-            if "under dropped" in marks:
+            if b.dropped:
                 continue
             if inside and any(PRIOR.get(m, 0.0) <= AGAINST for m in marks):
                 continue
