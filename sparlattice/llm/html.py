@@ -43,8 +43,8 @@ GENERIC = frozenset("div section article main body".split())
 #: A tag scores between these, by how seldom it stands in main text.
 TAG_SCORES = -0.05, -0.3
 
-#: What the weights are before any page is seen: how far a feature of a word's
-#: block speaks for main text. ``name`` is what a class, id or role says.
+#: Weights of features that no labelled page shows: how far one of a word's
+#: block speaks for main text. ``name`` is what a class, id or role says. All others are learned from nothing.
 PRIOR = {
     "word": 1.0, "in p": 1.0, "in h1": 0.5, "in h2": 0.5, "in h3": 0.3, "in pre": 0.5, "in blockquote": 0.5, "in li": -0.3,
     "links most": -2.0, "links some": -0.3, "copyright": -3.0, "words 1": -0.3, "words 4": -0.1, "words 32": 0.3, "words 64": 0.6,
@@ -59,7 +59,11 @@ for _weight, _names in PRIOR_NAMES.items():
     PRIOR |= {f"name {n}": _weight for n in _names}
 DEAREST = 10.0
 #: Containers speak against a block inside the region from this sum on.
-AGAINST = -2.0
+AGAINST = -1.6
+#: Blocks of labelled main text in a container that weighs so little are no evidence: the label holds for what is around them.
+DOUBTFUL = -2.0
+#: As how many words all labelled ones together count beside a penalty of one for a weight of one.
+STRENGTH = 1_500.0
 #: Labels of the fit, which are no features of it.
 LABELS = ("under article", "under main")
 
@@ -343,8 +347,9 @@ def contexts(page: str) -> Counter:
     """((features of the word, of its containers), in main text or not) -> words, and (tag, ...) -> tags.
 
     Pages label their main text by ``article`` or ``main``; blocks of other
-    sections inside it are neither. Each block counts twice, once without its
-    containers, so that what has no names can be told by the rest.
+    sections inside it are neither. Each block counts three times, once without its
+    containers and once without its element too, so that what has no names, or
+    stands in a plain division, can be told by the rest.
     """
     out: Counter = Counter()
     inside = 0
@@ -353,10 +358,11 @@ def contexts(page: str) -> Counter:
             marks = [m for m in b.marks if m not in LABELS]
             if b.dropped:
                 continue
-            if inside and any(PRIOR.get(m, 0.0) <= AGAINST for m in marks):
+            if inside and any(PRIOR.get(m, 0.0) <= DOUBTFUL for m in marks):
                 continue
             out[json.dumps([*b.features, *marks]), inside > 0] += b.words
             out[json.dumps(b.features), inside > 0] += b.words
+            out[json.dumps([f for f in b.features if not f.startswith("in ")]), inside > 0] += b.words
         elif b.tag in ("article", "main"):
             inside = max(0, inside + (-1 if b.closing else 1))
         else:
@@ -364,9 +370,10 @@ def contexts(page: str) -> Counter:
     return out
 
 
-def learned(counts: dict[tuple[str, bool], int], strength: float = 400.0) -> dict[str, float]:
-    """Log odds of features by logistic regression towards ``PRIOR``; ``strength``:
-    as how many words all labelled ones together count."""
+def learned(counts: dict[tuple[str, bool], int], strength: float = STRENGTH) -> dict[str, float]:
+    """Log odds of features by logistic regression, those that the pages don't show as ``PRIOR`` has
+    them. Each feature that they show starts at 0, whatever ``PRIOR`` says: what it weighs
+    comes from how its words lie inside and outside of main text."""
     named = {k for k, _ in counts}
     rows = [(json.loads(k), counts.get((k, True), 0), counts.get((k, False), 0)) for k in sorted(named)]
     total = sum(a + b for _, a, b in rows)
@@ -381,12 +388,11 @@ def learned(counts: dict[tuple[str, bool], int], strength: float = 400.0) -> dic
     n = np.array([[a, b] for _, a, b in rows], dtype=float)
     # Both kinds count alike, however long articles are.
     n *= strength / 2 / np.maximum(1, n.sum(axis=0))
-    prior = np.array([PRIOR.get(f, 0.0) for f in names])
-    w = prior.copy()
+    w = np.zeros(len(names))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         both = n.sum(axis=1)
-        slope = x.T @ (n[:, 0] - both * p) - (w - prior)
+        slope = x.T @ (n[:, 0] - both * p) - w
         step = np.linalg.solve((x * (both * p * (1 - p))[:, None]).T @ x + np.eye(len(names)), slope)
         w += step / max(1.0, np.abs(step).max())
         if np.abs(step).max() < 1e-6:
