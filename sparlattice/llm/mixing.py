@@ -137,7 +137,9 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_
     whole = F.when(F.col("mix_size") > 0, F.ceil(F.col("taken") / F.col("mix_size"))).otherwise(0).cast("int")
     rows = rows.withColumn("epoch", F.explode(F.when(whole > 0, F.sequence(F.lit(0), whole - 1)).otherwise(F.array().cast("array<int>"))))
     words = F.least("mix_size", F.col("taken") - F.col("epoch") * F.col("mix_size"))
-    head = F.regexp_extract("text", F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), words.cast("string"), F.lit("}")), 0)
+    # Each part is a word behind its white space.
+    parts = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    head = F.array_join(F.slice(parts, F.lit(1), words.cast("int")), "")
     text = F.when(words == F.col("mix_size"), F.col("text")).otherwise(head)
     return rows.withColumn("words", words.cast("long")).withColumn("text", text).drop("mix_size", "source_size", "target", "epochs", "taken")
 

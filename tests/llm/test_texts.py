@@ -92,17 +92,47 @@ def test_token_files(spark, sf):
         start += len(ids)
 
 
-def test_word_tokenizer_equals_the_library():
-    t = token_files.word_tokenizer(queries.tokenizer_path(queries.WORD_TOKENIZER))
+@pytest.fixture(scope="module")
+def word_library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.tokenizer_path(queries.WORD_TOKENIZER))
+
+
+@pytest.fixture(scope="module")
+def word_tokenizer():
+    path = queries.tokenizer_path(queries.WORD_TOKENIZER)
+    return token_files.word_tokenizer(path, token_files.word_classes(path))
+
+
+def ids_of(tokenizer, texts):
+    ids, bounds = tokenizer.encode(texts)
+    return [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
 
+def test_word_tokenizer_equals_the_library(word_library, word_tokenizer):
     @settings(max_examples=200, deadline=None)
     @given(st.lists(ODD, min_size=1, max_size=5))
     def check(texts):
-        ids, bounds = t.encode(texts)
-        for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
-            assert ids[a:b].tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids_of(word_tokenizer, texts) == [word_library.encode(t, add_special_tokens=False).ids for t in texts]
 
     check()
+    special = ["plain <|endoftext|> end", "<|endoftext|>", "", "<|startoftext|><|endoftext|>A", "x<|ENDOFTEXT|>y", "<|<|endoftext|>|>", "\u0130<|endoftext|>\u0301a", "end"]
+    assert ids_of(word_tokenizer, special) == [word_library.encode(t, add_special_tokens=False).ids for t in special]
+
+
+def test_word_tokenizer_knows_every_character(word_library, word_tokenizer):
+    """A letter, a digit, an apostrophe and a mark beside every code point, those of newer Unicode versions too."""
+    points = [*range(0xD800), *range(0xE000, 0x110000)]
+    for i in range(0, len(points), 10_000):
+        text = "\n".join(f"A{chr(c)}b 1{chr(c)}'s {chr(c)}!" for c in points[i : i + 10_000])
+        assert ids_of(word_tokenizer, [text]) == [word_library.encode(text, add_special_tokens=False).ids]
+
+
+def test_batches_read_back_are_bounded(spark):
+    own = token_files.bounded_batches(spark)
+    assert own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{8 << 20}b" and own.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != f"{8 << 20}b"
 
 
 @pytest.mark.parametrize("encoding", ["delta", "dictionary"])
@@ -176,9 +206,40 @@ def test_quality_without_usable_labels(edge_docs, spark):
 
 # ---- 8 ----
 
-DER = base64.b64encode(bytes.fromhex("3081" + "87" + "020100" + "0281" + "81" + "01" * 129)).decode()
+
+
+def tlv(tag, *parts):
+    body = b"".join(parts)
+    size = bytes([len(body)]) if len(body) < 128 else bytes([0x81, len(body)]) if len(body) < 256 else b"\x82" + len(body).to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+def number(n):
+    return tlv(2, n.to_bytes(n.bit_length() // 8 + 1, "big"))
+
+
+OID = tlv(6, bytes.fromhex("2a864886f70d010101"))
+BIG = [3 ** (150 + k) for k in range(8)]
+RSA = tlv(0x30, number(0), *map(number, BIG))
+PRIVATE = {
+    "rsa": RSA,
+    "dsa": tlv(0x30, number(0), *map(number, BIG[:5])),
+    "ec": tlv(0x30, number(1), tlv(4, b"k" * 32), tlv(0xA0, OID), tlv(0xA1, tlv(3, b"\0" + b"p" * 64))),
+    "pkcs8": tlv(0x30, number(0), tlv(0x30, OID, tlv(5)), tlv(4, RSA)),
+    "ed25519": tlv(0x30, number(0), tlv(0x30, tlv(6, bytes.fromhex("2b6570"))), tlv(4, tlv(4, b"k" * 32))),
+    "encrypted": tlv(0x30, tlv(0x30, tlv(6, bytes.fromhex("2a864886f70d01050d")), tlv(0x30, tlv(4, b"salt"))), tlv(4, b"e" * 300)),
+    "openssh": b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + b"\0\0\0\x01" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"p" * 51, b"s" * 136)),
+}
+PUBLIC = {
+    "rsa": tlv(0x30, number(BIG[0]), number(65537)),
+    "spki": tlv(0x30, tlv(0x30, OID, tlv(5)), tlv(3, b"\0", tlv(0x30, number(BIG[0]), number(65537)))),
+    "certificate": tlv(0x30, tlv(0x30, tlv(0xA0, number(2)), number(77), tlv(0x30, OID), tlv(0x30), tlv(0x30, b"\x17\x02zz")), tlv(0x30, OID, tlv(5)), tlv(3, b"\0" * 129)),
+    "parameters": tlv(0x30, number(BIG[0]), number(2)),
+    "ssh": b"\0\0\0\x07ssh-rsa" + b"\0\0\0\x03\x01\0\x01" + b"\0\0\0\x10" + b"k" * 16,
+}
+DER = base64.b64encode(RSA).decode()
 JWT = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256","typ":"JWT"}', b'{"sub":"1"}', b"signature"))
-SSH = base64.b64encode(b"\0\0\0\x07ssh-rsa" + b"\0\0\0\x03\x01\0\x01" + b"\0\0\0\x10" + b"k" * 16).decode()
+SSH = base64.b64encode(PRIVATE["openssh"]).decode()
 
 
 def plain_base(text):
@@ -201,12 +262,56 @@ def test_base_spans(parts):
 def test_confirmed_spans_decode():
     text = f"k {DER} j {JWT} s {SSH} -----BEGIN RSA PRIVATE KEY-----\n{DER}\n-----END RSA PRIVATE KEY----- hex {base64.b64decode(DER).hex().upper()}"
     kinds = Counter(secrets.KINDS[k] for _, k, _, _ in secrets.confirmed_spans(text))
-    assert kinds == {"der": 3, "jwt": 1, "ssh": 1, "pem": 1}
+    assert kinds == {"der": 2, "jwt": 1, "ssh": 1, "pem": 1}  # what an armoured block holds isn't reported twice
     near = f"k {'A' * 60} j {JWT.replace('ey', 'eX', 1)} s {base64.b64encode(b'ssh-rsa no lengths here at all').decode()} d {base64.b64encode(b'0' + bytes(40)).decode()}"
     assert secrets.confirmed_spans(near) == []
     assert not secrets.is_token_header(b"{" * 100_000)
 
 
+def confirmed(text):
+    return [(secrets.KINDS[k], text[a:b]) for a, k, b, _ in secrets.confirmed_spans(text)]
+
+
+@pytest.mark.parametrize("name", PRIVATE)
+def test_private_keys_wherever_they_stand(name):
+    key = base64.b64encode(PRIVATE[name]).decode()
+    kind = "ssh" if name == "openssh" else "der"
+    bare = key.rstrip("=")
+    for text, span in (
+        (f"a {key} b", key), (f"at url/path/{key} b", key), (f"token_{bare.translate(str.maketrans('+/', '-_'))} b", bare.translate(str.maketrans("+/", "-_"))),
+        (f"say:\n{chr(10).join(re.findall('.{1,64}', key))}\nend", "\n".join(re.findall(".{1,64}", key))), (f"say:\n  {(chr(10) + '  ').join(re.findall('.{1,76}', key))} end", "\n  ".join(re.findall(".{1,76}", key))),
+        (f"hex {PRIVATE[name].hex()} b", PRIVATE[name].hex()), (f"hex AF{PRIVATE[name].hex().upper()}0 b", PRIVATE[name].hex().upper()),
+    ):
+        assert confirmed(text) == [(kind, span)]
+    (glued,) = confirmed(f"x {bare}AAAA/more")
+    assert glued[0] == kind and glued[1].startswith(bare[:-1]) and len(glued[1]) <= len(bare)
+    block = f"-----BEGIN PRIVATE KEY-----\n{chr(10).join(re.findall('.{1,64}', key))}\n-----END PRIVATE KEY-----"
+    assert confirmed(f"x {block} y") == [("pem", block)]
+    escaped = block.replace("\n", "\\n")
+    assert confirmed('{"private_key": "' + escaped + '\\n"}') == [("pem", escaped)] and secrets.masked(f"x {escaped} y") == "x [SECRET] y"
+
+
+@pytest.mark.parametrize("name", PUBLIC)
+def test_public_keys_and_certificates_are_no_secrets(name):
+    key = base64.b64encode(PUBLIC[name]).decode()
+    block = f"-----BEGIN CERTIFICATE-----\n{chr(10).join(re.findall('.{1,64}', key))}\n-----END CERTIFICATE-----"
+    for text in (f"a {key} b", f"ssh-rsa {key} me@host", block, block.replace("\n", "\\n"), "\n".join(re.findall(".{1,64}", key))):
+        assert confirmed(text) == [] and secrets.masked(text) == text
+    assert confirmed(PUBLIC[name].hex().upper()) == []
+
+
+@pytest.mark.parametrize("before", ["token_", "a-", "x.y.", "eyey", "_eyJ_", ""])
+def test_tokens_behind_other_characters(before):
+    assert confirmed(f"say {before}{JWT} now") == [("jwt", JWT)]
+
+
+@pytest.mark.parametrize("text", ["_eyJ" * 60_000 + ".aa.bb", "MIIEowIBAAKCAQEA" * 15_000, "b3BlbnNzaC1rZXktdjEAAAAA" * 10_000, "3082" * 60_000, "MHcCAQEE" * 30_000, "eyJh." * 50_000])
+def test_hostile_runs_take_little_time(text):
+    began = time.time()
+    secrets.confirmed_spans(text)
+    assert time.time() - began < 10
+
+
 def test_secrets_query_and_mask(spark, sf, edge_docs, no_docs):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in queries.op8_secrets(spark, sf).collect():
@@ -411,6 +516,43 @@ def test_pages_of_stray_quotes_take_linear_time(page):
     assert time.process_time() - begun < 5
 
 
+ARTICLE = "<article><h1>Head line of it</h1><p>" + "Some words of the article that matter much. " * 12 + "</p>{}</article>"
+CORE = "Head line of it " + ("Some words of the article that matter much. " * 12).strip()
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<header><svg class='logo' /></header>" + ARTICLE.format(""), CORE),
+    (ARTICLE.format("<p>a <svg viewBox='0 0 1 1'/> b end</p>"), CORE + " a b end"),
+    (ARTICLE.format("<svg><svg></svg><text>X</text></svg><p>after</p>"), CORE + " after"),
+    ("<nav><svg class=a><path d=1></nav><div>" + ARTICLE.format("") + "</div>", CORE),
+    (ARTICLE.format("<svg-icon name=x></svg-icon><p>tail words here</p>"), CORE + " tail words here"),
+    (ARTICLE.format("<p>choose <select><option>one two three four five six seven</option></select> now please</p>"), CORE + " choose now please"),
+    (ARTICLE.format("<p>x <math><mi>y</mi></math> z</p>"), CORE + " x z"),
+    (ARTICLE.format("<svg data-x='a>b'><text>n</text></svg ><p>t</p>"), CORE + " t"),
+    (ARTICLE.format("<script>x</script foo><p>t</p>"), CORE + " t"),
+])
+def test_raw_elements_take_nothing_with_them(page, want):
+    assert html.main_text(page, html.Weights()) == want
+
+
+def test_texts_of_the_query_come_from_learned_weights_and_the_scan(spark, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    weights, held_out = fitted(pages[::2]), pages[1::2]
+    texts = [html.main_text(p, weights) for p in held_out]
+    assert texts == [article_of(p) for p in held_out]
+    with monkeypatch.context() as m:
+        m.setattr(html, "best_region", lambda s: (0, len(s)))
+        assert sum(html.main_text(p, weights) != t for p, t in zip(held_out, texts, strict=True)) == len(texts)
+    monkeypatch.setattr(html, "PRIOR", {})
+    alone = fitted(pages[::2])
+    assert not set(html.PRIOR_NAMES) & set(alone.words)
+    scores = []
+    for p, t in zip(held_out, texts, strict=True):
+        got, want = (Counter(x.split()) for x in (html.main_text(p, alone), t))
+        scores.append(2 * (got & want).total() / (got.total() + want.total()))
+    assert sum(scores) / len(scores) > 0.99
+
+
 def test_best_region_is_the_maximum():
     @settings(max_examples=300, deadline=None)
     @given(st.lists(st.integers(-5, 5), max_size=12))
