@@ -76,8 +76,8 @@ def composition_map(text: str) -> dict[str, dict[str, int]]:
     return out
 
 
-def mixture(text: str) -> dict:
-    """``composition_map=...;K=50;seed=123``; names in either case, the seed 0 if not given."""
+def mixture(text: str, seed: int = 0) -> dict:
+    """``composition_map=...;K=50;seed=123``; names in either case, ``seed`` where none is given."""
     found = {}
     for part in _parts(text, ";"):
         name, equals, value = (x.strip() for x in part.partition("="))
@@ -87,7 +87,7 @@ def mixture(text: str) -> dict:
         found[name] = value
     if "composition_map" not in found or "k" not in found:
         raise ValueError("a mixture needs composition_map and K")
-    return {"composition_map": composition_map(found["composition_map"]), "K": int(found["k"]), "seed": int(found.get("seed", 0))}
+    return {"composition_map": composition_map(found["composition_map"]), "K": int(found["k"]), "seed": int(found.get("seed", seed))}
 
 
 def prototype(text: str) -> tuple[str, dict[str, str]]:

@@ -212,7 +212,7 @@ def predictions(rows: DataFrame, models: DataFrame) -> DataFrame:
     both = rows.join(own, "model", "left").join(without, ["model", "fold"], "left")
     parts = F.array(*(F.struct(F.lit(part).alias("part"), F.col(c).alias("b")) for part, c in (("in_sample", "__in"), ("cv", "__out"))))
     each = both.withColumn("__p", F.explode(parts)).where("__p.b IS NOT NULL")
-    fits = F.assert_true(F.size("x") == F.size("__p.b"), F.lit("a row and its model have different numbers of features")).isNull()
+    fits = F.assert_true(F.col("__p.b").isNull() | (F.size("x") == F.size("__p.b")), F.lit("a row and its model have different numbers of features")).isNull()
     value = F.aggregate(F.zip_with("x", "__p.b", lambda a, c: a.cast("double") * c), F.lit(0.0), lambda s, v: s + v)
     return each.where(fits).select(*rows.columns, F.col("__p.part").alias("part"), value.alias("predicted"))
 

@@ -12,6 +12,9 @@ from ..operators import geometry
 # The domains of the calculator settings.
 CALCULATORS = ("MACE-MPA-0", "vasp-gga", "vasp-24")
 RELAX_TYPES = ("static", "full")
+#: What a refined model's key says of its making. Fixed values.
+REFINED_ALGO = "refined-wl-dopt-v1"
+DOPT_OPTIONS = {"ridge": 1e-10, "tie_breaker": "bin_then_hash"}
 SPIN_TYPES = ("nonmagnetic", "ferromagnetic", "afm", "antialigned", "zero_init")
 
 
@@ -27,8 +30,9 @@ class Mixture:
             raise ValueError("K must be positive")
 
     @classmethod
-    def parsed(cls, item: str) -> Mixture:
-        return cls(**text.mixture(item))
+    def parsed(cls, item: str, seed: int = 0) -> Mixture:
+        """``seed``: where the item gives none."""
+        return cls(**text.mixture(item, seed))
 
     def sort_key(self) -> tuple:
         return keys.comp_map_sig(self.composition_map), self.seed, self.K
@@ -86,6 +90,7 @@ class EnsureModel:
     weighting: Mapping[str, Any] | None = None
     algo: str = "randgen-v1"
     cv_seed: int = 0
+    basis: str = "sinusoid"
 
     def __post_init__(self):
         object.__setattr__(self, "mixtures", tuple(sorted(self.mixtures, key=Mixture.sort_key)))
@@ -96,15 +101,24 @@ class EnsureModel:
                     raise ValueError(f"{self.prototype.name} has no active sublattice {s}")
                 geometry.checked_counts({k: n for k, n in c.items() if n}, sites[s])
 
+    @property
+    def basis_spec(self) -> dict:
+        return {"basis": self.basis, "cutoffs": {str(k): v for k, v in self.cutoffs.items()}}
+
     @property
     def key(self) -> str:
         source = {"type": "composition", "mixtures": [asdict(m) for m in self.mixtures]}
-        return keys.ce_key(asdict(self.prototype), self.supercell, [source], self.algo, asdict(self.calc), {"cutoffs": {str(k): v for k, v in self.cutoffs.items()}}, regularization=self.regularization, weighting=self.weighting)
+        return keys.ce_key(asdict(self.prototype), self.supercell, [source], self.algo, asdict(self.calc), self.basis_spec, regularization=self.regularization, weighting=self.weighting)
 
 
 @dataclass(frozen=True)
 class EnsureRefined:
-    """A model refined on a D-optimal choice among sampled configurations."""
+    """A model refined on a D-optimal choice among sampled configurations.
+
+    The base model is trained on energies of its own calculator, the refined
+    one on those of ``final``, or of the base's where that is None. The key holds
+    both: the base's by the key of the base model.
+    """
 
     base: EnsureModel
     endpoints: tuple[Mapping[str, Mapping[str, int]], ...]
@@ -113,6 +127,18 @@ class EnsureRefined:
     samples_per_bin: int
     budget: int
     min_partial_frac: float = 1.0
+    final: CalcSpec | None = None
+    reject_cross: bool = True
+
+    @property
+    def final_calc(self) -> CalcSpec:
+        return self.final or self.base.calc
+
+    @property
+    def policy(self) -> dict:
+        """All settings of the chains that their keys and the model's hold."""
+        p = self.wl_policy
+        return {"bin_width": p["bin_width"], "step_type": p.get("step_type", "swap"), "check_period": int(p.get("check_period", 5_000)), "update_period": int(p.get("update_period", 1)), "seed": int(p.get("seed", 0))}
 
     @property
     def sampled_mixtures(self) -> tuple[Mixture, ...]:
@@ -122,12 +148,26 @@ class EnsureRefined:
 
     def wl_key(self, composition: Mapping[str, Mapping[str, int]]) -> str:
         """The key of the chain of a composition."""
-        p = self.wl_policy
-        return keys.wl_key(self.base.key, p["bin_width"], p.get("step_type", "swap"), composition, True, int(p.get("check_period", 5_000)), int(p.get("update_period", 1)), int(p.get("seed", 0)))
+        return keys.wl_key(self.base.key, initial=composition, reject_cross=self.reject_cross, **self.policy)
+
+    def chain_species(self, composition: Mapping[str, Mapping[str, int]]) -> tuple[dict[str, list[str]], list[list[int]]]:
+        """(species of each sublattice's sites by number, atoms by sublattice and species).
+
+        Where atoms may cross between sublattices all of them number all species alike.
+        """
+        return chain_species(composition, self.reject_cross)
 
     def key(self, partial: bool = False) -> str:
-        source = {"type": "dopt_sampling_intent", "base_ce_key": self.base.key, "endpoints": list(self.endpoints), "wl_policy": dict(self.wl_policy), "ensure": {"steps_to_run": self.steps, "samples_per_bin": self.samples_per_bin}, "dopt": {"budget": self.budget}}
-        return keys.ce_key(asdict(self.base.prototype), self.base.supercell, [source], self.base.algo, asdict(self.base.calc), {"cutoffs": {str(k): v for k, v in self.base.cutoffs.items()}}, self.min_partial_frac if partial else 1.0, self.base.regularization, self.base.weighting)
+        if "seed" not in self.wl_policy:
+            raise ValueError("the chains' policy needs a seed")
+        source = {"type": "dopt_sampling_intent", "base_ce_key": self.base.key, "endpoints": list(self.endpoints), "wl_policy": self.policy, "ensure": {"steps_to_run": self.steps, "samples_per_bin": self.samples_per_bin}, "dopt": {"budget": self.budget} | DOPT_OPTIONS}
+        return keys.ce_key(asdict(self.base.prototype), self.base.supercell, [source], REFINED_ALGO, asdict(self.final_calc), self.base.basis_spec, self.min_partial_frac if partial else 1.0, self.base.regularization, self.base.weighting)
+
+
+def chain_species(composition: Mapping[str, Mapping[str, int]], reject_cross: bool) -> tuple[dict[str, list[str]], list[list[int]]]:
+    every = sorted({e for c in composition.values() for e, n in c.items() if n})
+    named = {s: sorted(e for e, n in c.items() if n) if reject_cross else every for s, c in sorted(composition.items())}
+    return named, [[composition[s].get(e, 0) for e in own] for s, own in named.items()]
 
 
 def swap_mixtures(a: str, b: str, es: int, fm: int, k_count: int, seed: int = 0) -> list[Mixture]:

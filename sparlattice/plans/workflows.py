@@ -7,7 +7,7 @@ DataFrames over a catalogue; what is stored under its key is not made again.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +55,18 @@ def to_compute(configs: DataFrame, energies: DataFrame) -> DataFrame:
     return joins.missing(configs, energies, ["occ_key"])
 
 
+def accepted(energies: DataFrame, calc, wanted: DataFrame | None = None) -> DataFrame:
+    """(occ_key, energy) under a calculator's settings.
+
+    ``energies``: (occ_key, energy) as they are, or tasks with forces, of which each structure's converged
+    one of least force counts. With ``wanted`` (occ_key) the tasks of these structures
+    alone are looked at, so that ties among others don't matter.
+    """
+    if wanted is not None:
+        energies = energies.join(wanted.select("occ_key").distinct(), "occ_key", "left_semi")
+    return operators.energies_of(energies, calc) if "max_force" in energies.columns else energies.select("occ_key", "energy")
+
+
 def lookup_model(spark: SparkSession, store: Catalogue, key: str):
     rows = store.read(spark, "ce_models", MODEL_SCHEMA).where(F.col("ce_key") == key).limit(2).collect()
     if len(rows) > 1:
@@ -127,14 +139,14 @@ def train_and_store(spark: SparkSession, store: Catalogue, key: str, spec: Ensur
 def ensure_model(spark: SparkSession, store: Catalogue, spec: EnsureModel, energies: DataFrame, featurise: Callable[[DataFrame], DataFrame]):
     """The stored model of ``spec``, trained first if there is none.
 
-    ``energies``: (occ_key, energy) of converged configurations; KeyError if
-    any is missing. ``featurise`` turns (set_id, idx, occ_key, occupation) into
+    ``energies``: (occ_key, energy) of converged configurations, or tasks that
+    the calculator's settings choose from; KeyError if any is missing. ``featurise`` turns (set_id, idx, occ_key, occupation) into
     (set_id, idx, x).
     """
     if (found := lookup_model(spark, store, spec.key)) is not None:
         return found
     configs = configurations(spark, spec)
-    refs = joins.complete(configs, energies, ["occ_key"])
+    refs = joins.complete(configs, accepted(energies, spec.calc, configs), ["occ_key"])
     return train_and_store(spark, store, spec.key, spec, asdict(spec), featurise(configs), refs)
 
 
@@ -146,11 +158,66 @@ def mixtures_of(model) -> tuple[Mixture, ...]:
     return tuple(Mixture(m["composition_map"], int(m["K"]), int(m["seed"])) for m in found)
 
 
-def verified(model, rows: DataFrame, per_prim: float = 1.0, atol: float = 1e-9) -> bool:
+def stored_statistics(models: DataFrame) -> DataFrame:
+    """(model, part, scope, grp, n, mae, rmse, max_abs) of the documents of stored models."""
+    figures = "struct<n:bigint,mae:double,rmse:double,max_abs:double>"
+    names = {"in_sample": "in_sample", "cv": "five_fold_cv"}
+    fields = [f"{n}:{figures},{n}_by_composition:map<string,{figures}>" for n in names.values()]
+    rows = models.select(F.col("ce_key").alias("model"), F.from_json("stats", f"struct<{','.join(fields)}>").alias("s"))
+    out = None
+    for part, name in names.items():
+        whole = F.array(F.struct(F.lit("all").alias("scope"), F.lit(None).cast("string").alias("grp"), F.col(f"s.{name}").alias("f")))
+        by = F.transform(F.map_entries(F.col(f"s.{name}_by_composition")), lambda e: F.struct(F.lit("group").alias("scope"), e["key"].alias("grp"), e["value"].alias("f")))
+        lines = rows.select("model", F.lit(part).alias("part"), F.inline(F.concat(whole, by))).select("model", "part", "scope", "grp", "f.*")
+        out = lines if out is None else out.unionByName(lines)
+    return out
+
+
+def verified_models(models: DataFrame, rows: DataFrame, without: DataFrame | None = None, per_prim: float = 1.0) -> DataFrame:
+    """The verdicts of ``training.verification`` on stored models, all in one pass.
+
+    ``models``: documents of a catalogue's ce_models; ``rows``: (model, grp, fold, x, y),
+    the rows that each was trained on; ``without``: (model, fold, coefficients) of the fits that left a
+    fold out, if cross-validated figures are to be checked too.
+    """
+    own = models.select(F.col("ce_key").alias("model"), F.lit(None).cast("int").alias("fold"), "coefficients")
+    stored = stored_statistics(models)
+    if without is None:
+        return training.verification(stored.where("part = 'in_sample'"), rows, own, per_prim)
+    return training.verification(stored, rows, own.unionByName(without), per_prim)
+
+
+def verified(model, rows: DataFrame, per_prim: float = 1.0, atol: float = training.ATOL, rtol: float = training.RTOL) -> bool:
     """Whether a stored model's in-sample statistics come out again from (x, y) rows."""
     now = training.error_stats(rows, F.col("y"), _predicted("x", model["coefficients"]), scale=F.lit(float(per_prim))).first()
     then = json.loads(model["stats"])["in_sample"]
-    return all(abs(now[k] - then[k]) <= atol * max(1.0, abs(then[k])) for k in ("n", "mae", "rmse", "max_abs"))
+    return now["n"] == then["n"] and all(abs(now[k] - then[k]) <= max(atol, rtol * abs(then[k])) for k in training.FIGURES)
+
+
+ORBITS = "model string, orbit_id int, cluster_id int, site int"
+COEFFICIENTS = "model string, orbit_id int, coefficient double"
+
+
+def store_ensemble(store: Catalogue, orbits: DataFrame, coefficients: DataFrame) -> None:
+    """Keep a model's clusters and coefficients beside its document; rows of stored models stay as they are."""
+    store.append_new(orbits, "ce_orbits", ["model", "orbit_id", "cluster_id", "site"], ORBITS)
+    store.append_new(coefficients, "ce_coefficients", ["model", "orbit_id"], COEFFICIENTS)
+
+
+def stored_ensemble(spark: SparkSession, store: Catalogue, models: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(orbits, coefficients) of the stored models, or of those named; LookupError if one isn't stored."""
+    orbits, coefficients = store.read(spark, "ce_orbits", ORBITS), store.read(spark, "ce_coefficients", COEFFICIENTS)
+    if models is not None:
+        orbits, coefficients = (t.where(F.col("model").isin(list(models))) for t in (orbits, coefficients))
+        have = {r["model"] for r in coefficients.select("model").distinct().collect()}
+        if absent := sorted(set(models) - have):
+            raise LookupError(f"not stored: {', '.join(absent)}")
+    return orbits, coefficients
+
+
+def predict_structures(spark: SparkSession, store: Catalogue, structures: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
+    """(model, structure_id, predicted) of (structure_id, site, value) under stored models."""
+    return geometry.predicted(structures, *stored_ensemble(spark, store, models))
 
 
 # ---- chains and the refined model
@@ -163,8 +230,7 @@ def chain_table(spark: SparkSession, spec: EnsureRefined) -> tuple[DataFrame, di
     rows, counts, species = [], {}, {}
     for m in spec.sampled_mixtures:
         key = spec.wl_key(m.composition_map)
-        named = {s: sorted(e for e, n in c.items() if n) for s, c in m.composition_map.items()}
-        counts[key] = [[m.composition_map[s][e] for e in named[s]] for s in sorted(named)]
+        named, counts[key] = spec.chain_species(m.composition_map)
         species[key] = [named.get(s, []) for _, s in sites]
         rows.append((key, keys.comp_map_sig(m.composition_map), int(spec.wl_policy.get("seed", 0))))
     return spark.createDataFrame(rows, "wl_key string, set_id string, seed long"), counts, species
@@ -183,7 +249,7 @@ def extend_chains(spark: SparkSession, store: Catalogue, chains: DataFrame, samp
 def ensure_blocks(spark: SparkSession, store: Catalogue, spec: EnsureRefined, lattice) -> tuple[DataFrame, dict]:
     """Of each sampled chain the first block of at least the wanted steps, run if there is none."""
     chains, counts, species = chain_table(spark, spec)
-    sampler = sampling.SamplerSpec(bin_width=spec.wl_policy["bin_width"], steps=spec.steps, check_period=int(spec.wl_policy.get("check_period", 5_000)), samples_per_bin=spec.samples_per_bin)
+    sampler = sampling.SamplerSpec(bin_width=spec.wl_policy["bin_width"], steps=spec.steps, check_period=spec.policy["check_period"], update_period=spec.policy["update_period"], samples_per_bin=spec.samples_per_bin, reject_cross_sublattice=spec.reject_cross)
 
     def matching() -> DataFrame:
         blocks = store.read(spark, "wl_blocks", sampling.BLOCK_SCHEMA).join(chains.select("wl_key"), "wl_key", "left_semi")
@@ -209,15 +275,21 @@ def candidates(spark: SparkSession, blocks: DataFrame, species: dict, spec: Ensu
     return endpoints, samples
 
 
-def ensure_refined(spark: SparkSession, store: Catalogue, spec: EnsureRefined, energies: DataFrame, featurise: Callable[[DataFrame], DataFrame], lattice):
+def ensure_refined(spark: SparkSession, store: Catalogue, spec: EnsureRefined, energies: DataFrame, featurise: Callable[[DataFrame], DataFrame], lattice, final_energies: DataFrame | None = None):
     """The stored refined model of ``spec``, made first if there is none.
 
     The base model, a block of each mixture's chain that is no endpoint (found
     in the catalogue or run), the D-optimal choice among endpoints and samples,
     energies of the chosen, and the model trained on them. KeyError if less than
     ``min_partial_frac`` of the chosen have an energy; with some missing the
-    model is stored under the partial key. ``lattice``: the chains' energy.
+    model is stored under the partial key. ``lattice``: the chains' energy. Energies
+    of the final calculator are matched on the chosen configurations alone: from ``final_energies``,
+    or from ``energies`` if these are tasks or both calculators are one; ValueError if they can't be told apart.
     """
+    if final_energies is None:
+        if spec.final_calc != spec.base.calc and "max_force" not in energies.columns:
+            raise ValueError("energies of the final calculator are wanted")
+        final_energies = energies
     if (found := resolve_refined(spark, store, spec)) is not None:
         return found
     ensure_model(spark, store, spec.base, energies, featurise)
@@ -230,9 +302,9 @@ def ensure_refined(spark: SparkSession, store: Catalogue, spec: EnsureRefined, e
     chosen = select_refined(endpoints.drop("occ_key", "occupation"), samples.drop("occ_key", "occupation"), lambda d: d.join(x, ["grp", "id"]), spec.budget)
     selected = checkpointed(configs.join(chosen.select(F.col("id").alias("idx")), "idx"))
     store.append_new(selected.select("set_id", "idx", "occ_key"), f"selected_{spec.key()[:16]}", ["occ_key"], "set_id string, idx long, occ_key string")
-    refs = checkpointed(selected_references(selected, energies, spec.min_partial_frac))
+    refs = checkpointed(selected_references(selected, accepted(final_energies, spec.final_calc, selected), spec.min_partial_frac))
     partial = refs.count() < selected.count()
-    described = {"base_ce_key": spec.base.key, "endpoints": list(spec.endpoints), "wl_policy": dict(spec.wl_policy), "steps": spec.steps, "samples_per_bin": spec.samples_per_bin, "budget": spec.budget}
+    described = {"base_ce_key": spec.base.key, "endpoints": list(spec.endpoints), "wl_policy": spec.policy, "reject_cross": spec.reject_cross, "base_calc": asdict(spec.base.calc), "final_calc": asdict(spec.final_calc), "steps": spec.steps, "samples_per_bin": spec.samples_per_bin, "budget": spec.budget}
     return train_and_store(spark, store, spec.key(partial=partial), spec.base, described, features.join(refs.select("set_id", "idx"), ["set_id", "idx"], "left_semi"), refs)
 
 

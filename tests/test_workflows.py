@@ -170,3 +170,83 @@ def test_shared_folder_must_be_set_off_a_local_master(monkeypatch):
 
     with pytest.raises(RuntimeError):
         catalogue.checkpoint_dir(Off)
+
+
+def test_base_and_final_calculators_have_energies_of_their_own(spark, tmp_path):
+    at = catalogue.Catalogue(f"file://{tmp_path}/store")
+    lattice, final = sampling.Lattice(**LATTICE), CalcSpec("vasp-24", "static", "ferromagnetic", 0.5)
+    settings = [F.lit(v).alias(n) for n, v in (("relax_type", "full"), ("spin_type", "nonmagnetic"), ("frozen_sublattices", ""), ("is_force_converged", True))]
+    cheap = every_energy(spark).select("occ_key", "energy", F.lit("vasp-gga").alias("calculator"), F.lit(0.01).alias("max_force"), *settings)
+    # The final settings accept larger forces, and give energies of another slope.
+    dear = cheap.select("occ_key", (10 - F.col("energy")).alias("energy"), F.lit("vasp-24").alias("calculator"), F.lit(0.3).alias("max_force"), F.lit("static").alias("relax_type"), F.lit("ferromagnetic").alias("spin_type"), "frozen_sublattices", "is_force_converged")
+    spec = refined(final=final)
+    assert len({spec.key(), refined().key(), refined(final=CalcSpec("vasp-24", "static", "ferromagnetic", 0.4)).key()}) == 3 and spec.base.key == refined().base.key
+    model = workflows.ensure_refined(spark, at, spec, cheap.unionByName(dear), features, lattice)
+    assert model.ce_key == spec.key() and model.coefficients == pytest.approx([7.0, -2.0], rel=1e-4)
+    assert workflows.lookup_model(spark, at, spec.base.key).coefficients == pytest.approx([3.0, 2.0], rel=1e-4)
+    described = json.loads(model.spec)
+    assert (described["base_calc"]["calculator"], described["final_calc"]["max_force_eV_per_A"]) == ("vasp-gga", 0.5)
+    # Plain energies don't say whose they are.
+    with pytest.raises(ValueError):
+        workflows.ensure_refined(spark, at, refined(final=final, budget=4), every_energy(spark), features, lattice)
+    # A tie among structures that weren't chosen is no fault.
+    chosen = at.read(spark, f"selected_{spec.key()[:16]}", "set_id string, idx long, occ_key string")
+    other = dear.join(chosen, "occ_key", "left_anti").limit(1)
+    again = workflows.accepted(dear.unionByName(other), final, chosen)
+    assert again.count() == chosen.count()
+    with pytest.raises(PySparkException):
+        workflows.accepted(dear.unionByName(other), final).collect()
+
+
+def test_chains_with_swaps_across_sublattices_have_keys_and_species_of_their_own():
+    across, within = refined(reject_cross=False), refined()
+    m = within.sampled_mixtures[0].composition_map
+    assert across.wl_key(m) != within.wl_key(m) and across.key() == within.key()
+    assert across.chain_species({"Es": {"Mg": 2}, "Fm": {"Al": 4}}) == ({"Es": ["Al", "Mg"], "Fm": ["Al", "Mg"]}, [[0, 2], [4, 0]])
+    assert within.chain_species({"Es": {"Mg": 2}, "Fm": {"Al": 4}}) == ({"Es": ["Mg"], "Fm": ["Al"]}, [[2], [4]])
+
+
+def test_options_come_from_the_specs(capsys):
+    shared = ["--prototype", "spinel_Q0O", "--param", "a=8.1", "--supercell", "1", "1", "1", "--calculator", "vasp-gga", "--mix", "composition_map=Es:{Al:1,Mg:1},Fm:{Al:3,Mg:1};K=6"]
+    refine = ["ensure-refined", *shared, "--endpoint", "Es:{Mg:2},Fm:{Al:4}", "--bin-width", "0.2", "--steps", "9", "--samples-per-bin", "2", "--budget", "5"]
+    keys_of = lambda *more: cli.main([*refine, *more])
+    plain = keys_of()
+    for more, base_changes in ((("--final-calculator", "vasp-24"), False), (("--final-max-force-eV-per-A", "0.5"), False), (("--basis", "chebyshev"), True), (("--seed", "3"), True), (("--balance-by-comp",), True), (("--update-period", "2"), False), (("--cutoffs", "1:9"), True)):
+        got = keys_of(*more)
+        assert got["ce_key"] != plain["ce_key"] and (got["base_ce_key"] != plain["base_ce_key"]) == base_changes
+    assert keys_of("--final-calculator", "vasp-gga")["ce_key"] == plain["ce_key"]
+    a = cli.refined_spec(cli.parser().parse_args([*refine, "--reject-cross-sublattice-swaps", "--final-relax-type", "static"]))
+    assert a.reject_cross and a.final_calc.relax_type == "static" and a.final_calc.calculator == "vasp-gga"
+    chain = ["chain-key", "--ce-key", "k", "--composition-map", "Es:{Mg:2}", "--bin-width", "0.1"]
+    assert cli.main(chain) != cli.main([*chain, "--reject-cross-sublattice-swaps"])
+    capsys.readouterr()
+
+
+def test_stored_models_are_verified_and_predict_together(spark, tmp_path):
+    at = catalogue.Catalogue(f"file://{tmp_path}/store")
+    energies, models = every_energy(spark), []
+    for k in range(2):
+        spec = EnsureModel(base().prototype, (1, 1, 1), base().mixtures, CALC, {2: 5.0 + k}, {"type": "ridge", "alpha": 1e-9})
+        models.append(workflows.ensure_model(spark, at, spec, energies, features))
+    configs = workflows.configurations(spark, base())
+    rows = features(configs).join(configs.join(energies, "occ_key").select("set_id", "idx", F.col("energy").alias("y")), ["set_id", "idx"])
+    both = rows.crossJoin(spark.createDataFrame([(m.ce_key,) for m in models], "model string")).select("model", F.col("set_id").alias("grp"), F.lit(0).alias("fold"), "x", "y")
+    docs = at.read(spark, "ce_models", workflows.MODEL_SCHEMA)
+    # Every model has one line for all rows and one for each of its three compositions.
+    verdicts = workflows.verified_models(docs, both, per_prim=6.0)
+    assert [(r.model, r.verdict) for r in verdicts.orderBy("model").collect()] == [(k, "same") for k in sorted(m.ce_key for m in models) for _ in range(4)]
+    off = both.withColumn("y", F.when(F.col("model") == models[0].ce_key, F.col("y") + 1e-4).otherwise(F.col("y")))
+    assert {(r.model, r.verdict) for r in workflows.verified_models(docs, off, per_prim=6.0).collect()} == {(models[0].ce_key, "differs"), (models[1].ce_key, "same")}
+    orbits = spark.createDataFrame([("m", 1, 1, 0), ("m", 1, 2, 1), ("m", 2, 1, 0), ("m", 2, 1, 1), ("n", 1, 1, 1)], workflows.ORBITS)
+    coefficients = spark.createDataFrame([("m", 0, 1.0), ("m", 1, 2.0), ("m", 2, 4.0), ("n", 1, 8.0)], workflows.COEFFICIENTS)
+    workflows.store_ensemble(at, orbits, coefficients)
+    workflows.store_ensemble(at, orbits, coefficients)
+    structures = spark.createDataFrame([("a", 0, 1.0), ("a", 1, -1.0), ("b", 0, 1.0), ("b", 1, 1.0)], "structure_id string, site int, value double")
+    got = sorted(map(tuple, workflows.predict_structures(spark, at, structures).collect()))
+    assert got == [("m", "a", -3.0), ("m", "b", 7.0), ("n", "a", -8.0), ("n", "b", 8.0)]
+    # The sparse join equals features laid out as rows and a product with the coefficients.
+    phi = geometry.orbit_features(structures, orbits.where("model = 'm'").drop("model")).collect()
+    dense = {s: 1.0 + sum({1: 2.0, 2: 4.0}[r.orbit_id] * r.phi for r in phi if r.structure_id == s) for s in "ab"}
+    assert dense == {s: v for m, s, v in got if m == "m"}
+    with pytest.raises(LookupError):
+        workflows.stored_ensemble(spark, at, ["m", "nosuch"])
