@@ -93,40 +93,54 @@ def dot(features: Column, coefficients: list[float]) -> Column:
     return F.aggregate(F.zip_with(features, weights, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def json_double(x: Column) -> Column:
     """A double as JSON text with the fewest digits that give it back: plain from 1e-4 to below
     1e16, else with an exponent of two digits or more; null, NaN and infinities as JSON writers name them.
 
     The virtual machine may write a digit too many; a shorter text that still
-    gives the number back is taken instead.
+    gives the number back is taken instead. From 1e16 on the last digit may be
+    another one than the nearest, in some numbers.
     """
-    said = F.abs(x).cast("string")
-    mantissa = F.substring_index(said, "E", 1)
-    point = F.instr(mantissa, ".") - 1
-    shift = F.when(F.instr(said, "E") > 0, F.substring_index(said, "E", -1).cast("int")).otherwise(0)
-    # Significant digits, and the power of ten of the first one.
-    all_digits = F.regexp_replace(mantissa, "[.]", "")
-    significant = F.regexp_replace(F.regexp_replace(all_digits, "^0+(?=.)", ""), "(?<=.)0+$", "")
-    power = shift + point - 1 - (F.length(all_digits) - F.length(F.regexp_replace(all_digits, "^0+(?=.)", "")))
-    n = F.length(significant)
-
-    def value(digits: Column) -> Column:
-        return F.concat(digits, F.lit("E"), (power - n + 2).cast("string")).cast("double")
-
-    down = F.substring(significant, F.lit(1), n - 1)
-    up = (down.cast("decimal(20,0)") + 1).cast("string")
-    shorter = F.when((n > 2) & (value(down) == F.abs(x)), down).when((n > 2) & (F.length(up) == n - 1) & (value(up) == F.abs(x)), up).otherwise(significant)
-    digits = F.regexp_replace(shorter, "(?<=.)0+$", "")
-    size = F.length(digits)
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    whole = F.concat(F.rpad(digits, power + 1, "0"), F.lit(".0"))
-    inside = F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, size))
-    rest = F.when(size > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), size))).otherwise(F.lit(""))
-    exponent = F.concat(F.when(power < 0, "e-").otherwise("e+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
-    scientific = F.concat(F.substring(digits, 1, 1), rest, exponent)
-    text = F.when((power < -4) | (power >= 16), scientific).when(power < 0, small).when(size <= power + 1, whole).otherwise(inside)
-    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
-    return F.when(x.isNull(), "null").when(F.isnan(x), "NaN").when(said == "Infinity", F.concat(sign, said)).when(x == 0, F.concat(sign, F.lit("0.0"))).otherwise(F.concat(sign, text))
+
+    def decimal(said: Column) -> Column:
+        """Significant digits of a positive number's text, and the power of ten of the first one."""
+        mantissa = F.substring_index(said, "E", 1)
+        shift = F.when(F.instr(said, "E") > 0, F.substring_index(said, "E", -1).cast("int")).otherwise(0)
+        digits = F.regexp_replace(mantissa, "[.]", "")
+        return F.struct(F.regexp_replace(F.regexp_replace(digits, "^0+(?=.)", ""), "(?<=.)0+$", "").alias("d"), (shift + F.instr(mantissa, ".") - 2 - F.length(F.regexp_extract(digits, "^0*", 0))).alias("p"), said.cast("double").alias("x"))
+
+    def shortest(r: Column) -> Column:
+        n = F.length(r["d"])
+
+        def given(digits: Column) -> Column:
+            return F.concat(digits, F.lit("E"), (r["p"] - n + 2).cast("string")).cast("double") == r["x"]
+
+        down = F.substring(r["d"], F.lit(1), n - 1)
+        up = (down.cast("decimal(20,0)") + 1).cast("string")
+        digits = F.when((n > 2) & given(down), down).when((n > 2) & (F.length(up) == n - 1) & given(up), up).otherwise(r["d"])
+        return F.struct(F.regexp_replace(digits, "(?<=.)0+$", "").alias("d"), r["p"].alias("p"))
+
+    def written(r: Column) -> Column:
+        digits, power, size = r["d"], r["p"], F.length(r["d"])
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        whole = F.concat(F.rpad(digits, power + 1, "0"), F.lit(".0"))
+        inside = F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, size))
+        rest = F.when(size > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), size))).otherwise(F.lit(""))
+        exponent = F.concat(F.when(power < 0, "e-").otherwise("e+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
+        scientific = F.concat(F.substring(digits, 1, 1), rest, exponent)
+        return F.when((power < -4) | (power >= 16), scientific).when(power < 0, small).when(size <= power + 1, whole).otherwise(inside)
+
+    def text(v: Column) -> Column:
+        sign = F.when(v.cast("string").startswith("-"), "-").otherwise("")
+        number = _let(_let(_let(F.abs(v).cast("string"), decimal), shortest), written)
+        return F.when(v.isNull(), "null").when(F.isnan(v), "NaN").when(F.abs(v) == float("inf"), F.concat(sign, F.lit("Infinity"))).when(v == 0, F.concat(sign, F.lit("0.0"))).otherwise(F.concat(sign, number))
+
+    return _let(x, text)
 
 
 def json_list(values: Column, said: Callable[[Column], Column] = lambda v: v.cast("string")) -> Column:

@@ -4,45 +4,47 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as col
 from ..operators import geometry as geo
-from ..operators import joins, sampling, store
+from ..operators import blocks, joins, sampling, store
 from ..sources.catalogue import Catalogue, checkpoint_dir, write_results
 from ..streaming import chains
 from ..tables import table
 from . import specs, workflows
 from .registered import query
 
-_SITES = [(0, "Es", "Fe", 0.0, 0.0, 0.0), (1, "Fm", "X", 0.5, 0.5, 0.5), (2, "Fm", "Cu", 0.25, 0.0, 0.75)]
-_VALUES = ", ".join(f"({i}, '{s}', '{e}', {x}::DOUBLE, {y}::DOUBLE, {z}::DOUBLE)" for i, s, e, x, y, z in _SITES)
-_CELL = f"""sites AS (SELECT * FROM (VALUES {_VALUES}) t(site_idx, sublattice, species, fx, fy, fz)),
+#: Vectors as sites at their first three components, of a species by their label.
+_SPECIES = ("Fe", "X", "Cu", "Mg")
+_CELL = f"""sites AS (SELECT vec_id AS site_idx, [{', '.join(map(repr, _SPECIES))}][label % 4 + 1] AS species, CAST(embedding[1] AS DOUBLE) AS fx, CAST(embedding[2] AS DOUBLE) AS fy, CAST(embedding[3] AS DOUBLE) AS fz FROM embeddings),
 n AS (SELECT CAST(unnest(generate_series(0, 1)) AS INTEGER) AS v),
-big AS (SELECT site_idx, sublattice, species, (fx + a.v) / 2 AS fx, (fy + b.v) / 2 AS fy, (fz + c.v) / 2 AS fz, a.v AS i, b.v AS j, c.v AS k FROM sites, n a, n b, n c)"""
+big AS (SELECT site_idx, species, (fx + a.v) / 2 AS fx, (fy + b.v) / 2 AS fy, (fz + c.v) / 2 AS fz, a.v AS i, b.v AS j, c.v AS k FROM sites, n a, n b, n c)"""
 
 
-def _supercell(spark):
-    sites = spark.createDataFrame(_SITES, "site_idx int, sublattice string, species string, fx double, fy double, fz double")
-    return geo.supercell(sites, (2, 2, 2))
+def _supercell(spark, sf_dir):
+    species = F.element_at(F.array(*map(F.lit, _SPECIES)), (F.col("label") % 4 + 1).cast("int"))
+    where = [F.col("embedding")[i].cast("double").alias(x) for i, x in enumerate(("fx", "fy", "fz"))]
+    return geo.supercell(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("site_idx"), species.alias("species"), *where), (2, 2, 2))
 
 
 @query(f"WITH {_CELL} SELECT * FROM big")
 def supercell_expand(spark, sf_dir):
-    return _supercell(spark)
+    return _supercell(spark, sf_dir)
 
 
 @query(f"WITH {_CELL} SELECT site_idx, i, j, k, CASE WHEN (i + j + k) % 2 = 0 THEN 1 ELSE -1 END AS sign FROM big")
 def spin_parity(spark, sf_dir):
     sign = geo.spin_sign(F.lit("afm"), F.col("site_idx"), F.col("i"), F.col("j"), F.col("k"))
-    return _supercell(spark).select("site_idx", "i", "j", "k", sign.alias("sign"))
+    return _supercell(spark, sf_dir).select("site_idx", "i", "j", "k", sign.alias("sign"))
 
 
-@query(f"WITH {_CELL} SELECT site_idx, i, j, k, CASE species WHEN 'Fe' THEN 5.0::DOUBLE WHEN 'Cu' THEN 1.0::DOUBLE END * CASE WHEN (i + j + k) % 2 = 0 THEN 1 ELSE -1 END AS moment FROM big WHERE species <> 'X'")
+@query(f"WITH {_CELL} SELECT site_idx, i, j, k, CASE species WHEN 'Fe' THEN 5.0::DOUBLE WHEN 'Cu' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END * CASE WHEN (i + j + k) % 2 = 0 THEN 1 ELSE -1 END + 0.0 AS moment FROM big WHERE species <> 'X'")
 def moment_transfer(spark, sf_dir):
-    cell = geo.without_placeholders(_supercell(spark))
+    cell = geo.without_placeholders(_supercell(spark, sf_dir))
     sign = geo.spin_sign(F.lit("afm"), F.col("site_idx"), F.col("i"), F.col("j"), F.col("k"))
-    return cell.select("site_idx", "i", "j", "k", geo.moment(F.col("species"), sign).alias("moment"))
+    return cell.select("site_idx", "i", "j", "k", (geo.moment(F.col("species"), sign) + 0.0).alias("moment"))
 
 
 @query("SELECT l_suppkey, l_returnflag AS sublattice, count(*) FILTER (WHERE l_linestatus = 'O') * 8 AS active_sites FROM lineitem GROUP BY 1, 2")
@@ -89,31 +91,6 @@ def snapshots(spark, sf_dir):
     return geo.snapshots(requests, [(i, "Es") for i in range(8)])
 
 
-_SPEC = sampling.SamplerSpec(bin_width=0.5, steps=2_000, check_period=200, samples_per_bin=2, collect_cation_stats=True)
-_LATTICE = sampling.Lattice.ring(12)
-_COUNTS = ((3, 3), (4, 2))
-
-
-def _chains(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation")
-    return rows.select(F.col("n_name").alias("wl_key"), F.col("n_nationkey").cast("long").alias("seed"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("state"))
-
-
-@query()
-def wl_block_run(spark, sf_dir):
-    return sampling.run_blocks(_chains(spark, sf_dir), _SPEC, _LATTICE, _COUNTS)
-
-
-@query()
-def wl_chain_resume(spark, sf_dir):
-    return sampling.extend(_chains(spark, sf_dir), _SPEC, _LATTICE, _COUNTS, 2)
-
-
-@query()
-def wl_cation_counts(spark, sf_dir):
-    return sampling.occupancy_counts(sampling.run_blocks(_chains(spark, sf_dir), _SPEC, _LATTICE, _COUNTS))
-
-
 _WIDTH, _PERIOD = 50.0, 100
 
 
@@ -144,22 +121,6 @@ def streaming_visits(spark, sf_dir):
     return chains.counted_visits(spark, f"{path}*", spark.read.parquet(path).schema, 50.0, f"{base}/out", f"{base}/checkpoint")
 
 
-@query()
-def wl_samples(spark, sf_dir):
-    return sampling.sampled_occupancies(sampling.run_blocks(_chains(spark, sf_dir), _SPEC, _LATTICE, _COUNTS))
-
-
-@query()
-def refined_selection(spark, sf_dir):
-    """D-optimal choices among the occupancies that each nation's chain sampled, the first two as endpoints."""
-    samples = wl_samples(spark, sf_dir)
-    pool = F.pmod(F.xxhash64("wl_key"), F.lit(1_000_000))
-    rows = samples.select(pool.alias("pool"), F.col("place").cast("long").alias("id"), F.col("wl_key").alias("grp"), "bin", "occ_hash", "occ")
-    ends, rest = rows.where("id <= 2").withColumn("bin", F.lit(None).cast("long")), rows.where("id > 2")
-    signs = F.transform("occ", lambda o: o.cast("double") * 2 - 1)
-    return workflows.select_refined(ends, rest, lambda d: d.withColumn("x", signs), 6)
-
-
 #: Points and nearest neighbours on seven sites: (orbit, cluster, site).
 _ORBITS = [(1, i, i) for i in range(1, 8)] + [(2, i, s) for i in range(1, 7) for s in (i, i + 1)]
 
@@ -280,11 +241,76 @@ def results_by_folder(spark, sf_dir):
     return spark.read.schema("event_id long, user_id long, event_type string").json(path)
 
 
-@query()
+# ---- chains as a store keeps them: events as recorded steps of their type's chain
+
+_STEPS, _QUOTA = 150, 2
+_PLACED = f"""placed AS (SELECT *, (place - 1) // {_STEPS} AS number FROM (SELECT event_type AS wl_key, CAST(floor(value / {_WIDTH}) AS BIGINT) AS bin,
+ [CAST((user_id >> i) & 1 AS INTEGER) FOR i IN [0, 1, 2, 3]] AS occ, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS place FROM events)),
+ends AS (SELECT wl_key, number, max(place) AS step_end, sha256(wl_key || ':' || number) AS wl_block_key FROM placed GROUP BY ALL),
+own AS (SELECT wl_key, number, bin, count(*) AS n FROM placed GROUP BY ALL),
+states AS (SELECT e.wl_key, e.number, e.wl_block_key, o.bin, coalesce(sum(o.n) FILTER (WHERE o.number = e.number), 0) AS histogram, sum(o.n) AS occurrences FROM ends e JOIN own o ON o.wl_key = e.wl_key AND o.number <= e.number GROUP BY ALL)"""
+
+
+def _steps(spark, sf_dir):
+    occ = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.call_function("shiftright", F.col("user_id"), i).bitwiseAND(F.lit(1)).cast("int"))
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("wl_key"), F.col("event_id").alias("step"), F.floor(F.col("value") / _WIDTH).cast("long").alias("bin"), occ.alias("occ"))
+
+
+def _stored_blocks(spark, sf_dir):
+    """Blocks of recorded steps, written to a catalogue and read back as other programs find them."""
+    at = Catalogue(f"{checkpoint_dir(spark)}/catalogue-{uuid.uuid4().hex}")
+    at.append_new(blocks.recorded_blocks(_steps(spark, sf_dir), _STEPS, _WIDTH, _QUOTA), "wl_blocks", ["wl_block_key"], sampling.BLOCK_SCHEMA)
+    return at.read(spark, "wl_blocks", sampling.BLOCK_SCHEMA)
+
+
+@query(f"""WITH {_PLACED} SELECT e.wl_key, e.wl_block_key, CASE WHEN e.number = 0 THEN '{sampling.GENESIS}' ELSE sha256(e.wl_key || ':' || (e.number - 1)) END AS parent_wl_block_key,
+ e.step_end, pow(0.5, e.number) AS mod_factor, (SELECT count(*) FROM states s WHERE s.wl_block_key = e.wl_block_key) AS bins, e.step_end AS visits FROM ends e""")
+def wl_block_run(spark, sf_dir):
+    return _stored_blocks(spark, sf_dir).select("wl_key", "wl_block_key", "parent_wl_block_key", "step_end", "mod_factor", "bins", "visits")
+
+
+@query("SELECT event_type AS wl_key, CAST(floor(value / 50.0) AS BIGINT) AS bin, count(*) AS occurrences FROM events GROUP BY 1, 2")
+def wl_chain_resume(spark, sf_dir):
+    """Chains stored up to half of their steps, and gone on with from their tips' states."""
+    steps = blocks.ranked(_steps(spark, sf_dir), ["wl_key"], ["step", "bin"])
+    half = steps.groupBy("wl_key").agg(F.floor(F.count("*") / 2).alias("half"))
+    steps = steps.join(half, "wl_key")
+    stored = blocks.recorded_blocks(steps.where("rank <= half").drop("rank", "half"), _STEPS, _WIDTH, _QUOTA)
+    return blocks.resumed(store.tips(stored, "wl_key", "step_end"), steps.where("rank > half"))
+
+
+@query(f"""WITH {_PLACED}, species AS (SELECT wl_key, number, bin, unnest(list_distinct(occ)) AS element, occ FROM placed)
+SELECT wl_key, bin, CAST(0 AS BIGINT) AS sublattice, CAST(element AS BIGINT) AS element, CAST(len(list_filter(occ, lambda o: o = element)) AS BIGINT) AS n_sites, count(*) AS count FROM species GROUP BY wl_key, number, bin, element, n_sites""")
+def wl_cation_counts(spark, sf_dir):
+    return sampling.occupancy_counts(_stored_blocks(spark, sf_dir))
+
+
+@query(f"""WITH {_PLACED}, firsts AS (SELECT wl_key, number, bin, occ, min(place) AS place FROM placed GROUP BY ALL),
+kept AS (SELECT *, row_number() OVER (PARTITION BY wl_key, number, bin ORDER BY place) AS k FROM firsts)
+SELECT wl_key, sha256(wl_key || ':' || number) AS wl_block_key, bin, array_to_string(occ, ',') AS occ, sha256(unhex(array_to_string([printf('%02X', o) FOR o IN occ], ''))) AS occ_hash,
+ CAST(row_number() OVER (PARTITION BY wl_key, number ORDER BY bin, sha256(unhex(array_to_string([printf('%02X', o) FOR o IN occ], '')))) AS INTEGER) AS place FROM kept WHERE k <= {_QUOTA}""")
+def wl_samples(spark, sf_dir):
+    return sampling.sampled_occupancies(_stored_blocks(spark, sf_dir)).withColumn("occ", F.array_join("occ", ","))
+
+
+@query(f"WITH {_PLACED} SELECT wl_key, wl_block_key, bin, CAST(bin * {_WIDTH} AS DOUBLE) AS energy, round(ln(occurrences), 9) AS entropy, CAST(histogram AS BIGINT) AS histogram, CAST(occurrences AS BIGINT) AS occurrences FROM states")
 def wl_state_bins(spark, sf_dir):
-    return sampling.state_bins(sampling.run_blocks(_chains(spark, sf_dir), _SPEC, _LATTICE, _COUNTS))
+    return sampling.state_bins(_stored_blocks(spark, sf_dir)).withColumn("entropy", F.round("entropy", 9))
 
 
-@query()
+@query(f"""WITH {_PLACED} SELECT wl_key, count(*) AS blocks, max(step_end) AS steps, count(*) AS updates, pow(0.5, max(number)) AS mod_factor,
+ (SELECT count(DISTINCT bin) FROM own o WHERE o.wl_key = e.wl_key) AS bins, max(step_end) AS visits FROM ends e GROUP BY wl_key""")
 def wl_report(spark, sf_dir):
-    return sampling.chain_report(sampling.extend(_chains(spark, sf_dir), _SPEC, _LATTICE, _COUNTS, 2))
+    return sampling.chain_report(_stored_blocks(spark, sf_dir))
+
+
+@query()
+def refined_selection(spark, sf_dir):
+    """D-optimal choices among the occupancies that stored blocks sampled, two of each chain as endpoints."""
+    samples = sampling.sampled_occupancies(_stored_blocks(spark, sf_dir))
+    number = F.row_number().over(Window.partitionBy("wl_key").orderBy("occ_hash"))
+    rows = samples.groupBy("wl_key", "occ_hash", "occ").agg(F.min("bin").alias("bin")).withColumn("id", number.cast("long"))
+    rows = rows.select(F.pmod(F.xxhash64("wl_key"), F.lit(1_000_000)).alias("pool"), "id", F.col("wl_key").alias("grp"), "bin", "occ_hash", "occ")
+    ends, rest = rows.where("id <= 2").withColumn("bin", F.lit(None).cast("long")), rows.where("id > 2")
+    signs = F.transform("occ", lambda o: o.cast("double") * 2 - 1)
+    return workflows.select_refined(ends, rest, lambda d: d.withColumn("x", signs), 6)

@@ -212,11 +212,13 @@ def frac_key(spark, sf_dir):
 
 
 @query("""SELECT n AS es, m AS fm, k, 'Es:{A:' || (n - k) || ',B:' || k || '},Fm:{A:' || k || ',B:' || (m - k) || '}' AS sig
-FROM (VALUES (4, 6), (16, 32)) t(n, m), LATERAL (SELECT CAST(unnest(generate_series(1, n - 1)) AS INTEGER) AS k)""")
+FROM (SELECT DISTINCT s_nationkey + 2 AS n, 2 * s_nationkey + 5 AS m FROM supplier) t, LATERAL (SELECT CAST(unnest(generate_series(1, n - 1)) AS INTEGER) AS k)""")
 def swap_mixture_grid(spark, sf_dir):
-    sizes = spark.createDataFrame([(4, 6), (16, 32)], "es int, fm int").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("es") - 1)))
+    """Sizes of two sublattices by nation; all mixtures in which k atoms trade places."""
+    sizes = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") + 2).alias("es"), (2 * F.col("s_nationkey") + 5).alias("fm")).distinct()
+    grid = sizes.withColumn("k", F.explode(F.sequence(F.lit(1), (F.col("es") - 1).cast("int"))))
     sig = F.format_string("Es:{A:%d,B:%d},Fm:{A:%d,B:%d}", F.col("es") - F.col("k"), F.col("k"), F.col("k"), F.col("fm") - F.col("k"))
-    return sizes.select("es", "fm", "k", sig.alias("sig"))
+    return grid.select("es", "fm", "k", sig.alias("sig"))
 
 
 def _grid(spark, sf_dir, on):

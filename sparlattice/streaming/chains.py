@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.thermo import FLATNESS, bin_id, pieced
+from ..operators.blocks import ranked
+from ..operators.thermo import FLATNESS, bin_id
 
 PERIODS = "chain string, period long, bin long, n long"
 TOTALS = "chain string, steps long"
@@ -36,13 +37,8 @@ def period_counts(events: DataFrame, before: DataFrame, width: float, check_peri
     of energies; an energy that is no finite number has no bin and takes no place.
     """
     rows = events.select("chain", "step", bin_id(F.col("energy"), width).alias("bin"), "energy").where("bin IS NOT NULL")
-    rows = pieced(rows, "step")
-    sizes = rows.groupBy("chain", "__piece").agg(F.count("*").alias("__n"))
-    earlier = Window.partitionBy("chain").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.join(before, "chain", "left").select("chain", "__piece", (F.coalesce("steps", F.lit(0)) + F.coalesce(F.sum("__n").over(earlier), F.lit(0))).alias("__start"))
-    rank = F.row_number().over(Window.partitionBy("chain", "__piece").orderBy("step", "energy"))
-    placed = rows.withColumn("__rank", rank).join(starts, ["chain", "__piece"])
-    period = F.floor((F.col("__start") + F.col("__rank") - 1) / F.lit(check_period)).cast("long")
+    placed = ranked(rows, ["chain"], ["step", "energy"]).join(before.withColumnRenamed("steps", "__before"), "chain", "left")
+    period = F.floor((F.coalesce("__before", F.lit(0)) + F.col("rank") - 1) / F.lit(check_period)).cast("long")
     return placed.groupBy("chain", period.alias("period"), "bin").agg(F.count("*").alias("n"))
 
 
