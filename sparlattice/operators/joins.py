@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,7 +119,7 @@ def near_points(left: DataFrame, right: DataFrame, axes: Sequence[str], toleranc
         widths[i] /= 2
         low, high = (cells(F.col(f"l_{axes[i]}") + F.lit(shift), widths[i]) for shift in (-tolerance, tolerance))
         # A cell's halves are 2c and 2c + 1; a box may reach into its neighbours, where it has rows of its own.
-        halves = F.filter(F.sequence(low, high), lambda c, at=on[i]: F.floor(c / F.lit(2)).cast("long") == F.col(at))
+        halves = F.filter(F.sequence(low, high), _half_of(on[i]))
         a = _kept(spark, a.withColumn(on[i], F.explode(halves)))
         b = _kept(spark, b.withColumn(on[i], cells(F.col(f"r_{axes[i]}"), widths[i])))
     blocks = full.select(*on, F.ceil(F.col("n") / F.lit(cell_rows)).cast("long").alias("__blocks"))
@@ -133,6 +133,10 @@ def near_points(left: DataFrame, right: DataFrame, axes: Sequence[str], toleranc
 HALVINGS = 3
 
 
+def _half_of(cell: str) -> Callable[[Column], Column]:
+    return lambda half: F.floor(half / F.lit(2)).cast("long") == F.col(cell)
+
+
 def _kept(spark, df: DataFrame) -> DataFrame:
     from ..sources.catalogue import checkpointed
 

@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions import keys
+
 GENESIS = "GENESIS"
 FLATNESS = 0.8
 
@@ -236,8 +238,9 @@ def initial_occupancy(counts: Sequence[Sequence[int]], lattice: Lattice, seed: i
     return occ
 
 
-def block_key(wl_key: str, parent: str, state: str) -> str:
-    return hashlib.sha256(json.dumps([wl_key, parent, json.loads(state)], sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+def block_key(wl_key: str, parent: str, state: str, occupancy: Sequence[int]) -> str:
+    """The identity of a block by its chain, parent, state (JSON) and occupancy; ``columns.block_key`` gives the same in Spark."""
+    return keys.digest({"wl_key": wl_key, "parent_wl_block_key": parent, "state": json.loads(state), "occupancy": [int(o) for o in occupancy]})
 
 
 BLOCK_SCHEMA = "wl_key string, wl_block_key string, parent_wl_block_key string, step_end long, mod_factor double, bins long, visits long, state string, mod_updates string, samples string, cation_counts string, production_mode boolean"
@@ -254,7 +257,7 @@ def run_block(wl_key: str, spec: SamplerSpec, lattice: Lattice, counts: Sequence
     samples = [[b, o] for b in sorted(chain.samples) for o in chain.samples[b].values()]
     cations = [[*k, n] for k, n in sorted(chain.cations.items())]
     parent = parent or GENESIS
-    return (wl_key, block_key(wl_key, parent, new), parent, chain.steps, chain.m, len(chain.entropy), sum(chain.occurrences.values()), new, json.dumps(chain.updates), json.dumps(samples), json.dumps(cations), spec.production_mode)
+    return (wl_key, block_key(wl_key, parent, new, chain.occ.tolist()), parent, chain.steps, chain.m, len(chain.entropy), sum(chain.occurrences.values()), new, json.dumps(chain.updates), json.dumps(samples), json.dumps(cations), spec.production_mode)
 
 
 def run_blocks(chains: DataFrame, spec: SamplerSpec, lattice: Lattice, counts: Sequence[Sequence[int]] | dict) -> DataFrame:
