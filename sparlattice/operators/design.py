@@ -329,7 +329,7 @@ def select_d_optimal(pools: DataFrame, budget: int, ridge: float = 1e-10, tolera
             bound = -np.inf if len(own) == sizes[pool, grp] else min(r["gain"] for r in own)
             gone = {*taken[pool].get(grp, ()), *([next_of[pool]["occ_hash"]] if pool in next_of and next_of[pool]["grp"] == grp else [])}
             new = [r for r in own if r["occ_hash"] not in gone]
-            x, gains = np.array([r["x"] for r in new], dtype=float).reshape(len(new), -1), np.array([r["gain"] for r in new], dtype=float)
+            x, gains = np.array([r["x"] for r in new], dtype=float).reshape(len(new), p), np.array([r["gain"] for r in new], dtype=float)
             held[pool][grp] = _Held(x, gains, [tie_key(r["bin"], r["occ_hash"]) for r in new], [(r["id"], False, grp, r["occ_hash"]) for r in new], bound)
         for pool in wanted:
             s = states[pool]
