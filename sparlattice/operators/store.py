@@ -153,3 +153,22 @@ def convergence_checks(calc) -> dict[str, Column]:
         "force below the limit": F.col("max_force") < calc.max_force_eV_per_A,
         "converged": F.coalesce("is_force_converged", F.lit(not learned)),
     }
+
+
+#: A training reference as a record: what it is made of, what it is, how it was computed.
+REFERENCE = "composition_map map<string,map<string,bigint>>, occ_key string, calc_spec struct<calculator:string,relax_type:string,spin_type:string,max_force_eV_per_A:double,frozen_sublattices:string>"
+
+
+def reference_documents(refs: DataFrame) -> DataFrame:
+    """``refs`` (REFERENCE columns, ...) with these columns as one JSON text, ``document``."""
+    names = [c.split(" ", 1)[0] for c in REFERENCE.split(", ")]
+    return refs.withColumn("document", F.to_json(F.struct(*names))).drop(*names)
+
+
+def parsed_references(docs: DataFrame) -> DataFrame:
+    """``docs`` with the record that each ``document`` holds, instead of it. A document that isn't
+    one, or lacks its key, composition or calculator, fails."""
+    rows = docs.withColumn("__r", F.from_json("document", REFERENCE))
+    whole = F.col("__r.occ_key").isNotNull() & F.col("__r.composition_map").isNotNull() & F.col("__r.calc_spec.calculator").isNotNull()
+    rows = rows.where(F.assert_true(F.coalesce(whole, F.lit(False)), F.concat(F.lit("no training reference: "), F.coalesce("document", F.lit("null")))).isNull())
+    return rows.select(*(c for c in docs.columns if c != "document"), "__r.*")

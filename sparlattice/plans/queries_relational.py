@@ -221,6 +221,19 @@ def swap_mixture_grid(spark, sf_dir):
     return grid.select("es", "fm", "k", sig.alias("sig"))
 
 
+@query("SELECT l_suppkey, l_returnflag AS sublattice, l_linestatus AS element, count(*) AS n, sha256(CAST(l_suppkey AS VARCHAR)) AS occ_key, l_suppkey / 8.0 AS max_force FROM lineitem GROUP BY ALL")
+def reference_records(spark, sf_dir):
+    """Training references, one a supplier, written as documents and read back as records."""
+    counts = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+    of_sublattice = counts.groupBy("l_suppkey", "l_returnflag").agg(F.map_from_entries(F.collect_list(F.struct("l_linestatus", "n"))).alias("c"))
+    maps = of_sublattice.groupBy("l_suppkey").agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "c"))).alias("composition_map"))
+    calc = F.struct(F.lit("vasp-gga").alias("calculator"), F.lit("full").alias("relax_type"), F.lit("afm").alias("spin_type"), (F.col("l_suppkey") / 8.0).alias("max_force_eV_per_A"), F.lit("").alias("frozen_sublattices"))
+    refs = maps.select("l_suppkey", "composition_map", F.sha2(F.col("l_suppkey").cast("string"), 256).alias("occ_key"), calc.alias("calc_spec"))
+    back = store.parsed_references(store.reference_documents(refs))
+    rows = back.select("l_suppkey", F.explode("composition_map").alias("sublattice", "c"), "occ_key", F.col("calc_spec.max_force_eV_per_A").alias("max_force"))
+    return rows.select("l_suppkey", "sublattice", F.explode("c").alias("element", "n"), "occ_key", "max_force")
+
+
 def _grid(spark, sf_dir, on):
     n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("a"), F.col("n_regionkey").alias("ra"))
     m = n.select(F.col("a").alias("b"), F.col("ra").alias("rb"))

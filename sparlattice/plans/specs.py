@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import asdict, dataclass, field
+from dataclasses import MISSING, asdict, dataclass, field, fields, is_dataclass
 from typing import Any
 
 from ..functions import keys, text
-from ..operators import geometry
+from ..operators import geometry, sampling
 
 # The domains of the calculator settings.
 CALCULATORS = ("MACE-MPA-0", "vasp-gga", "vasp-24")
@@ -173,3 +173,42 @@ def chain_species(composition: Mapping[str, Mapping[str, int]], reject_cross: bo
 def swap_mixtures(a: str, b: str, es: int, fm: int, k_count: int, seed: int = 0) -> list[Mixture]:
     """Mixtures in which k atoms trade places between two sublattices, k from 1 to es - 1."""
     return [Mixture({"Es": {a: es - k, b: k}, "Fm": {a: k, b: fm - k}}, k_count, seed) for k in range(1, es)]
+
+
+# ---- specs as documents
+
+#: What may stand in a document, by the name in its field ``kind``.
+DOCUMENTS = {c.__name__: c for c in (Mixture, CalcSpec, PrototypeSpec, EnsureModel, EnsureRefined, sampling.SamplerSpec)}
+
+
+def document(spec: Any) -> Any:
+    """A spec as JSON has it: a mapping with the name of its kind, specs inside it likewise."""
+    if is_dataclass(spec):
+        return {"kind": type(spec).__name__} | {f.name: document(getattr(spec, f.name)) for f in fields(spec)}
+    if isinstance(spec, Mapping):
+        return {str(k): document(v) for k, v in spec.items()}
+    return [document(v) for v in spec] if isinstance(spec, list | tuple) else spec
+
+
+def from_document(value: Any) -> Any:
+    """The spec that ``document`` wrote, checked as any other; fields that are absent have their
+    defaults. ValueError for an unknown kind or field, or one that lacks."""
+    if isinstance(value, list | tuple):
+        return tuple(from_document(v) for v in value)
+    if not isinstance(value, Mapping):
+        return value
+    inner = {k: from_document(v) for k, v in value.items() if k != "kind"}
+    if "kind" not in value:
+        return inner
+    kind = DOCUMENTS.get(value["kind"])
+    if kind is None:
+        raise ValueError(f"unknown kind {value['kind']!r}")
+    known = {f.name for f in fields(kind)}
+    needed = {f.name for f in fields(kind) if f.default is MISSING and f.default_factory is MISSING}
+    if unknown := set(inner) - known:
+        raise ValueError(f"{value['kind']} has no {', '.join(sorted(unknown))}")
+    if absent := needed - set(inner):
+        raise ValueError(f"{value['kind']} lacks {', '.join(sorted(absent))}")
+    if "cutoffs" in inner:
+        inner["cutoffs"] = {int(k): float(v) for k, v in inner["cutoffs"].items()}
+    return kind(**inner)

@@ -265,3 +265,12 @@ def test_blocks_of_recorded_steps(spark):
         assert sum(n for *_, n in json.loads(r["cation_counts"])) == sum(len(set(s[3])) for s in own)
     keys = {r["wl_block_key"]: r["parent_wl_block_key"] for r in made.values()}
     assert sorted(p in keys or p == sampling.GENESIS for p in keys.values()) == [True] * 4 and re.fullmatch("[0-9a-f]{64}", next(iter(keys)))
+
+
+def test_references_that_are_none_fail(spark):
+    docs = spark.createDataFrame([(1, '{"composition_map":{"Es":{"Mg":2}},"occ_key":"k","calc_spec":{"calculator":"c"}}')], "id int, document string")
+    r = store.parsed_references(docs).first()
+    assert (r["id"], r["composition_map"], r["occ_key"], r["calc_spec"]["calculator"]) == (1, {"Es": {"Mg": 2}}, "k", "c")
+    for bad in (None, "no json", '{"occ_key":"k"}'):
+        with pytest.raises(PySparkException):
+            store.parsed_references(spark.createDataFrame([(1, bad)], "id int, document string")).collect()

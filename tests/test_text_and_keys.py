@@ -105,3 +105,22 @@ def test_command_line(capsys):
     assert json.loads(capsys.readouterr().out) == out
     more = cli.main(["ensure-refined", *args[1:], "--endpoint", "Es:{Mg:2},Fm:{Al:4}", "--bin-width", "0.1", "--steps", "10", "--samples-per-bin", "2", "--budget", "5", "--min-partial-frac", "0.5"])
     assert more["sampled"] == 1 and len({more["ce_key"], more["partial_ce_key"], more["base_ce_key"]}) == 3
+
+
+def test_specs_come_back_from_their_documents():
+    import dataclasses
+
+    from sparlattice.operators.sampling import SamplerSpec
+    from sparlattice.plans import specs
+
+    base = spec(regularization={"type": "ridge", "alpha": 1.0}, weighting={"scheme": "balance_by_comp", "alpha": 0.5})
+    refined = EnsureRefined(base, (base.mixtures[0].composition_map,), {"bin_width": 0.1, "seed": 0}, 100, 5, 10, 0.5, CalcSpec("vasp-24", "static", "afm", 0.1))
+    for one in (base, refined, refined.final, base.prototype, base.mixtures[0], SamplerSpec(0.1, 10, production_mode=True)):
+        back = specs.from_document(json.loads(json.dumps(specs.document(one))))
+        assert specs.document(back) == specs.document(one) and type(back) is type(one)
+    assert specs.from_document(json.loads(json.dumps(specs.document(refined)))).key() == refined.key()
+    calc = specs.document(refined.final)
+    for bad in (calc | {"kind": "nosuch"}, calc | {"more": 1}, {k: v for k, v in calc.items() if k != "calculator"}, calc | {"relax_type": "half"}):
+        with pytest.raises(ValueError):
+            specs.from_document(bad)
+    assert dataclasses.is_dataclass(specs.from_document({k: v for k, v in calc.items() if k != "frozen_sublattices"}))
