@@ -7,6 +7,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.catalogue import checkpointed
+
+#: How often a cell may be halved on each axis, down to a box of twice the tolerance.
+HALVINGS = 3
+#: Rows of a cell above which it is halved, and points of a block of a cell that can't be.
+CELL_ROWS = 20_000
+
 
 def with_energies(refs: DataFrame, energies: DataFrame, key: Sequence[str]) -> DataFrame:
     """Training references with their energies."""
@@ -51,8 +58,6 @@ def chain_depths(blocks: DataFrame, key: str, parent: str, rounds: int = 64) ->
     each round is checkpointed. Raises if pointers remain after ``rounds``,
     as they do in a circle.
     """
-    from ..sources.catalogue import checkpointed
-
     state = blocks.select(F.col(key).alias("k"), F.col(parent).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("depth"))
     state = state.withColumn("root", F.coalesce("up", "k"))
     for _ in range(rounds):
@@ -79,10 +84,6 @@ def cells(x: Column, width: float) -> Column:
     return F.floor(x / F.lit(width)).cast("long")
 
 
-#: Rows of a cell above which it is halved, and points of a block of a cell that can't be.
-CELL_ROWS = 20_000
-
-
 def near_points(left: DataFrame, right: DataFrame, axes: Sequence[str], tolerance: float, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Pairs of points (l_id, r_id) within ``tolerance`` on every axis.
 
@@ -92,7 +93,7 @@ def near_points(left: DataFrame, right: DataFrame, axes: Sequence[str], toleranc
     the size of that box; what is still too dense is joined in blocks of right
     points. Points without a coordinate have no partner.
     """
-    spark, n_axes = left.sparkSession, len(axes)
+    n_axes = len(axes)
     box = max(2 * tolerance, 1e-6)
     widths = [box * 2**HALVINGS] * n_axes
     a = left.select(F.col("id").alias("l_id"), *(F.col(x).cast("double").alias(f"l_{x}") for x in axes)).dropna()
@@ -120,8 +121,8 @@ def near_points(left: DataFrame, right: DataFrame, axes: Sequence[str], toleranc
         low, high = (cells(F.col(f"l_{axes[i]}") + F.lit(shift), widths[i]) for shift in (-tolerance, tolerance))
         # A cell's halves are 2c and 2c + 1; a box may reach into its neighbours, where it has rows of its own.
         halves = F.filter(F.sequence(low, high), _half_of(on[i]))
-        a = _kept(spark, a.withColumn(on[i], F.explode(halves)))
-        b = _kept(spark, b.withColumn(on[i], cells(F.col(f"r_{axes[i]}"), widths[i])))
+        a = checkpointed(a.withColumn(on[i], F.explode(halves)))
+        b = checkpointed(b.withColumn(on[i], cells(F.col(f"r_{axes[i]}"), widths[i])))
     blocks = full.select(*on, F.ceil(F.col("n") / F.lit(cell_rows)).cast("long").alias("__blocks"))
     a = a.join(blocks, on).withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))
     b = b.join(blocks, on).withColumn("__block", F.pmod(F.xxhash64("r_id"), F.col("__blocks")))
@@ -129,20 +130,10 @@ def near_points(left: DataFrame, right: DataFrame, axes: Sequence[str], toleranc
     return _all_of(done)
 
 
-#: How often a cell may be halved on each axis, down to a box of twice the tolerance.
-HALVINGS = 3
-
-
 def _half_of(cell: str) -> Callable[[Column], Column]:
     return lambda half: F.floor(half / F.lit(2)).cast("long") == F.col(cell)
 
 
-def _kept(spark, df: DataFrame) -> DataFrame:
-    from ..sources.catalogue import checkpointed
-
-    return checkpointed(df)
-
-
 def _all_of(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -154,7 +145,7 @@ def _full_cells(a: DataFrame, b: DataFrame, on: list[str], cell_rows: int) -> Da
     """(cell..., n) of the cells in which one side has more than ``cell_rows`` rows, None if there is none."""
     sides = [side.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > cell_rows) for side in (a, b)]
     full = sides[0].unionByName(sides[1]).groupBy(*on).agg(F.max("n").alias("n"))
-    full = _kept(a.sparkSession, full)
+    full = checkpointed(full)
     return None if full.isEmpty() else full
 
 

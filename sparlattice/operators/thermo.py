@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 KB_CV = 8.617333262e-5
 KB_MIX = 8.617333262145e-5
 FLATNESS = 0.8
+#: Most rows of a dimension or a grid that are broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def bin_id(energy: Column, width: float) -> Column:
@@ -53,7 +55,9 @@ def normalised(dos: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def temperatures(spark: SparkSession, values: Sequence[float]) -> DataFrame:
-    """A grid of temperatures as a one-column table; its length is the caller's."""
+    """A grid of temperatures as a one-column table, of at most ``BROADCAST_ROWS``, since it is broadcast."""
+    if len(values) > BROADCAST_ROWS:
+        raise ValueError(f"{len(values)} temperatures; at most {BROADCAST_ROWS}")
     return spark.createDataFrame([(float(t),) for t in values], "temperature double")
 
 
@@ -139,8 +143,12 @@ def purity_by_bin(counts: DataFrame, sizes: DataFrame | None = None) -> DataFram
 
 
 def densified(counts: DataFrame, group: Sequence[str], item: str, items: DataFrame, count: str = "n") -> DataFrame:
-    """A row for every (group, allowed item), 0 where it doesn't occur. ``items`` is a small dimension."""
-    grid = counts.select(*group).distinct().crossJoin(F.broadcast(items.select(item).distinct()))
+    """A row for every (group, allowed item), 0 where it doesn't occur. ``items`` is a dimension:
+    counted, and broadcast up to ``BROADCAST_ROWS`` of them; more are listed once a group after a shuffle."""
+    allowed = items.select(item).distinct()
+    if allowed.count() <= BROADCAST_ROWS:
+        allowed = F.broadcast(allowed)
+    grid = counts.select(*group).distinct().crossJoin(allowed)
     return grid.join(counts, [*group, item], "left").select(*group, item, F.coalesce(F.col(count), F.lit(0)).cast("long").alias(count))
 
 

@@ -263,8 +263,8 @@ def ensure_blocks(spark: SparkSession, store: Catalogue, spec: EnsureRefined, la
 
 def candidates(spark: SparkSession, blocks: DataFrame, species: dict, spec: EnsureRefined) -> tuple[DataFrame, DataFrame]:
     """(endpoints, samples): (pool, id, grp, bin, occ_hash, occ_key, occupation), one pool in all."""
-    named = F.broadcast(spark.createDataFrame([(k, v) for k, v in species.items()], "wl_key string, species array<array<string>>"))
-    rows = sampling.sampled_occupancies(blocks).join(named, "wl_key").join(F.broadcast(blocks.select("wl_key", "set_id")), "wl_key")
+    named = spark.createDataFrame([(k, v) for k, v in species.items()], "wl_key string, species array<array<string>>")
+    rows = sampling.sampled_occupancies(blocks).join(named.join(blocks.select("wl_key", "set_id"), "wl_key"), "wl_key")
     place = F.sequence(F.lit(0), F.size("occ") - 1)
     occupation = F.transform(place, lambda i: F.struct(i.cast("long").alias("site"), F.get(F.get("species", i), F.get("occ", i)).alias("element")))
     rows = rows.select(F.lit(0).cast("long").alias("pool"), F.pmod(F.xxhash64("set_id", "occ_hash"), F.lit(1 << 62)).alias("id"), F.col("set_id").alias("grp"), "bin", "occ_hash", occupation.alias("occupation"))
