@@ -51,12 +51,12 @@ class WordTokenizer:
     digits, other characters, contractions; white space is dropped.
     """
 
-    def __init__(self, path: str, classes: bytes):
-        """``classes``: the character table of the file's own pre-tokenizer (``word_classes``)."""
+    def __init__(self, path: str, classes: bytes | None = None):
+        """``classes``: the character table of the file's own pre-tokenizer; found here if it isn't given."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.classes = unpacked_classes(classes)
+        self.classes = unpacked_classes(word_classes(path) if classes is None else classes)
         self.tokenizer = Tokenizer.from_file(path)
         added = {t.content: (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         if any(t.normalized or t.lstrip or t.rstrip or t.single_word for _, t in added.values()):
