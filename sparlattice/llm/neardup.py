@@ -5,10 +5,12 @@ has a signature of ``COMPONENTS`` b-bit minima. The signature is split into
 chunks, and every way of leaving ``ERRORS`` components of a chunk out makes a
 key: by pigeonhole two signatures that differ in at most ``GUARANTEED``
 components agree on a key, and of two sets at the threshold similarity fewer
-than one pair in a million agrees on none. Classes that meet in a key and whose one-bit
-sketches are near are compared on their full sets, in cells of two blocks of
-classes; what a cell emits is a spanning set of its links, so that a group of n
-near copies gives of the order of n rows and not n squared.
+than one pair in a million agrees on none. Links are confirmed on full sets, in two
+rounds. First the classes of a key are compared in blocks, each together with
+the smallest class of the key, which takes of the order of n comparisons for n
+near copies and joins most of them. Then classes that meet in a key, are not yet
+in one component and have near sketches are compared in cells of two blocks.
+What a block or cell emits is a spanning set of its links.
 """
 
 from __future__ import annotations
@@ -108,11 +110,11 @@ def _components_of(column: pa.Array) -> np.ndarray:
 
 
 def meetings(classes: DataFrame) -> DataFrame:
-    """(key, id, lead, part) for the keys that two classes or more share.
+    """(key, id, lead, seat) for the keys that two classes or more share.
 
-    ``lead``: the smallest id of the key; ``part``: counts pieces of ``PART``
+    ``lead``: the smallest id of the key; ``seat``: counts pieces of ``BLOCK``
     rows of a key with many. The rows of a key pass as a sorted stream; no more
-    than a piece is held.
+    than a batch is held.
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,14 +137,14 @@ def meetings(classes: DataFrame) -> DataFrame:
             first = np.where(run >= 0, ident[start[np.maximum(run, 0)]] if len(start) else 0, lead if lead is not None else 0)
             follows = np.concatenate([~new[1:], [False]])
             keep = (position > 0) | follows  # the last row, if alone so far, waits for the next batch
-            out_key, out_id, out_lead, out_part = key[keep], ident[keep], first[keep], position[keep] // PART
+            out_key, out_id, out_lead, out_seat = key[keep], ident[keep], first[keep], position[keep] // BLOCK
             if pending and not new[0]:
-                out_key, out_id, out_lead, out_part = np.append(out_key, last_key), np.append(out_id, last_id), np.append(out_lead, last_id), np.append(out_part, 0)
+                out_key, out_id, out_lead, out_seat = np.append(out_key, last_key), np.append(out_id, last_id), np.append(out_lead, last_id), np.append(out_seat, 0)
             last_key, last_id, lead, count, pending = key[-1], ident[-1], first[-1], int(position[-1]) + 1, not keep[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (out_key, out_id, out_lead, out_part)], names=["key", "id", "lead", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (out_key, out_id, out_lead, out_seat)], names=["key", "id", "lead", "seat"])
 
     rows = classes.select("id", "signature").mapInArrow(keyed, "id long, keys array<long>").select("id", F.explode("keys").alias("key")).select("key", "id")
-    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(runs, "key long, id long, lead long, part long")
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(runs, "key long, id long, lead long, seat long")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
@@ -187,15 +189,81 @@ def _near_pairs(rows: dict[str, np.ndarray], bounds: np.ndarray, percent: int) -
         right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
         # Of two pieces of a key, rows of one piece meet those of the other alone.
         ok = (rows["low"][left] == rows["high"][left]) | (rows["part"][left] != rows["part"][right])
+        ok &= rows["component"][left] != rows["component"][right]
         left, right = left[ok], right[ok]
         ok = _may_link(left, right, rows, percent)
         yield left[ok], right[ok]
         at = to
 
 
+def blocks_of(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, lead, block, n, s0, s1): classes that meet, in blocks of at most ``BLOCK`` that share a key.
+
+    A class takes, of its keys with the smallest ``lead``, the first one.
+    """
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = sketch(_components_of(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits[:, 0]), pa.array(bits[:, 1])], names=["id", "n", "s0", "s1"])
+
+    first = met.groupBy("id").agg(F.min(F.struct("lead", "key", "seat")).alias("f"))
+    first = first.select("id", F.col("f.lead").alias("lead"), F.xxhash64("f.key", "f.seat").alias("block"))
+    return classes.select("id", "n", "signature").mapInArrow(sketched, "id long, n long, s0 long, s1 long").join(first, "id")
+
+
+def own_cells(members: DataFrame) -> DataFrame:
+    """(left, right, id): each block by itself, and the lead of its key with it."""
+    both = members.select("block", "id").union(members.select("block", F.col("lead").alias("id"))).distinct()
+    return both.select(F.col("block").alias("left"), F.col("block").alias("right"), "id")
+
+
+def settled(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """``members`` with the ``component`` that links of the first round give them.
+
+    Classes that those didn't join with their lead get blocks of their own, so
+    that few of them don't bring the blocks of all others together.
+    """
+    out = members.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    apart = F.col("component") > F.col("lead")
+    sizes = _checked(out.where(apart).groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1"))
+    own = F.xxhash64("lead", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))), F.lit("apart"))
+    return out.join(sizes, "lead", "left").withColumn("block", F.when(apart, own).otherwise(F.col("block"))).drop("blocks")
+
+
+def _checked(rows: DataFrame) -> DataFrame:
+    """``rows``, broadcast if there are no more than ``BROADCAST_IDS``."""
+    rows = checkpointed(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
+def pieces(met: DataFrame, members: DataFrame) -> DataFrame:
+    """(key, low, high, part, n, s0, s1, block, component): rows of a key that meet in one task.
+
+    A key of up to ``PART`` rows is one piece, 0. Of a larger one the rows of
+    its commonest component don't meet each other: they are cut into pieces
+    that meet the pieces of all other rows alone. A key whose rows are one
+    component isn't sent at all.
+    """
+    seats = -(-PART // BLOCK)
+    hot = _checked(met.where(F.col("seat") >= seats).select("key").distinct())
+    known = met.select("key", "id").join(members.select("id", "component"), "id")
+    counts = known.join(hot, "key").groupBy("key", "component").count()
+    counts = counts.groupBy("key").agg(F.max(F.struct("count", "component")).alias("most"), F.sum("count").alias("total"))
+    cut = [F.ceil(x / PART).alias(a) for x, a in ((F.col("most.count"), "mains"), (F.col("total") - F.col("most.count"), "others"))]
+    counts = _checked(counts.select("key", F.col("most.component").alias("main"), *cut))
+    rows = met.select("key", "id").join(members, "id").join(counts, "key", "left").where("others is null or others > 0")
+    at = F.xxhash64("id")
+    is_main = F.col("component") == F.col("main")
+    part = F.when(F.col("main").isNull(), 0).when(is_main, F.col("others") + F.pmod(at, "mains")).otherwise(F.pmod(at, "others"))
+    last = F.when(F.col("main").isNull(), 0).when(is_main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)
+    rows = rows.withColumn("part", part.cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    return rows.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "n", "s0", "s1", "block", "component")
+
+
 def near_blocks(met: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(left, right): blocks with classes that meet in a key and may be linked."""
-    names = ("key", "low", "high", "part", "n", "s0", "s1", "block")
+    """(left, right): blocks with classes of different components that meet in a key and may be linked."""
+    names = ("key", "low", "high", "part", "n", "s0", "s1", "block", "component")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.empty((0, 2), dtype=np.int64)
@@ -205,10 +273,16 @@ def near_blocks(met: DataFrame, members: DataFrame, percent: int) -> DataFrame:
             new = (rows["key"][1:] != rows["key"][:-1]) | (rows["low"][1:] != rows["low"][:-1]) | (rows["high"][1:] != rows["high"][:-1])
             bounds = np.concatenate([[0], np.flatnonzero(new) + 1, [len(rows["key"])] if last else np.empty(0, dtype=np.int64)]).astype(np.int64)
             done = int(bounds[-1])
-            for left, right in _near_pairs({c: v[:done] for c, v in rows.items()}, bounds, percent):
-                yield np.sort(np.stack([rows["block"][left], rows["block"][right]], axis=1), axis=1)
             for c in names:
                 held[c] = rows[c][done:]
+            if not done:
+                return
+            component, sizes = rows["component"][:done], np.diff(bounds)
+            mixed = np.minimum.reduceat(component, bounds[:-1]) < np.maximum.reduceat(component, bounds[:-1])
+            kept = np.flatnonzero(np.repeat(mixed, sizes))
+            rows = {c: v[kept] for c, v in rows.items()}
+            for left, right in _near_pairs(rows, np.concatenate([[0], np.cumsum(sizes[mixed])]), percent):
+                yield np.sort(np.stack([rows["block"][left], rows["block"][right]], axis=1), axis=1)
 
         def fresh(pairs: np.ndarray) -> pa.RecordBatch:
             nonlocal seen
@@ -225,12 +299,7 @@ def near_blocks(met: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         if len(held["key"]):
             yield from (fresh(p) for p in found(dict(held), True) if len(p))
 
-    # Of a key in pieces every piece meets every other, in a task of their own.
-    pieces = met.where("part > 0").groupBy("key").agg(F.max("part").alias("parts"))
-    rows = met.select("key", "id", "part").join(pieces, "key", "left").join(members, "id")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(0).cast("long")))))
-    rows = rows.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "n", "s0", "s1", "block")
-    rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    rows = pieces(met, members).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     return rows.mapInArrow(run, "left long, right long").distinct()
 
 
@@ -269,37 +338,33 @@ def _spanning(table: pa.Table, percent: int) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(ids, ids[lowest], strict=True) if a != b]
 
 
-def links(cells: DataFrame, members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links, confirmed on full sets, that span the links of each cell."""
+def links(cells: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links, confirmed on full sets, that span the links of each cell (left, right) of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, 2):
-            if found := _spanning(table, percent):
+            if table.num_rows > 1 and (found := _spanning(table, percent)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
-    blocks = cells.select("left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
-    ids = members.join(blocks.select("block").distinct(), "block", "left_semi").select("id", "block")
-    texts = having_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids.select("id"), "doc_id", "left_semi")
-    texts = texts.join(ids, texts["doc_id"] == ids["id"]).select("id", "block", "text")
-    rows = blocks.join(texts, "block").select("left", "right", "id", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = having_ids(texts, cells.select("id"), "doc_id", "left_semi")
+    rows = cells.join(texts, cells["id"] == texts["doc_id"]).select("left", "right", "id", "text")
     return rows.repartition("left", "right").sortWithinPartitions("left", "right", "id").mapInArrow(run, "a long, b long").distinct()
 
 
-def _lowest(rows: DataFrame, node: str, low: DataFrame) -> DataFrame:
-    """``rows`` with the column m of ``low`` (a, m, n) for their ``node``.
+def joined(rows: DataFrame, lookup: DataFrame, on: list[str], by: str) -> DataFrame:
+    """``rows`` left-joined with ``lookup``, unique in ``on``, whose column n counts its rows.
 
-    A node with more than ``PART`` edges is cut into pieces, each with a copy of
-    its m, so that no task holds all edges of a hub.
+    A key with more than ``PART`` rows is cut by ``by`` into pieces, each with a
+    copy of its row of ``lookup``, so that no task holds all rows of a key.
     """
-    pieces = F.ceil(F.col("n") / PART).cast("int")
-    hubs = low.where(F.col("n") > PART).select(F.col("a").alias("__hub"), pieces.alias("__pieces"))
-    if hubs.count() <= BROADCAST_IDS:
-        hubs = F.broadcast(hubs)
-    other = "b" if node == "a" else "a"
-    cut = rows.join(hubs, rows[node] == F.col("__hub"), "left")
-    cut = cut.withColumn("__piece", F.coalesce(F.pmod(F.xxhash64(other), F.col("__pieces")), F.lit(0)).cast("int")).drop("__hub", "__pieces")
-    copies = low.select(F.col("a").alias("__node"), "m", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("__at"))
-    return cut.join(copies, (cut[node] == F.col("__node")) & (cut["__piece"] == F.col("__at"))).drop("__node", "__at", "__piece")
+    cut = F.ceil(F.col("n") / PART).cast("int")
+    hot = lookup.where(F.col("n") > PART).select(*on, cut.alias("__cut"))
+    if hot.count() <= BROADCAST_IDS:
+        hot = F.broadcast(hot)
+    left = rows.join(hot, on, "left").withColumn("__piece", F.coalesce(F.pmod(F.xxhash64(by), F.col("__cut")), F.lit(0)).cast("int")).drop("__cut")
+    right = lookup.withColumn("__piece", F.explode(F.sequence(F.lit(0), cut - 1))).drop("n")
+    return left.join(right, [*on, "__piece"], "left").drop("__piece")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -313,9 +378,9 @@ def connected(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")))
-        large = checkpointed(_lowest(edges, "b", low).select("a", F.col("m").alias("b")).where("a != b").distinct())
+        large = checkpointed(joined(edges, low.withColumnRenamed("a", "b"), ["b"], "a").select("a", F.col("m").alias("b")).where("a != b").distinct())
         low = checkpointed(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
-        small = _lowest(large, "a", low)
+        small = joined(large, low, ["a"], "b")
         edges = checkpointed(small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct())
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == state:
@@ -336,29 +401,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, scratch: Scratch |
     scratch = scratch or Scratch(docs.sparkSession)
     rows = scratch.write(shingled(docs), "shingled")
     full = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = full.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("r"))
-    classes = scratch.write(classes.select("c1", "c2", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.signature").alias("signature")), "classes")
+    classes = full.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("r"), F.count("*").alias("copies"))
+    classes = classes.select("c1", "c2", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.signature").alias("signature"), "copies")
+    classes = scratch.write(classes, "classes")
     met = scratch.write(meetings(classes), "met")
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = sketch(_components_of(batch.column(2)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits[:, 0]), pa.array(bits[:, 1])], names=["id", "n", "s0", "s1"])
-
-    # Classes that meet the same smallest class are likely to be near each other:
-    # they share blocks of about BLOCK classes.
-    family = met.groupBy("id").agg(F.min("lead").alias("family"))
-    sizes = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    members = classes.select("id", "n", "signature").mapInArrow(sketched, "id long, n long, s0 long, s1 long").join(family, "id").join(sizes, "family")
-    members = scratch.write(members.select("id", "n", "s0", "s1", F.xxhash64("family", F.pmod(F.xxhash64("id"), "blocks")).alias("block")), "members")
-    cells = scratch.write(near_blocks(met, members, percent), "cells")
-    groups = connected(scratch.write(links(cells, members, docs, percent), "links"))
-    scratch.drop("met", "members", "cells", "links")
-    of_class = classes.select("c1", "c2", "id").join(groups, "id", "left").select("c1", "c2", F.coalesce("component", "id").alias("component"))
+    members = scratch.write(blocks_of(met, classes), "members")
+    first = scratch.write(links(own_cells(members), docs, percent), "first")
+    members_now = scratch.write(settled(members, connected(first)), "settled")
+    near = scratch.write(near_blocks(met, members_now, percent), "near")
+    sides = near.select("left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
+    cells = scratch.write(sides.join(members_now.select("id", "block"), "block").select("left", "right", "id"), "cells")
+    second = links(cells, docs, percent)
+    joins = members_now.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    groups = connected(scratch.write(second.union(joins), "links"))
+    scratch.drop("met", "members", "first", "settled", "near", "cells", "links")
+    of_class = classes.select("c1", "c2", "id", F.col("copies").alias("n")).join(groups, "id", "left").select("c1", "c2", F.coalesce("component", "id").alias("component"), "n")
     # Rows without shingles have a class of their own, so that they don't meet in one task.
     own = F.col("n_shingles") == 0
     left = rows.select("doc_id", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("c1")).alias("c1"), F.when(own, F.lit(None)).otherwise(F.col("c2")).alias("c2"))
-    out = left.join(of_class, ["c1", "c2"], "left")
+    out = joined(left, of_class, ["c1", "c2"], "doc_id")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
