@@ -219,7 +219,7 @@ def own_cells(members: DataFrame) -> DataFrame:
 
 
 def settled(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """``members`` with the ``component`` that links of the first round give them.
+    """``members`` with the ``component``, the class that ``linked`` (id, component) joins them with, or their own.
 
     Classes that those didn't join with their lead get blocks of their own, so
     that few of them don't bring the blocks of all others together.
@@ -407,7 +407,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, scratch: Scratch |
     met = scratch.write(meetings(classes), "met")
     members = scratch.write(blocks_of(met, classes), "members")
     first = scratch.write(links(own_cells(members), docs, percent), "first")
-    members_now = scratch.write(settled(members, connected(first)), "settled")
+    # A lead is the smallest of its cell, so that what is linked with it has it as its smallest link.
+    linked = first.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
+    members_now = scratch.write(settled(members, linked), "settled")
     near = scratch.write(near_blocks(met, members_now, percent), "near")
     sides = near.select("left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
     cells = scratch.write(sides.join(members_now.select("id", "block"), "block").select("left", "right", "id"), "cells")
