@@ -51,6 +51,15 @@ def test_keys_in_pieces_lose_nothing(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()} == components(texts)
 
 
+def test_rows_of_a_hot_key_meet_only_rows_of_other_components(spark):
+    n, others = 100_000, 5
+    met = spark.range(n).selectExpr("7L AS key", "id", "0L AS lead", f"id DIV {neardup.BLOCK} AS seat")
+    members = spark.range(n).selectExpr("id", "100L AS n", "0L AS s0", "0L AS s1", "0L AS block", f"IF(id >= {n - others}, id, 0L) AS component")
+    mains = -(-(n - others) // neardup.PART)
+    assert neardup.pieces(met, members).count() == (n - others) + others * (1 + mains)
+    assert neardup.pieces(met, members.withColumn("component", F.lit(0).cast("long"))).count() == 0
+
+
 def test_ids_beyond_the_bound_are_joined_by_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(shared, "BROADCAST_IDS", 0)
     texts = near_corpus(3)
