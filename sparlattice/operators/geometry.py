@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,9 @@ MOMENTS = {"V": 3.0, "Cr": 5.0, "Mn": 5.0, "Fe": 5.0, "Co": 5.0, "Ni": 5.0, "Cu"
 #: Sites of a cell on active sublattices by prototype. Fixed values.
 ACTIVE_SITES = {"rocksalt": {"Es": 4}, "garnet": {"Es": 8, "Fm": 12}, "spinel": {"Es": 2, "Fm": 4}, "doubleperovskite": {"Es": 1, "Fm": 1}, "pyrochlore": {"Es": 16, "Fm": 16}, "ilmenite": {"Es": 2, "Fm": 2}}
 
+#: Most rows of sites and clusters that one task groups, about.
+TASK_ROWS = 1_000_000
+
 
 def supercell(sites: DataFrame, diag: tuple[int, int, int]) -> DataFrame:
     """Each site in every image of a diagonal supercell, with image indices i, j, k and scaled coordinates."""
@@ -113,14 +117,28 @@ def kicked(sites: DataFrame, sigma: float = 0.01, seed: int = 12345) -> DataFram
     return sites.groupBy("structure_id").applyInPandas(run, sites.schema)
 
 
-def orbit_features(occupations: DataFrame, orbits: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame, orbits: DataFrame, structure: str = "structure_id", task_rows: int = TASK_ROWS) -> DataFrame:
+    """``rows`` by structure, each structure whole in one task, with so many tasks that
+    ``orbits`` makes at most about ``task_rows`` rows of a task's sites.
+
+    What is grouped by structure afterwards needs no further exchange, and a task's
+    memory doesn't grow with the number of structures. ``rows`` are counted first.
+    """
+    each = orbits.agg(F.count("*").alias("rows"), F.count_distinct("site").alias("sites")).first()
+    tasks = math.ceil(rows.count() * each["rows"] / max(1, each["sites"]) / task_rows)
+    return rows.repartition(max(1, tasks), structure)
+
+
+def orbit_features(occupations: DataFrame, orbits: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """(structure_id, orbit_id, phi): the mean over an orbit's clusters of the product of site values.
 
     ``occupations``: (structure_id, site, value); ``orbits``: (orbit_id,
-    cluster_id, site), a static table of the lattice. Numeric agreement with any
+    cluster_id, site), a static table of the lattice that every task gets: a join by site would
+    have as many tasks as a structure has sites. Numeric agreement with any
     other library's basis isn't claimed.
     """
-    per_cluster = occupations.join(orbits, "site").groupBy("structure_id", "orbit_id", "cluster_id").agg(F.product("value").alias("phi"))
+    sites = dealt(occupations, orbits, task_rows=task_rows)
+    per_cluster = sites.join(F.broadcast(orbits), "site").groupBy("structure_id", "orbit_id", "cluster_id").agg(F.product("value").alias("phi"))
     return per_cluster.groupBy("structure_id", "orbit_id").agg(F.avg("phi").alias("phi"))
 
 

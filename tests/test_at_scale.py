@@ -274,3 +274,20 @@ def test_references_that_are_none_fail(spark):
     for bad in (None, "no json", '{"occ_key":"k"}'):
         with pytest.raises(PySparkException):
             store.parsed_references(spark.createDataFrame([(1, bad)], "id int, document string")).collect()
+
+
+# ---- structures dealt to tasks
+
+
+def test_orbit_features_are_dealt_by_structure(spark):
+    """Tasks follow the number of rows, not the number of sites, and each holds whole structures."""
+    rng = np.random.default_rng(8)
+    values = rng.choice([-1.0, 1.0], (300, 3)).tolist()
+    sites = spark.createDataFrame([(k, s, v) for k, vs in enumerate(values) for s, v in enumerate(vs)], "structure_id long, site int, value double")
+    orbits = spark.createDataFrame([(1, s, s) for s in range(3)] + [(2, 1, 0), (2, 1, 1), (2, 2, 1), (2, 2, 2)], "orbit_id int, cluster_id int, site int")
+    got = geometry.orbit_features(sites, orbits, task_rows=100).withColumn("task", F.spark_partition_id()).collect()
+    assert {(r["structure_id"], r["orbit_id"]): r["phi"] for r in got} == {(k, o): f for k, (a, b, c) in enumerate(values) for o, f in ((1, pytest.approx((a + b + c) / 3)), (2, (a * b + b * c) / 2))}
+    tasks = [{r["structure_id"] for r in got if r["task"] == t} for t in {r["task"] for r in got}]
+    assert len(tasks) > 15 and sum(map(len, tasks)) == 300 and max(map(len, tasks)) < 60
+    plan = geometry.orbit_features(sites, orbits)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(site" not in plan
