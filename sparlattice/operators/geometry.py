@@ -142,23 +142,25 @@ def orbit_features(occupations: DataFrame, orbits: DataFrame, task_rows: int = T
     return per_cluster.groupBy("structure_id", "orbit_id").agg(F.avg("phi").alias("phi"))
 
 
-def predicted(structures: DataFrame, orbits: DataFrame, coefficients: DataFrame) -> DataFrame:
+def predicted(structures: DataFrame, orbits: DataFrame, coefficients: DataFrame, task_rows: int | None = TASK_ROWS) -> DataFrame:
     """(model, structure_id, predicted) of every structure under every stored model.
 
     ``structures``: (structure_id, site, value); ``orbits``: (model, orbit_id, cluster_id,
     site); ``coefficients``: (model, orbit_id, coefficient), where an orbit without
     clusters is the constant. Features are never laid out as rows of a matrix: a coefficient meets the mean of its
     own clusters' products, so that models with other orbits are scored together. Clusters of which a
-    structure lacks a site don't count for it.
+    structure lacks a site don't count for it. What is stored of the models goes to every task, and
+    structures are dealt to tasks; with ``task_rows`` None they are ``dealt`` already.
     """
     full = orbits.groupBy("model", "orbit_id", "cluster_id").agg(F.count("*").alias("__sites"))
-    each = structures.join(orbits, "site").groupBy("model", "structure_id", "orbit_id", "cluster_id").agg(F.product("value").alias("phi"), F.count("*").alias("__have"))
-    whole = each.join(full, ["model", "orbit_id", "cluster_id"]).where("__have = __sites")
+    sites = structures if task_rows is None else dealt(structures, orbits, task_rows=task_rows)
+    each = sites.join(F.broadcast(orbits), "site").groupBy("model", "structure_id", "orbit_id", "cluster_id").agg(F.product("value").alias("phi"), F.count("*").alias("__have"))
+    whole = each.join(F.broadcast(full), ["model", "orbit_id", "cluster_id"]).where("__have = __sites")
     phi = whole.groupBy("model", "structure_id", "orbit_id").agg(F.avg("phi").alias("phi"))
-    terms = phi.join(coefficients, ["model", "orbit_id"]).groupBy("model", "structure_id").agg(F.sum(F.col("phi") * F.col("coefficient")).alias("__sum"))
+    terms = phi.join(F.broadcast(coefficients), ["model", "orbit_id"]).groupBy("model", "structure_id").agg(F.sum(F.col("phi") * F.col("coefficient")).alias("__sum"))
     having = orbits.select("model", "orbit_id").distinct()
-    constant = coefficients.join(having, ["model", "orbit_id"], "left_anti").groupBy("model").agg(F.sum("coefficient").alias("__constant"))
-    out = terms.join(constant, "model", "left")
+    constant = coefficients.join(F.broadcast(having), ["model", "orbit_id"], "left_anti").groupBy("model").agg(F.sum("coefficient").alias("__constant"))
+    out = terms.join(F.broadcast(constant), "model", "left")
     return out.select("model", "structure_id", (F.col("__sum") + F.coalesce("__constant", F.lit(0.0))).alias("predicted"))
 
 

@@ -149,11 +149,13 @@ SELECT m.model, structure_id, round(sum(phi * coefficient) + (SELECT coalesce(su
 FROM means m JOIN coefficients USING (model, orbit_id) GROUP BY m.model, structure_id""")
 def predicted_structures(spark, sf_dir):
     """Orders as structures, scored under two stored models that have different orbits."""
-    status = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_linestatus").alias("s"))
-    structures = status.select(F.col("l_orderkey").alias("structure_id"), F.col("l_linenumber").alias("site"), F.when(F.col("s") == "O", 1.0).otherwise(-1.0).alias("value"))
     orbits = spark.createDataFrame(_MODEL_ORBITS, "model string, orbit_id int, cluster_id int, site int")
     coefficients = spark.createDataFrame(_MODEL_COEFFICIENTS, "model string, orbit_id int, coefficient double")
-    return geo.predicted(structures, orbits, coefficients).withColumn("predicted", F.round("predicted", 9))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("structure_id"), F.col("l_linenumber").alias("site"), "l_linestatus")
+    # Dealt before lines that repeat are reduced to one a site: the table is shuffled once.
+    status = geo.dealt(lines, orbits).groupBy("structure_id", "site").agg(F.min("l_linestatus").alias("s"))
+    structures = status.select("structure_id", "site", F.when(F.col("s") == "O", 1.0).otherwise(-1.0).alias("value"))
+    return geo.predicted(structures, orbits, coefficients, None).withColumn("predicted", F.round("predicted", 9))
 
 
 @query("SELECT s_suppkey AS site_idx, CAST(s_nationkey AS VARCHAR) AS species, n_name AS name, n_regionkey AS region FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 15) ON n_nationkey = s_nationkey")

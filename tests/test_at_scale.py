@@ -291,3 +291,19 @@ def test_orbit_features_are_dealt_by_structure(spark):
     assert len(tasks) > 15 and sum(map(len, tasks)) == 300 and max(map(len, tasks)) < 60
     plan = geometry.orbit_features(sites, orbits)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(site" not in plan
+
+
+def test_predictions_meet_models_where_structures_lie(spark):
+    """Nothing is exchanged by site, cluster or model, of which there are few."""
+    rng = np.random.default_rng(9)
+    values = rng.choice([-1.0, 1.0], (200, 3)).tolist()
+    sites = spark.createDataFrame([(k, s, v) for k, vs in enumerate(values) for s, v in enumerate(vs)], "structure_id long, site int, value double")
+    orbits = spark.createDataFrame([("m", 1, 1, 0), ("m", 1, 2, 1), ("n", 2, 1, 1), ("n", 2, 1, 2)], "model string, orbit_id int, cluster_id int, site int")
+    coefficients = spark.createDataFrame([("m", 0, 1.0), ("m", 1, 2.0), ("n", 2, 4.0)], "model string, orbit_id int, coefficient double")
+    want = {("m", k): 1.0 + a + b for k, (a, b, _) in enumerate(values)} | {("n", k): 4.0 * b * c for k, (_, b, c) in enumerate(values)}
+    for out in (geometry.predicted(sites, orbits, coefficients, 100), geometry.predicted(geometry.dealt(sites, orbits, task_rows=50), orbits, coefficients, None)):
+        got = out.withColumn("task", F.spark_partition_id()).collect()
+        assert {(r["model"], r["structure_id"]): r["predicted"] for r in got} == want
+        assert len({r["task"] for r in got}) > 6
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("hashpartitioning(structure_id") == 1
