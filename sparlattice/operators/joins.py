@@ -84,18 +84,19 @@ def cells(x: Column, width: float) -> Column:
     return F.floor(x / F.lit(width)).cast("long")
 
 
-def near_points(left: DataFrame, right: DataFrame, axes: Sequence[str], tolerance: float, cell_rows: int = CELL_ROWS) -> DataFrame:
+def near_points(left: DataFrame, right: DataFrame, axes: Sequence[str], tolerance: float, cell_rows: int = CELL_ROWS, halvings: int = HALVINGS) -> DataFrame:
     """Pairs of points (l_id, r_id) within ``tolerance`` on every axis.
 
     Space is cut into cells over all axes. A right point is in one cell, a left
     point in each that its box of twice the tolerance touches, so that the join is an equality on
     cells and finds each pair once. Cells with more than ``cell_rows`` rows are halved, axis by axis, down to
     the size of that box; what is still too dense is joined in blocks of right
-    points. Points without a coordinate have no partner.
+    points. Points without a coordinate have no partner. With fewer ``halvings`` cells
+    begin smaller, dealt to all shuffle partitions: for points that have many partners each.
     """
     n_axes = len(axes)
     box = max(2 * tolerance, 1e-6)
-    widths = [box * 2**HALVINGS] * n_axes
+    widths = [box * 2**halvings] * n_axes
     a = left.select(F.col("id").alias("l_id"), *(F.col(x).cast("double").alias(f"l_{x}") for x in axes)).dropna()
     b = right.select(F.col("id").alias("r_id"), *(F.col(x).cast("double").alias(f"r_{x}") for x in axes)).dropna()
     for x in axes:
@@ -107,14 +108,17 @@ def near_points(left: DataFrame, right: DataFrame, axes: Sequence[str], toleranc
     for x in axes:
         close = close & (F.abs(F.col(f"l_{x}") - F.col(f"r_{x}")) <= tolerance)
     done: list[DataFrame] = []
-    for level in range(HALVINGS * n_axes + 1):
+    for level in range(halvings * n_axes + 1):
         full = _full_cells(a, b, on, cell_rows)
         if full is None:
+            if halvings < HALVINGS:
+                tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+                a, b = a.repartition(tasks, *on), b.repartition(tasks, *on)
             return _all_of([*done, a.join(b, on).where(close).select("l_id", "r_id")])
         sparse = [side.join(full, on, "left_anti") for side in (a, b)]
         done.append(sparse[0].join(sparse[1], on).where(close).select("l_id", "r_id"))
         a, b = (side.join(full.select(*on), on, "left_semi") for side in (a, b))
-        if level == HALVINGS * n_axes:
+        if level == halvings * n_axes:
             break
         i = level % n_axes
         widths[i] /= 2
@@ -157,6 +161,23 @@ def with_ambiguity(pairs: DataFrame) -> DataFrame:
     return pairs.join(lefts, "l_id").join(rights, "r_id").select("l_id", "r_id", (F.col("__l") | F.col("__r")).alias("ambiguous"))
 
 
+def near_points_with_ambiguity(left: DataFrame, right: DataFrame, axes: Sequence[str], tolerance: float, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``with_ambiguity`` of ``near_points``; pairs, whose number may grow as the square of the
+    points, are counted and made where they are found, and only points are shuffled.
+
+    Pairs that aren't ambiguous are those of two points without another partner, so that
+    there are no more of them than points. All others are pairs of the remaining points.
+    """
+    points = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("l_id").alias("id"), F.col("r_id").alias("other")), F.struct(F.lit(1).alias("side"), F.col("r_id").alias("id"), F.col("l_id").alias("other"))))
+    found = near_points(left, right, axes, tolerance, cell_rows, 0).select(points.alias("p")).groupBy("p.side", "p.id")
+    single = checkpointed(found.agg(F.count("*").alias("n"), F.min("p.other").alias("other")).where("n = 1"))
+    lefts, rights = (single.where(F.col("side") == k).select(*(F.col(c).alias(n) for c, n in zip(("id", "other"), names, strict=True))) for k, names in ((0, ("l_id", "r_id")), (1, ("r_id", "l_id"))))
+    certain = checkpointed(lefts.join(rights, ["l_id", "r_id"]))
+    rest = (side.join(certain.select(F.col(c).alias("id")), "id", "left_anti") for side, c in ((left, "l_id"), (right, "r_id")))
+    pairs = near_points(*rest, axes, tolerance, cell_rows, 0)
+    return certain.withColumn("ambiguous", F.lit(False)).unionByName(pairs.withColumn("ambiguous", F.lit(True)))
+
+
 def greedy_matches(pairs: DataFrame, group: str) -> DataFrame:
     """(group, a, b, distance): pairs taken nearest first, each site once, within each group.
 

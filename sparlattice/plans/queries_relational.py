@@ -340,7 +340,7 @@ WHERE abs(CAST(a.embedding[1] AS DOUBLE) - (CAST(b.embedding[1] AS DOUBLE) + 0.0
 AND abs(CAST(a.embedding[3] AS DOUBLE) - CAST(b.embedding[3] AS DOUBLE)) <= 0.04)
 SELECT l_id, r_id, count(*) OVER (PARTITION BY l_id) > 1 OR count(*) OVER (PARTITION BY r_id) > 1 AS ambiguous FROM pairs""")
 def site_matches(spark, sf_dir):
-    return joins.with_ambiguity(joins.near_points(_points(spark, sf_dir, 0.0), _points(spark, sf_dir, 0.01), "xyz", 0.04))
+    return joins.near_points_with_ambiguity(_points(spark, sf_dir, 0.0), _points(spark, sf_dir, 0.01), "xyz", 0.04)
 
 
 @query("""SELECT a.vec_id AS id FROM embeddings a WHERE EXISTS (SELECT 1 FROM embeddings b WHERE b.label = 3 AND abs(CAST(a.embedding[1] AS DOUBLE) - CAST(b.embedding[1] AS DOUBLE)) <= 0.05

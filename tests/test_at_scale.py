@@ -307,3 +307,17 @@ def test_predictions_meet_models_where_structures_lie(spark):
         assert len({r["task"] for r in got}) > 6
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in plan and plan.count("hashpartitioning(structure_id") == 1
+
+
+@pytest.mark.parametrize("cell_rows", [10, 20_000])
+def test_ambiguous_pairs_are_not_shuffled(spark, cell_rows):
+    rng = np.random.default_rng(10)
+    a, b = (np.concatenate([rng.uniform(-1, 1, (150, 3)), rng.uniform(0, 0.05, (40, 3))]) for _ in range(2))
+    b[:60] = a[:60]
+    frames = [spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)] + [(900, None, 0.0, 0.0), (5, *map(float, points[7]))], "id long, x double, y double, z double") for points in (a, b)]
+    want = joins.with_ambiguity(joins.near_points(*frames, "xyz", 0.03, cell_rows))
+    got = joins.near_points_with_ambiguity(*frames, "xyz", 0.03, cell_rows)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {r["ambiguous"] for r in got.collect()} == {True, False}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_id" not in plan and "hashpartitioning(r_id" not in plan
