@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -583,3 +584,31 @@ def test_pages_edges(spark):
 
 def test_all_edges_have_a_row_each(edge_docs):
     assert edge_docs.count() == 2 * len(EDGES) + 2 and edge_docs.where(F.col("text").isNull()).count() == 2
+
+
+def test_all_labelled_rows_fit_the_forest(spark, tmp_path):
+    """More of them than any bound; counts over values and path lengths equal plain ones."""
+    from sparlattice.llm.shared import Scratch
+
+    docs = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    assert quality.labelled_stats(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))).count() == 20_500
+    rng = np.random.default_rng(3)
+    x, good, fold = rng.normal(size=(700, 4)).round(1), rng.random(700) < 0.8, rng.integers(0, quality.FOLDS, 700)
+    x[:, 3] = 0.0
+    data = [(i, bool(g), int(f), *map(float, v)) for i, (g, f, v) in enumerate(zip(good, fold, x, strict=True))]
+    rows = spark.createDataFrame(data, "doc_id long, good boolean, fold int, " + ", ".join(f"{c} double" for c in quality.RATES)).repartition(3)
+    scratch = Scratch(spark)
+    got = quality.pairs_in_order(rows, scratch)
+    for c in range(4):
+        for f in range(quality.FOLDS):
+            for g in range(quality.FOLDS):
+                a, b = x[good & (fold == g), c], x[~good & (fold == f), c]
+                assert got[c, f, g] == (2 * (a[:, None] < b) + (a[:, None] == b)).sum()
+    n = np.array([(good & (fold == f)).sum() for f in range(quality.FOLDS)])
+    picked = quality.gathered(rows, n, np.arange(n.sum()))
+    assert sorted(map(tuple, picked)) == sorted(map(tuple, x[good])) and sorted(map(tuple, picked[: n[0]])) == sorted(map(tuple, x[good & (fold == 0)]))
+    forest = quality.grow([x[good][k : k + 50] for k in range(0, 400, 50)], x.min(axis=0), x.max(axis=0), np.ones(4))
+    lengths = forest.path_lengths(x)
+    costs = {t: sum(quality.GOOD_WEIGHT if g else -1 for v, g in zip(lengths, good, strict=True) if v < t) for t in [-np.inf, *((a + b) / 2 for a, b in zip(np.unique(lengths)[:-1], np.unique(lengths)[1:], strict=True)), np.inf]}
+    found = quality.shortest_kept(rows, [forest] * quality.FOLDS, scratch)
+    assert costs[found] == min(costs.values())
